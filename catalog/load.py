@@ -1,3 +1,4 @@
 """Imports every query module so that it registers its queries."""
 
 import catalog.windows  # noqa: F401
+import catalog.intervals  # noqa: F401

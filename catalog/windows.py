@@ -68,14 +68,14 @@ def diff_lag(spark, sf):
 
 @query(
     "cut_timing",
-    f"""WITH {FRAMES}, t AS (SELECT *, t_us/1e6 AS s FROM frames),
+    f"""WITH {FRAMES}, t AS (SELECT *, t_us/1e3 AS s FROM frames),
     n AS (SELECT *, coalesce(s - lag(s) {OVER}, 0) AS a, coalesce(lead(s) {OVER} - s, 0) AS b,
       min(s) OVER (PARTITION BY video_id) AS lo, max(s) OVER (PARTITION BY video_id) AS hi FROM t)
     SELECT video_id, frame_idx, {q6('a', 'time_since_prev')}, {q6('b', 'time_to_next')},
       {q6('(a+b)/2', 'cut_duration')}, {q6('(s-lo)/(hi-lo+1e-6)', 'position_in_video')} FROM n""",
 )
 def cut_timing(spark, sf):
-    f = frames(spark, sf).withColumn("s", F.col("t_us") / 1e6)
+    f = frames(spark, sf).withColumn("s", F.col("t_us") / 1e3)
     return out(W.cut_timing(f, "s"), KEYS, floats="time_since_prev time_to_next cut_duration position_in_video")
 
 

@@ -9,6 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from framewise.operators.intervals import interval_join
 from framewise.operators.windows import KEY, ORDER
 from framewise.plans import blocks
 
@@ -76,15 +77,15 @@ def exponential(
     """``y = alpha * x + (1 - alpha) * previous y``, starting at the first value.
 
     Within a block the recurrence is a running sum of values weighted by ``(1 - alpha) ** -i``.
-    The block length keeps that weight below 1e140, so what a block passes on already holds
-    everything a double can see, and one value from the previous block completes the row.
+    Over a whole block the weight of older values falls to 1e-40, below what a double can see, so
+    one value from the previous block completes every row.
     """
     if alpha is None:
         alpha = 2.0 / (window + 1)
     if alpha >= 1:
         return df.withColumn(out, F.col(col))
     keep = 1.0 - alpha
-    width = max(2, min(blocks.ROWS_PER_BLOCK, int(140 * math.log(10) / -math.log(keep))))
+    width = max(2, math.ceil(40 * math.log(10) / -math.log(keep)))
     blocked = blocks.with_block(df, order, width)
     i = F.col(order) - F.col(blocks.BLOCK) * width
     gain = F.when(F.col(order) == 0, 1.0).otherwise(alpha)
@@ -121,3 +122,22 @@ def register(name: str, method: Callable[..., DataFrame]) -> None:
 def smooth(df: DataFrame, col: str, method: str = "savgol", **options) -> DataFrame:
     """Smooth ``col`` with the named method; an unknown name means the moving average."""
     return METHODS.get(method, moving_average)(df, col, **options)
+
+
+def smooth_segments(
+    segments: DataFrame, frames: DataFrame, params: list[str], method: str = "savgol", window: int = 5, key=KEY,
+    order=ORDER,
+) -> DataFrame:
+    """Smooth each parameter inside its (inclusive) segment, then average it over the segment.
+
+    Segments shorter than the window are averaged as they are.
+    """
+    keys = blocks.as_list(key)
+    half_open = segments.select(*keys, "first_frame", (F.col("last_frame") + 1).alias("_stop"))
+    inside = interval_join(frames.select(*keys, order, *params), half_open, keys, order, "first_frame", "_stop")
+    inside = inside.withColumn("_pos", F.col(order) - F.col("first_frame"))
+    for p in params:
+        inside = smooth(inside, p, method, window=window, key=[*keys, "first_frame"], order="_pos", out=f"_s_{p}")
+    return inside.groupBy(*keys, "first_frame", (F.col("_stop") - 1).alias("last_frame")).agg(
+        *[F.avg(f"_s_{p}").alias(p) for p in params]
+    )
