@@ -2,3 +2,4 @@
 
 import catalog.windows  # noqa: F401
 import catalog.intervals  # noqa: F401
+import catalog.align  # noqa: F401
