@@ -3,3 +3,5 @@
 import catalog.windows  # noqa: F401
 import catalog.intervals  # noqa: F401
 import catalog.align  # noqa: F401
+import catalog.cleaning  # noqa: F401
+import catalog.scoring  # noqa: F401

@@ -244,10 +244,12 @@ def tune_params(labels: DataFrame, flag: str, fps: float = 10.0, key: str | Sequ
         return counted.agg(*[(F.percentile("len", p, F.col("_n")) / fps).alias(name) for name, p in points])
 
     clip = quantiles(on.select(length.alias("len")), ("_p25", 0.25))
-    gap = quantiles(off.select(length.alias("len")), ("_p75", 0.75))
-    total = quantiles(seconds, ("_p50", 0.5), ("_p90", 0.9))
-    one = clip.withColumn("_j", F.lit(1)).join(gap.withColumn("_j", F.lit(1)), "_j").join(total.withColumn("_j", F.lit(1)), "_j")
-    clamp = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(c, F.lit(hi)))
+    gap = quantiles(off.select(length.alias("len")), ("_p75", 0.75)).scalar()
+    one = quantiles(seconds, ("_p50", 0.5), ("_p90", 0.9)).select("*", clip.scalar().alias("_p25"), gap.alias("_p75"))
+
+    def clamp(c: Column, lo: float, hi: float) -> Column:
+        return F.greatest(F.lit(lo), F.least(c, F.lit(hi)))
+
     return one.select(
         F.when(F.col("_p25").isNull(), 3.0).otherwise(clamp(F.col("_p25"), 2.0, 5.0)).alias("min_duration"),
         F.when(F.col("_p75").isNull(), 2.0).otherwise(clamp(F.col("_p75"), 1.0, 3.0)).alias("max_gap"),
