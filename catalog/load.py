@@ -5,3 +5,4 @@ import catalog.intervals  # noqa: F401
 import catalog.align  # noqa: F401
 import catalog.cleaning  # noqa: F401
 import catalog.scoring  # noqa: F401
+import catalog.datasets  # noqa: F401
