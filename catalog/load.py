@@ -6,3 +6,4 @@ import catalog.align  # noqa: F401
 import catalog.cleaning  # noqa: F401
 import catalog.scoring  # noqa: F401
 import catalog.datasets  # noqa: F401
+import catalog.files  # noqa: F401

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,18 +32,25 @@ def build_session(app: str = "framewise", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a local one only where the session names none."""
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
+    return named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="framewise-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and continue from there.
 
     The folder is the one named by ``spark.checkpoint.dir``; a local one is made up only when
     the session names none (single-machine tests).
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            spark.conf.get(CHECKPOINT_DIR, None)
-            or context.getConf().get(CHECKPOINT_DIR)
-            or tempfile.mkdtemp(prefix="framewise-ckpt-")
-        )
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
