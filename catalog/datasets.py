@@ -159,18 +159,20 @@ def chunks_named(spark, sf):
 
 @query(
     "batch_pad",
-    f"""WITH {FRAMES}, v AS (SELECT video_id, count(*) AS n, sum(k) AS total FROM frames GROUP BY video_id), b AS (SELECT *, max(n) OVER (PARTITION BY video_id // 8) AS longest FROM v)
-    SELECT video_id, {big('video_id // 8', 'batch')}, {big('longest', 'width')}, {big('longest - n', 'padded')}, {q6('total')} FROM b""",
+    f"""WITH {FRAMES}, v AS (SELECT video_id, frame_idx // 32 AS i, count(*) AS n, sum(k) AS total FROM frames GROUP BY ALL), b AS (SELECT *, max(n) OVER (PARTITION BY video_id // 8) AS longest FROM v)
+    SELECT video_id, {big('i', 'window_index')}, {big('video_id // 8', 'batch')}, {big('longest', 'width')}, {big('longest - n', 'padded')}, {q6('total')} FROM b""",
 )
 def batch_pad(spark, sf):
-    # One bounded window per video stands for a stored sequence.
-    seq = D.windows(frames(spark, sf), ["k"], 256, 0, "pad").where(F.col("window_index") == 0)
-    values = F.slice(F.transform("values", lambda r: r[0]), F.lit(1), F.least(F.col("original_length"), F.lit(256)).cast("int"))
-    done = D.pad_batch(seq.select("video_id", values.alias("values")), "video_id", "values", 8)
+    # Stored sequences: the unpadded windows of every video; eight videos form a batch.
+    seq = D.windows(frames(spark, sf), ["k"], 32, 0, "pad")
+    have = (F.lit(32) - F.col("padding_length")).cast("int")
+    values = F.slice(F.transform("values", lambda r: r[0]), F.lit(1), have)
+    done = D.pad_batch(seq.select("video_id", "window_index", values.alias("values")), "video_id", "values", 8)
     show = done.select(
-        "video_id", "batch", F.size("values").alias("width"), F.size(F.filter("padding_mask", lambda m: m)).alias("padded"), V.total(F.col("values")).alias("total")
+        "video_id", "window_index", "batch", F.size("values").alias("width"), F.size(F.filter("padding_mask", lambda m: m)).alias("padded"),
+        V.total(F.col("values")).alias("total"),
     )
-    return out(show, "video_id", "batch width padded", "total")
+    return out(show, "video_id", "window_index batch width padded", "total")
 
 
 @query(

@@ -273,7 +273,8 @@ def activity_profile(spark, sf):
 
 @query("frame_scorer")
 def frame_scorer(spark, sf):
-    """Logistic frame scores with class weights, fitted on four folds and applied to every frame."""
-    f = labelled(frames(spark, sf)).join(frames(spark, sf).select("video_id", "frame_idx", "energy", "pitch", "x", "y"), ["video_id", "frame_idx"])
+    """Logistic frame scores with class weights, fitted on and applied to every frame."""
+    hit = F.pmod(F.col("k") * 7 + F.col("event_id"), F.lit(100)) < F.col("k")
+    f = frames(spark, sf).select("video_id", "frame_idx", "score", "energy", "pitch", "x", "y", hit.cast("int").alias("truth"))
     model = scorer.fit_scorer(f, ["score", "energy", "pitch", "x", "y"], "truth")
     return out(scorer.score(model, f), "video_id frame_idx", "truth", "probability confidence")

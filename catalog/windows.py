@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.adapters import FRAMES, LONG, frames, long_frames, table
 from catalog.registry import query
-from catalog.shape import big, out, q6, r6
+from catalog.shape import big, out, q6
 from framewise.operators import smoothing as S
 from framewise.operators import windows as W
 
@@ -281,13 +281,15 @@ def smooth_savgol(spark, sf):
 @query(
     "smooth_ema",
     f"""WITH RECURSIVE {FRAMES}, ema AS (
-      SELECT video_id, frame_idx, score AS y FROM frames WHERE frame_idx = 0
-      UNION ALL SELECT f.video_id, f.frame_idx, 0.3::double * f.score + 0.7::double * e.y
+      SELECT video_id, frame_idx, (k + 1)/7.0::double AS y FROM frames WHERE frame_idx = 0
+      UNION ALL SELECT f.video_id, f.frame_idx, 0.3::double * (f.k + 1)/7.0::double + 0.7::double * e.y
       FROM ema e JOIN frames f ON f.video_id = e.video_id AND f.frame_idx = e.frame_idx + 1)
     SELECT video_id, frame_idx, {q6('y', 'smoothed')} FROM ema""",
 )
 def smooth_ema(spark, sf):
-    return out(S.smooth(frames(spark, sf), "score", "ema", alpha=0.3), KEYS, floats="smoothed")
+    # Sevenths have no finite decimals, so no smoothed value sits on a rounding boundary.
+    f = frames(spark, sf).withColumn("sevenths", (F.col("k") + 1) / 7.0)
+    return out(S.smooth(f, "sevenths", "ema", alpha=0.3), KEYS, floats="smoothed")
 
 
 def hop_sql(size: int, body: str) -> str:
@@ -383,3 +385,29 @@ def chatter_tv(spark, sf):
 )
 def local_variance(spark, sf):
     return out(W.local_variance(frames(spark, sf), "score"), "video_id", floats="local_variance")
+
+
+TEMPORAL = [f"{c}_{n}" for c in MEAN_COLS for n in ("ma5", "ma120", "std30", "diff2", "diff30", "change")]
+TEMPORAL_SQL = [
+    q6(e, f"{c}_{n}")
+    for c in MEAN_COLS
+    for n, e in (
+        ("ma5", f"avg({c}) {centred(5)}"), ("ma120", f"avg({c}) {centred(120)}"), ("std30", f"coalesce(stddev_samp({c}) {centred(30)}, 0)"),
+        ("diff2", f"coalesce({c} - lag({c}, 2) {OVER}, 0)"), ("diff30", f"coalesce({c} - lag({c}, 30) {OVER}, 0)"),
+        ("change", f"avg(d_{c}) {centred(3)}"),
+    )
+]
+
+
+@query(
+    "temporal_features",
+    per_frame(
+        *TEMPORAL_SQL, big(f"coalesce(speaking - lag(speaking) {OVER}, 0) > 0", "rising"), src=LONG,
+        extra=f""", cents AS (SELECT video_id, frame_idx, round(energy*100) AS energy, motion, speaking FROM frames),
+        d AS (SELECT *, {', '.join(f"coalesce(abs({c} - lag({c}) {OVER}), 0) AS d_{c}" for c in MEAN_COLS)} FROM cents)""",
+        frm="d",
+    ),
+)
+def temporal_features(spark, sf):
+    f = long_frames(spark, sf).select(*KEYS.split(), F.round(F.col("energy") * 100).alias("energy"), "motion", "speaking")
+    return out(W.temporal_features(f, MEAN_COLS, "speaking"), KEYS, "rising", " ".join(TEMPORAL))

@@ -128,16 +128,17 @@ def complement(clips: DataFrame, totals: DataFrame, total: str, key=KEY, start=S
         inclusive=False,
     )
     sized = blocks.join_per_key(chained, totals, key, start)
-    inner = sized.select(*keys, F.col(end).alias("gap_start"), F.coalesce("_next", total).alias("gap_end"), "covered", total)
-    head = sized.where(F.col(start) == F.col("_first")).select(
-        *keys, F.lit(0).cast("bigint").alias("gap_start"), F.col(start).alias("gap_end"), "covered", total
+    after = F.struct(F.col(end).alias("a"), F.coalesce("_next", total).alias("b"))
+    before = F.when(F.col(start) == F.col("_first"), F.struct(F.lit(0).cast("bigint").alias("a"), F.col(start).alias("b")))
+    found = sized.select(*keys, F.explode(F.array_compact(F.array(after, before))).alias("g"), "covered", total).select(
+        *keys, F.col("g.a").alias("gap_start"), F.col("g.b").alias("gap_end"), "covered", total
     )
     empty = totals.join(clips.select(*keys).distinct(), keys, "left_anti").select(
         *keys, F.lit(0).cast("bigint").alias("gap_start"), F.col(total).alias("gap_end"),
         F.lit(0).cast("bigint").alias("covered"), total,
     )
     return (
-        inner.unionByName(head).unionByName(empty)
+        found.unionByName(empty)
         .where(F.col("gap_start") < F.col("gap_end"))
         .withColumn("covered_ratio", F.col("covered") / F.col(total))
         .drop(total)
@@ -254,8 +255,8 @@ def pack_lanes(clips: DataFrame, ident: str, key=KEY, start: str = START, end: s
     """First-fit lanes: by start, each clip takes the lowest lane that is free.
 
     Wherever no clip is running all lanes are free, so the timeline is cut at idle points and each
-    unbroken stretch is packed on its own. A stretch is streamed batch by batch, holding only the
-    lanes' end times.
+    unbroken stretch is packed on its own. Sorted partitions are streamed batch by batch, holding
+    only the lanes' end times.
     """
     keys = blocks.as_list(key)
     stretch = blocks.merge_intervals(clips, key, start, end).select(
@@ -267,10 +268,14 @@ def pack_lanes(clips: DataFrame, ident: str, key=KEY, start: str = START, end: s
     names = clips.columns
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group: tuple = ()
         free_at: list[int] = []
         for batch in batches:
             lanes = []
-            for s, e in zip(batch[start], batch[end], strict=True):
+            groups = zip(*[batch[c] for c in [*keys, "_from"]], strict=True)
+            for g, s, e in zip(groups, batch[start], batch[end], strict=True):
+                if g != group:
+                    group, free_at = g, []
                 lane = next((i for i, t in enumerate(free_at) if s >= t), len(free_at))
                 if lane == len(free_at):
                     free_at.append(e)
@@ -282,8 +287,7 @@ def pack_lanes(clips: DataFrame, ident: str, key=KEY, start: str = START, end: s
     return (
         placed.repartition(*keys, "_from")
         .sortWithinPartitions(*keys, "_from", start, ident)
-        .groupBy(*keys, "_from")
-        .applyInPandas(pack, StructType([*clips.schema.fields, StructField("lane", LongType())]))
+        .mapInPandas(pack, StructType([*clips.schema.fields, StructField("lane", LongType())]))
     )
 
 

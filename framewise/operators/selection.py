@@ -196,25 +196,27 @@ def best_threshold(curve: DataFrame, min_recall: float = 0.71, by: str | Sequenc
 
 
 def sweep_f1(df: DataFrame, score: str, label: str, thresholds: Sequence[float] | None = None, default: float = 0.5) -> DataFrame:
-    """F1 at fixed thresholds in one aggregation; the first maximum wins, ``default`` if all are 0."""
+    """F1 with ``score > threshold`` at fixed thresholds; the first maximum wins, ``default`` if all are 0.
+
+    Rows are binned by how many thresholds they exceed, so the sweep reads the data once.
+    """
     grid = list(thresholds) if thresholds is not None else [0.1 + 0.05 * i for i in range(16)]
-    counts = []
-    for i, t in enumerate(grid):
-        on = F.col(score) > t
-        counts += [
-            F.sum((on & (F.col(label) == 1)).cast("bigint")).alias(f"tp{i}"),
-            F.sum((on & (F.col(label) == 0)).cast("bigint")).alias(f"fp{i}"),
-        ]
-    wide = df.agg(*counts, F.sum((F.col(label) == 1).cast("bigint")).alias("pos"))
+    passed = sum(((F.col(score) > t).cast("int") for t in grid), F.lit(0))
+    bins = df.groupBy(passed.alias("passed")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == 1).cast("bigint")).alias("pos")
+    )
+    packed = bins.agg(F.collect_list(F.struct("passed", "n", "pos")).alias("bins"), F.sum("pos").alias("positives"))
     eps = 1e-8
-    rows = []
-    for i, t in enumerate(grid):
-        tp, fp = F.col(f"tp{i}"), F.col(f"fp{i}")
-        precision, recall = tp / (tp + fp + eps), tp / (F.col("pos") + eps)
-        f1 = 2 * precision * recall / (precision + recall + eps)
-        rows.append(F.struct(F.lit(t).alias("threshold"), f1.alias("f1"), F.lit(-i).alias("place")))
-    best = F.array_max(F.transform(F.array(*rows), lambda r: F.struct(r["f1"], r["place"], r["threshold"])))
-    return wide.select(best.alias("b")).select(
+
+    def rated(t: Column, i: Column) -> Column:
+        def over(field: str) -> Column:
+            return F.aggregate(F.filter("bins", lambda b: b["passed"] > i), F.lit(0).cast("bigint"), lambda acc, b: acc + b[field])
+
+        precision, recall = over("pos") / (over("n") + eps), over("pos") / (F.col("positives") + eps)
+        return F.struct((2 * precision * recall / (precision + recall + eps)).alias("f1"), (-i).alias("place"), t.alias("threshold"))
+
+    best = F.array_max(F.transform(F.array(*[F.lit(t) for t in grid]), rated))
+    return packed.select(best.alias("b")).select(
         F.when(F.col("b.f1") > 0, F.col("b.threshold")).otherwise(default).alias("threshold"), F.col("b.f1").alias("f1")
     )
 

@@ -17,6 +17,7 @@ from framewise.functions import vectors as V
 from framewise.operators import ensemble
 from framewise.operators.windows import KEY, ORDER
 from framewise.plans import blocks
+from framewise.session import materialise
 
 
 def valid_vectors(df: DataFrame, vec: str, tiny: float = 1e-8) -> DataFrame:
@@ -62,7 +63,7 @@ def assign_centroid(df: DataFrame, vec: str, centres: DataFrame, drop: str | Non
 
 
 # Rows of one video followed in sequence, and how many groups are joined per further level.
-LEADER_BLOCK, LEADER_FAN, LEADER_LEVELS = 4096, 64, 3
+LEADER_BLOCK, LEADER_FAN = 4096, 64
 
 
 def _follow(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> list[int]:
@@ -104,7 +105,7 @@ def _weighted_means(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def leader_cluster(
     df: DataFrame, vec: str, threshold: float = 0.55, key=KEY, order=ORDER, block: int = LEADER_BLOCK,
-    fan: int = LEADER_FAN, levels: int = LEADER_LEVELS,
+    fan: int = LEADER_FAN,
 ) -> DataFrame:
     """Online clustering per video in time order.
 
@@ -132,9 +133,16 @@ def leader_cluster(
         *keys, blocks.int_div(order, block).alias("_grp"), F.col(order).alias("_sub"), F.lit(0).cast("bigint").alias("_local"),
         V.as_double(F.col(vec)).alias("_mean"), F.lit(1.0).alias("_w"),
     )
+    last = df.agg(F.max(order)).first()[0] or 0
+    levels, groups = 0, last // block + 1
+    while groups > 1:
+        levels, groups = levels + 1, -(-groups // fan)
     located = None
     for level in range(levels + 1):
         step = items.groupBy(*keys, "_grp").applyInPandas(follow(level == 0), step_type)
+        if levels:
+            # Labels feed both the next level and the result; follow each level only once.
+            step = materialise(step)
         if located is None:
             located = step.select(*keys, F.col("_sub").alias(order), "_grp", "_label")
         else:
@@ -144,8 +152,7 @@ def leader_cluster(
             break
         grouped = items.join(step, [*keys, "_grp", "_sub", "_local"])
         means = _weighted_means(grouped, [*keys, "_grp", "_label"])
-        up = F.lit(0).cast("bigint") if level == levels - 1 else blocks.int_div("_grp", fan)
-        items = means.select(*keys, up.alias("_grp"), F.col("_grp").alias("_sub"), F.col("_label").alias("_local"), "_mean", "_w")
+        items = means.select(*keys, blocks.int_div("_grp", fan).alias("_grp"), F.col("_grp").alias("_sub"), F.col("_label").alias("_local"), "_mean", "_w")
     return df.join(located.select(*keys, order, F.col("_label").alias("cluster")), [*keys, order])
 
 

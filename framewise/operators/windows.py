@@ -367,3 +367,31 @@ def local_variance(df: DataFrame, col: str, size: int = 5, key=KEY, order=ORDER)
         .groupBy(key)
         .agg(zero_if_null(F.avg("_var")).alias("local_variance"))
     )
+
+
+# The enrichment's windows and lags.
+MEAN_WINDOWS, STD_WINDOWS, LAGS = (5, 10, 30, 60, 120), (5, 30, 120), (1, 2, 30)
+
+
+def temporal_features(df: DataFrame, cols: Sequence[str], flag: str | None = None, key=KEY, order=ORDER) -> DataFrame:
+    """Moving means and deviations, lag differences, change scores and edges in one pass.
+
+    All frames share one window per block, so the enrichment costs one shuffle and one sort.
+    """
+    reach = max(MEAN_WINDOWS) // 2
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        steps = {f"_step_{c}": zero_if_null(F.abs(F.col(c) - F.lag(c).over(w))) for c in cols}
+        d = d.withColumns(steps)
+        new: list[Column] = []
+        for c in cols:
+            new += [F.avg(c).over(centred_frame(w, n)).alias(f"{c}_ma{n}") for n in MEAN_WINDOWS]
+            new += [zero_if_null(F.stddev_samp(c).over(centred_frame(w, n))).alias(f"{c}_std{n}") for n in STD_WINDOWS]
+            new += [zero_if_null(F.col(c) - F.lag(c, n).over(w)).alias(f"{c}_diff{n}") for n in LAGS]
+            new.append(F.avg(f"_step_{c}").over(centred_frame(w, 3)).alias(f"{c}_change"))
+        if flag:
+            edge = F.coalesce(F.col(flag) - F.lag(flag).over(w), F.lit(0))
+            new += [(edge > 0).cast("int").alias("rising"), (edge < 0).cast("int").alias("falling")]
+        return d.select("*", *new).drop(*steps)
+
+    return blocks.neighbourhood(df, key, order, max(reach, max(LAGS)) + 1, reach, build)

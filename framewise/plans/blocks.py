@@ -35,8 +35,8 @@ def as_list(key: str | Sequence[str]) -> list[str]:
 def int_div(column: Column | str, width) -> Column:
     """Floor division on the integer axis (``div`` truncates, so negative input is shifted)."""
     c = F.col(column) if isinstance(column, str) else column
-    w = F.lit(width) if not isinstance(width, Column) else width
-    return F.floor((c - F.pmod(c, w)) / w).cast("bigint")
+    w = width if isinstance(width, Column) else F.lit(width)
+    return F.call_function("div", c - F.pmod(c, w), w)
 
 
 def with_block(df: DataFrame, order: str, width: int | None = None) -> DataFrame:

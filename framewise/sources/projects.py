@@ -50,7 +50,8 @@ def read_projects(spark: SparkSession, path: str, key: str = "xml_id") -> DataFr
 def _sequences(df: DataFrame, schema: str) -> DataFrame:
     """Sequences at any depth of the project, in document order."""
     cut = F.regexp_extract_all("xml", F.lit(r"(?s)(<sequence[\s>].*?</sequence>)"), F.lit(1))
-    return df.select("*", F.posexplode(cut).alias("sequence", "_fragment")).withColumn("_s", F.from_xml("_fragment", schema))
+    # Parsed inside the generator, so that each fragment is read once however many fields are used.
+    return df.select("*", F.posexplode(F.transform(cut, lambda f: F.from_xml(f, schema))).alias("sequence", "_s"))
 
 
 def _or_empty(array: Column, like: str) -> Column:
@@ -108,58 +109,46 @@ def _last(values: Column, default: float) -> Column:
 
 
 def clip_params(clips: DataFrame) -> DataFrame:
-    """Scale, position, anchor, rotation and crop of parsed clips; the last matching parameter wins."""
-    Test = Callable[[Column], Column]
-    named = F.filter("effects", lambda e: e["name"].isNotNull())
+    """Scale, position, anchor, rotation and crop of parsed clips; the last matching parameter wins.
 
-    def parameters(effects: Column) -> Column:
-        return F.flatten(F.transform(effects, lambda e: _or_empty(e["parameter"], _PARAMETER)))
-
-    def ident(p: Column) -> Column:
-        return F.lower(F.coalesce(p["parameterid"], F.lit("")))
-
-    def title(p: Column) -> Column:
-        return F.lower(F.coalesce(p["name"], F.lit("")))
-
-    # The first rule that fits a parameter is the only one applied to it.
-    def is_rotation(p: Column) -> Column:
-        return (ident(p) == "rotation") | (title(p) == "rotation")
-
-    def is_scale(p: Column) -> Column:
-        return ~is_rotation(p) & ((ident(p) == "scale") | (title(p) == "scale"))
-
-    def is_center(p: Column) -> Column:
-        return ~is_rotation(p) & ~is_scale(p) & ((ident(p) == "center") | (title(p) == "center"))
-
-    def is_anchor(p: Column) -> Column:
-        return ~is_rotation(p) & ~is_scale(p) & ~is_center(p) & ((ident(p) == "centeroffset") | title(p).contains("anchor"))
-
-    def motion(test: Test, field: str) -> Column:
-        fit = F.filter(parameters(named), lambda p: p["name"].isNotNull() & test(p))
-        return F.transform(fit, lambda p: p["value"][field].try_cast("double"))
-
-    sides = ("left", "right", "top", "bottom")
+    A parameter is judged by its id or name, by the first rule that fits. Motion parameters count
+    only inside a named effect.
+    """
 
-    def crop(side: str) -> Column:
-        def test(p: Column) -> Column:
-            hit = F.lit(False)
-            for other in sides:
-                own = (ident(p) == f"{other}crop") | title(p).contains(other)
-                if other == side:
-                    return ~hit & own
-                hit = hit | own
-            return hit
-
-        fit = F.filter(parameters(F.col("effects")), lambda p: p["parameterid"].isNotNull() & test(p))
-        return F.transform(fit, lambda p: p["value"]["_VALUE"].try_cast("double"))
-
-    return clips.select(
-        "*",
-        _last(F.transform(motion(is_scale, "_VALUE"), lambda v: v / 100), 1.0).alias("scale"),
-        _last(motion(is_center, "horiz"), 0.0).alias("pos_x"), _last(motion(is_center, "vert"), 0.0).alias("pos_y"),
-        _last(motion(is_anchor, "horiz"), 0.0).alias("anchor_x"), _last(motion(is_anchor, "vert"), 0.0).alias("anchor_y"),
-        _last(motion(is_rotation, "_VALUE"), 0.0).alias("rotation"),
-        *[_last(crop(s), 0.0).alias(f"crop_{s[0]}") for s in sides],
+    def low(text: Column) -> Column:
+        return F.lower(F.coalesce(text, F.lit("")))
+
+    def reading(e: Column, p: Column) -> Column:
+        ident, title = low(p["parameterid"]), low(p["name"])
+        motion = (
+            F.when((ident == "rotation") | (title == "rotation"), "rotation")
+            .when((ident == "scale") | (title == "scale"), "scale")
+            .when((ident == "center") | (title == "center"), "center")
+            .when((ident == "centeroffset") | title.contains("anchor"), "anchor")
+        )
+        crop = F.when((ident == "leftcrop") | title.contains("left"), "left")
+        for side in ("right", "top", "bottom"):
+            crop = crop.when((ident == f"{side}crop") | title.contains(side), side)
+        value = p["value"]
+        return F.struct(
+            F.when((e["name"] != "") & p["name"].isNotNull(), motion).alias("motion"),
+            F.when(p["parameterid"].isNotNull(), crop).alias("crop"),
+            value["_VALUE"].try_cast("double").alias("number"),
+            value["horiz"].try_cast("double").alias("horiz"), value["vert"].try_cast("double").alias("vert"),
+        )
+
+    read = F.flatten(F.transform("effects", lambda e: F.transform(_or_empty(e["parameter"], _PARAMETER), lambda p: reading(e, p))))
+
+    def pick(rule: str, kind: str, field: str) -> Column:
+        return F.transform(F.filter("_read", lambda r: r[rule] == kind), lambda r: r[field])
+
+    return clips.withColumn("_read", read).select(
+        *clips.columns,
+        (_last(pick("motion", "scale", "number"), 100.0) / 100).alias("scale"),
+        _last(pick("motion", "center", "horiz"), 0.0).alias("pos_x"), _last(pick("motion", "center", "vert"), 0.0).alias("pos_y"),
+        _last(pick("motion", "anchor", "horiz"), 0.0).alias("anchor_x"), _last(pick("motion", "anchor", "vert"), 0.0).alias("anchor_y"),
+        _last(pick("motion", "rotation", "number"), 0.0).alias("rotation"),
+        *[_last(pick("crop", side, "number"), 0.0).alias(f"crop_{side[0]}") for side in ("left", "right", "top", "bottom")],
     )
 
 
