@@ -24,7 +24,7 @@ def process_new_files(
     writer.trigger(availableNow=True).start(target).awaitTermination()
 
 
-def process_new_files_stateful(
+def process_new_batches(
     spark: SparkSession, source: str, schema: StructType, handle: Callable[[DataFrame, int], None], checkpoint: str,
     fmt: str = "parquet", **options,
 ) -> None:
