@@ -320,13 +320,12 @@ def validated(spark, sf):
     f = frames(spark, sf)
     base = A.align_report(targets, {"any": sources}, 6 * HOUR_US, 60 * HOUR_US, "t_us")
 
-    def side(name: str, mod: int):
-        stats = base.where(F.pmod("video_id", F.lit(mod)) != 0)
-        return stats.select("video_id", F.lit(name).alias("modality"), "interpolated_pct", (F.col("max_gap") / (12.0 * HOUR_US)).alias("max_gap"))
-
+    kinds = [("audio", 7), ("visual", 5)]
+    each = F.array_compact(F.array(*[F.when(F.pmod("video_id", F.lit(m)) != 0, F.lit(n)) for n, m in kinds]))
+    stats = base.select("video_id", F.explode(each).alias("modality"), "interpolated_pct", (F.col("max_gap") / (12.0 * HOUR_US)).alias("max_gap"))
     videos = f.select("video_id").distinct()
-    audio, visual = (videos.where(F.pmod("video_id", F.lit(m)) != 0) for m in (7, 5))
-    return Q.validate_videos(videos, audio, visual, side("audio", 7).unionByName(side("visual", 5)))
+    audio, visual = (videos.where(F.pmod("video_id", F.lit(m)) != 0) for _, m in kinds)
+    return Q.validate_videos(videos, audio, visual, stats)
 
 
 @query("validate_videos", f"WITH {VALIDATED} SELECT video_id, has_audio, has_visual, array_to_string(issues, '; ') AS issues, status FROM fin")

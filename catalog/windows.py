@@ -281,15 +281,15 @@ def smooth_savgol(spark, sf):
 @query(
     "smooth_ema",
     f"""WITH RECURSIVE {FRAMES}, ema AS (
-      SELECT video_id, frame_idx, (k + 1)/7.0::double AS y FROM frames WHERE frame_idx = 0
-      UNION ALL SELECT f.video_id, f.frame_idx, 0.3::double * (f.k + 1)/7.0::double + 0.7::double * e.y
+      SELECT video_id, frame_idx, sqrt(k + 2.0::double) AS y FROM frames WHERE frame_idx = 0
+      UNION ALL SELECT f.video_id, f.frame_idx, 0.3::double * sqrt(f.k + 2.0::double) + 0.7::double * e.y
       FROM ema e JOIN frames f ON f.video_id = e.video_id AND f.frame_idx = e.frame_idx + 1)
     SELECT video_id, frame_idx, {q6('y', 'smoothed')} FROM ema""",
 )
 def smooth_ema(spark, sf):
-    # Sevenths have no finite decimals, so no smoothed value sits on a rounding boundary.
-    f = frames(spark, sf).withColumn("sevenths", (F.col("k") + 1) / 7.0)
-    return out(S.smooth(f, "sevenths", "ema", alpha=0.3), KEYS, floats="smoothed")
+    # Square roots have no finite decimals, so no smoothed value sits on a rounding boundary.
+    f = frames(spark, sf).withColumn("root", F.sqrt(F.col("k") + 2.0))
+    return out(S.smooth(f, "root", "ema", alpha=0.3), KEYS, floats="smoothed")
 
 
 def hop_sql(size: int, body: str) -> str:

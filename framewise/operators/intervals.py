@@ -15,6 +15,11 @@ from framewise.plans import blocks
 START, END = "start_frame", "end_frame"
 
 
+# Axis units per join bucket. A frame is only compared with the intervals crossing its bucket, so
+# the bucket is near the length of typical intervals.
+JOIN_BUCKET = 128
+
+
 def interval_join(
     frames: DataFrame, intervals: DataFrame, key=KEY, order: str = ORDER, start: str = START, end: str = END,
     how: str = "inner", width: int | None = None,
@@ -24,7 +29,7 @@ def interval_join(
     Both sides meet on ``(key, bucket of the axis)``, so the join is an equi-join spread over the
     timeline and an interval only meets frames of the buckets it crosses.
     """
-    keys, width = blocks.as_list(key), width or blocks.ROWS_PER_BLOCK
+    keys, width = blocks.as_list(key), width or min(JOIN_BUCKET, blocks.ROWS_PER_BLOCK)
     left = frames.withColumn(blocks.BLOCK, blocks.int_div(order, width))
     last = F.greatest(F.col(start), F.col(end) - 1)
     right = intervals.select(

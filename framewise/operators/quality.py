@@ -85,15 +85,20 @@ def validate_videos(
     modality ``interpolated_pct`` and ``max_gap`` in seconds.
     """
     result = tracks.select(key).distinct()
+    names = ("audio", "visual")
+    measured = alignment.groupBy(key).agg(*[
+        F.max(F.when(F.col("modality") == name, F.col(c).cast("double"))).alias(f"{name}_{c}")
+        for name in names for c in ("interpolated_pct", "max_gap")
+    ])
+    result = result.join(measured, key, "left")
     issues: list[Column] = []
-    for name, side in (("audio", audio), ("visual", visual)):
+    for name, side in zip(names, (audio, visual), strict=True):
         has, pct, gap = f"has_{name}", f"{name}_interpolated_pct", f"{name}_max_gap"
-        present = side.select(key).distinct().withColumn(has, F.lit(True)) if side is not None else None
-        result = result.join(present, key, "left") if present is not None else result.withColumn(has, F.lit(None).cast("boolean"))
-        stats = alignment.where(F.col("modality") == name).select(
-            key, F.col("interpolated_pct").alias(pct), F.col("max_gap").cast("double").alias(gap)
-        )
-        result = result.join(stats, key, "left").withColumn(has, F.coalesce(has, F.lit(False)))
+        if side is None:
+            result = result.withColumn(has, F.lit(False))
+        else:
+            present = side.select(key).distinct().withColumn(has, F.lit(True))
+            result = result.join(present, key, "left").withColumn(has, F.coalesce(has, F.lit(False)))
         issues += [
             F.when(~F.col(has), f"{name} features not found"),
             F.when(F.col(has) & (F.col(pct) > MAX_INTERPOLATED_PCT), f"{name} high interpolation"),

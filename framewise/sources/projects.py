@@ -283,10 +283,12 @@ def timeline(clips: DataFrame, source_fps: float, fps: float = 10.0, key=KEY, st
     placed = blocks.two_phase(
         blocks.with_block(cut, start), key, start,
         running={"start": ("sum", F.col("out") - F.col("in")), "position": ("count", F.lit(1))}, inclusive=False,
+        stats={"timeline_length": ("sum", F.col("out") - F.col("in")), "clips": ("count", F.lit(1))},
     )
     return placed.select(
         *blocks.as_list(key), "position", F.col("start").cast("bigint").alias("start"),
         (F.col("start") + F.col("out") - F.col("in")).cast("bigint").alias("end"), "in", "out",
+        "timeline_length", "clips",
     )
 
 
@@ -309,14 +311,22 @@ def export_timeline(clips: DataFrame, source_fps: float, fps: float = 10.0, key:
         *[tag(c, F.col(c)) for c in ("start", "end", "in", "out")],
         F.lit('<file id="file-1">'), tag("pathurl", address), F.lit("</file></clipitem>"),
     )
-    body = laid.select(key, (F.col("position") + 1).alias("line"), item.alias("xml"))
-    total = laid.groupBy(key).agg(F.max("end").alias("_total"), F.count(F.lit(1)).alias("_n"))
-    head = total.select(key, F.lit(0).cast("bigint").alias("line"), F.concat(
+    head = F.concat(
         F.lit('<?xml version="1.0" encoding="UTF-8"?><xmeml version="4"><sequence id="sequence-1">'), tag("name", name),
-        tag("duration", F.col("_total")), F.lit(rate + "<media><video><track>"),
-    ).alias("xml"))
-    foot = total.select(key, (F.col("_n") + 1).alias("line"), F.lit("</track></video></media></sequence></xmeml>").alias("xml"))
-    return body.unionByName(head).unionByName(foot)
+        tag("duration", F.col("timeline_length")), F.lit(rate + "<media><video><track>"),
+    )
+    foot = F.lit("</track></video></media></sequence></xmeml>")
+
+    def line(number: Column, text: Column) -> Column:
+        return F.struct(number.cast("bigint").alias("line"), text.alias("xml"))
+
+    # The first clip brings the head of its document along, the last one the foot.
+    position = F.col("position")
+    lines = F.array_compact(F.array(
+        F.when(position == 0, line(F.lit(0), head)), line(position + 1, item),
+        F.when(position == F.col("clips") - 1, line(position + 2, foot)),
+    ))
+    return laid.select(key, F.explode(lines).alias("l")).select(key, "l.line", "l.xml")
 
 
 def write_timeline(lines: DataFrame, path: str, key: str = KEY) -> None:
