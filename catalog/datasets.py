@@ -29,6 +29,21 @@ def pivot_tracks(spark, sf):
     return out(D.pivot_tracks(t, ["scale", "active"], 5), KEYS, floats=" ".join(WIDE))
 
 
+@query(
+    "join_outer_tracks",
+    f"""WITH {FRAMES}, {TRACKS}, a AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 0 AND frame_idx % 3 = 0),
+    b AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 1 AND frame_idx % 2 = 0), c AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 2 AND frame_idx % 5 = 0),
+    m AS (SELECT video_id, frame_idx, a.scale AS s0, b.scale AS s1 FROM a FULL JOIN b USING (video_id, frame_idx))
+    SELECT video_id, frame_idx, {q6('coalesce(s0, 0)', 'track_0_scale')}, {q6('coalesce(s1, 0)', 'track_1_scale')}, {q6('coalesce(c.scale, 0)', 'track_2_scale')} FROM m FULL JOIN c USING (video_id, frame_idx)""",
+)
+def join_outer_tracks(spark, sf):
+    """Per-track tables with different rows, merged on time: one pivot instead of a chain of outer joins."""
+    i, n = F.col("frame_idx"), F.col("track")
+    there = ((n == 0) & (i % 3 == 0)) | ((n == 1) & (i % 2 == 0)) | ((n == 2) & (i % 5 == 0))
+    wide = D.pivot_tracks(tracks(frames(spark, sf)).where(there), ["scale"], 3)
+    return out(wide, KEYS, floats="track_0_scale track_1_scale track_2_scale")
+
+
 @query(
     "unpivot_tracks",
     f"""WITH {FRAMES}, {TRACKS} SELECT video_id, frame_idx, {big('track')}, {q6('scale')}, {big('active')} FROM tracks""",

@@ -330,6 +330,12 @@ def augment_warp(df: DataFrame, factor: Column | float, key=KEY, order=ORDER) ->
     """Play each video at ``factor`` speed: row i repeats row ``floor(min(i * factor, n - 1))``."""
     keys = blocks.as_list(key)
     f = factor if isinstance(factor, Column) else F.lit(float(factor))
-    source = F.floor(F.least(F.col(order) * f, F.col("_n") - 1)).cast("bigint")
-    wanted = _lengths(df.select(*keys, order), key, order).select(*keys, F.col(order).alias("_i"), source.alias(order))
-    return wanted.join(df, [*keys, order]).drop(order).withColumnRenamed("_i", order).select(*df.columns)
+    played = _lengths(df.select(*keys, order), key, order).withColumn("_from", F.floor(F.col(order) * f).cast("bigint"))
+    inside = played.where(F.col("_from") < F.col("_n")).select(*keys, F.col(order).alias("_i"), F.col("_from").alias(order))
+    moved = inside.join(df, [*keys, order]).drop(order).withColumnRenamed("_i", order)
+    # Beyond the end every row repeats the video's last one: one row per video, joined by salt.
+    final = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), order).alias("_last"))
+    beyond = played.where(F.col("_from") >= F.col("_n")).select(*keys, order)
+    rest = [c for c in df.columns if c not in (*keys, order)]
+    held = blocks.join_per_key(beyond, final, key, order).select(*keys, order, *[F.col(f"_last.{c}").alias(c) for c in rest])
+    return moved.select(*df.columns).unionByName(held.select(*df.columns))

@@ -202,8 +202,9 @@ def overlaps(clips: DataFrame, key=KEY, start: str = START, end: str = END) -> D
     at = swept.select(*keys, "pos", (F.col("_starts") - F.col("_s")).alias("_open"), F.col("_ends").alias("_shut"), area.alias("_area"))
     first = at.select(*keys, F.col("pos").alias(start), F.col("_shut").alias("_shut0"), F.col("_area").alias("_area0"))
     last = at.select(*keys, F.col("pos").alias(end), F.col("_open").alias("_open1"), F.col("_area").alias("_area1"))
-    joined = blocks.join_per_key(real, first, [*keys, start], end)
-    joined = blocks.join_per_key(joined, last, [*keys, end], start)
+    # One row per position; a few salts for positions shared by many clips.
+    joined = blocks.join_per_key(real, first, [*keys, start], end, salts=4)
+    joined = blocks.join_per_key(joined, last, [*keys, end], start, salts=4)
     return joined.select(
         *clips.columns,
         (F.col("_open1") - F.col("_shut0") - 1).alias("partners"),
@@ -269,7 +270,7 @@ def pack_lanes(clips: DataFrame, ident: str, key=KEY, start: str = START, end: s
     )
     probes = clips.select(*keys, F.col(start).alias("_p")).distinct()
     home = interval_join(probes, stretch, key, "_p", "_from", "_to").select(*keys, F.col("_p").alias(start), "_from")
-    placed = blocks.join_per_key(clips, home, [*keys, start], ident)
+    placed = blocks.join_per_key(clips, home, [*keys, start], ident, salts=4)
     names = clips.columns
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -85,19 +85,32 @@ def cut_timing(df: DataFrame, time: str, key=KEY, order=ORDER) -> DataFrame:
 
 
 def density(df: DataFrame, axis: str, radius: int, key=KEY) -> DataFrame:
-    """Rows within ``radius`` axis units of each row, relative to the video's densest row."""
-    width = max(4 * radius, 1)
-    counted = blocks.neighbourhood(
-        df, key, axis, radius, radius,
-        lambda d, w: d.select("*", F.count(F.lit(1)).over(w.rangeBetween(-radius, radius)).alias("neighbours")),
-        width,
-    )
-    stamped = blocks.with_block(counted, axis, width)
-    return (
-        blocks.two_phase(stamped, key, axis, stats={"_peak": ("max", F.col("neighbours"))})
-        .withColumn("density", F.col("neighbours") / F.col("_peak"))
-        .drop("_peak", blocks.BLOCK)
+    """Rows within ``radius`` axis units of each row, relative to the video's densest row.
+
+    Counted as the difference of two running counts, at ``axis + radius`` and before
+    ``axis - radius``, so the cost does not grow with the number of rows in reach.
+    """
+    keys = blocks.as_list(key)
+    times = df.groupBy(*keys, axis).agg(F.count(F.lit(1)).alias("_n"))
+
+    def point(offset: int, side: int, rows: Column, sign: int) -> Column:
+        # At equal positions: lower bounds, then rows, then upper bounds.
+        return F.struct(
+            (F.col(axis) + offset).alias("pos"), F.lit(side).alias("side"), rows.alias("n"), F.lit(sign).alias("sign")
+        )
+
+    none = F.lit(0).cast("bigint")
+    points = times.select(
+        *keys, axis,
+        F.inline(F.array(point(-radius, 0, none, -1), point(0, 1, F.col("_n"), 0), point(radius, 2, none, 1))),
+    ).withColumn(blocks.BLOCK, blocks.int_div("pos", max(4 * radius, 1)))
+    counted = blocks.two_phase(points, keys, ["pos", "side", axis], running={"_upto": ("sum", F.col("n"))})
+    near = counted.groupBy(*keys, axis).agg(F.sum(F.col("sign") * F.col("_upto")).alias("neighbours"))
+    peaks = near.groupBy(*keys).agg(F.max("neighbours").alias("_peak"))
+    rated = blocks.join_per_key(near, peaks, key, axis).select(
+        *keys, axis, "neighbours", (F.col("neighbours") / F.col("_peak")).alias("density")
     )
+    return df.join(rated, [*keys, axis])
 
 
 def _cosine(a: Column, na: Column, b: Column, nb: Column, eps: float) -> Column:

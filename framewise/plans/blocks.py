@@ -281,16 +281,18 @@ def merge_intervals(
 SALTS = 16
 
 
-def join_per_key(rows: DataFrame, small: DataFrame, key: str | Sequence[str], spread: str, how: str = "inner") -> DataFrame:
+def join_per_key(
+    rows: DataFrame, small: DataFrame, key: str | Sequence[str], spread: str, how: str = "inner", salts: int | None = None
+) -> DataFrame:
     """Join rows to a one-row-per-key table without sending a hot key to one task.
 
     The per-key table is repeated once per salt and rows carry the salt of their ``spread`` column.
     Spark still turns this into a broadcast join when the measured size allows it.
     """
-    keys = as_list(key)
-    salted = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    keys, salts = as_list(key), salts or SALTS
+    salted = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
     return (
-        rows.withColumn("_salt", F.pmod(F.hash(spread), F.lit(SALTS)))
+        rows.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
         .join(salted, [*keys, "_salt"], how)
         .drop("_salt")
     )

@@ -231,3 +231,18 @@ def test_augment_noise_is_repeatable(spark):
 def test_negative_axis_blocks(spark):
     got = spark.createDataFrame([(v,) for v in (-8, -7, -1, 0, 6, 7)], "v bigint").select(blocks.int_div("v", 7)).collect()
     assert [r[0] for r in got] == [-2, -1, -1, 0, 0, 1]
+
+
+def test_density_counts_both_ends_and_repeated_times(spark):
+    times = [0, 0, 3, 10, 13, 14, 30]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "video_id int, frame_idx bigint, t bigint")
+    got = windows.density(df, "t", 10)
+    want = [sum(abs(a - b) <= 10 for b in times) for a in times]
+    assert column(got, "neighbours") == want
+    assert column(got, "density") == pytest.approx([w / max(want) for w in want])
+
+
+@pytest.mark.parametrize("factor", [0.8, 1.0, 1.25])
+def test_warp_repeats_the_last_row(spark, factor):
+    done = datasets.augment_warp(series(spark, [float(i) for i in range(20)]), factor)
+    assert column(done, "x") == [float(int(min(i * factor, 19))) for i in range(20)]
