@@ -76,13 +76,36 @@ def check_schema(df: DataFrame, required: Sequence[str], widths: Mapping[str, in
     return problems
 
 
+def find_issues(
+    df: DataFrame, name: str, required: Sequence[str], time: str = "time", gap: float = 1.0, key: str = KEY, order: str = ORDER
+) -> DataFrame:
+    """Issues of one modality as ``key, issue``: missing columns, missing values, time order, gaps.
+
+    Missing columns are known from the schema, concern every video and end the check.
+    """
+    absent = [c for c in required if c not in df.columns]
+    if absent:
+        text = f"{name} columns missing: {', '.join(absent)}"
+        return df.select(key).distinct().withColumn("issue", F.lit(text))
+    measured = [c for c in required if c != time and isinstance(df.schema[c].dataType, NumericType)]
+    holes = profile_nonfinite(df, key, measured).groupBy(key).agg(F.sum(F.col("nulls") + F.col("nans")).alias("_holes"))
+    found = check_time(df, time, gap, key, order).join(holes, key)
+    issues = F.array_compact(F.array(
+        F.when(F.col("non_monotonic"), f"{name} timestamps out of order"),
+        F.when(F.col("gaps") > 0, f"{name} gaps in time"),
+        F.when(F.col("_holes") > 0, f"{name} values missing"),
+    ))
+    return found.select(key, F.explode(issues).alias("issue"))
+
+
 def validate_videos(
-    tracks: DataFrame, audio: DataFrame | None, visual: DataFrame | None, alignment: DataFrame, key: str = KEY
+    tracks: DataFrame, audio: DataFrame | None, visual: DataFrame | None, alignment: DataFrame, findings: DataFrame | None = None,
+    key: str = KEY,
 ) -> DataFrame:
     """Status and issue list per video of the track manifest.
 
     ``audio`` and ``visual`` list the videos that have such features; ``alignment`` has per video and
-    modality ``interpolated_pct`` and ``max_gap`` in seconds.
+    modality ``interpolated_pct`` and ``max_gap`` in seconds; ``findings`` adds rows of ``find_issues``.
     """
     result = tracks.select(key).distinct()
     names = ("audio", "visual")
@@ -105,6 +128,11 @@ def validate_videos(
             F.when(F.col(has) & (F.col(gap) > MAX_GAP_SECONDS), f"{name} large gap"),
         ]
     listed = result.withColumn("issues", F.array_compact(F.array(*issues)))
+    if findings is not None:
+        # A few kinds of issue per video at most.
+        extra = findings.groupBy(key).agg(F.array_sort(F.collect_set("issue")).alias("_extra"))
+        none = F.array().cast("array<string>")
+        listed = listed.join(extra, key, "left").withColumn("issues", F.concat("issues", F.coalesce("_extra", none))).drop("_extra")
     status = (
         F.when(F.size("issues") == 0, "success")
         .when(~F.col("has_audio") | ~F.col("has_visual"), "missing_features")
@@ -152,6 +180,8 @@ def integrity(features: DataFrame, labels: DataFrame, time: str = "time", tracks
 
     A table lacking required columns makes every video an ERROR; that is known from the schema.
     """
+    broken = [c for c in ("active", "track", time) if c not in labels.columns]
+    labels = labels.withColumns({c: F.lit(None).cast("double") for c in broken}) if broken else labels
     f = features.groupBy(key).agg(F.count(F.lit(1)).alias("features_steps"), F.max(time).alias("features_duration"))
     both = f.join(_label_side(labels, "labels", time, key), key, "full_outer")
     step_diff = F.abs(F.col("features_steps") - F.col("labels_steps"))
@@ -161,7 +191,6 @@ def integrity(features: DataFrame, labels: DataFrame, time: str = "time", tracks
         F.when(time_diff > DURATION_TOLERANCE, "duration differs"),
         F.when(F.col("labels_tracks") != tracks, "unexpected tracks"),
     ))
-    broken = [c for c in ("active", "track", time) if c not in labels.columns]
     missing = F.col("features_steps").isNull() | F.col("labels_steps").isNull()
     return both.select(
         key, "features_steps", "labels_steps", step_diff.alias("step_diff"), time_diff.alias("duration_diff"),
