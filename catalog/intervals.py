@@ -14,6 +14,7 @@ from framewise.operators import metrics as M
 from framewise.operators import selection as S
 from framewise.operators import smoothing as SM
 from framewise.plans import blocks
+from framewise.session import materialise
 
 SPAN = "start_frame end_frame"
 
@@ -586,10 +587,12 @@ def highlight_selection(spark, sf):
     """Scores to clips: smooth, threshold, runs, merge, score, budget."""
     f = long_frames(spark, sf).select("video_id", "frame_idx", "k", "score")
     smooth = SM.smooth(f, "score", "savgol", window=5, degree=2).withColumn("smoothed", F.round("smoothed", 6))
+    # Four steps below start from this table; it is computed once.
+    smooth = materialise(smooth)
     chosen = S.search_threshold(smooth, "smoothed", 4.0, over=1.0).withColumn("threshold", F.col("threshold") - 1e-9)
     active = C.apply_thresholds(smooth, chosen, "smoothed", out="on_")
     found = I.refine_clips(I.extract_clips(active, "on_"), 1, 2)
-    scored = I.score_clips(found, f.withColumn("score", F.col("k").cast("double")), "score")
+    scored = I.score_clips(found, smooth.withColumn("score", F.col("k").cast("double")), "score")
     pick = F.round(F.col("mean_score") * (F.col("end_frame") - F.col("start_frame")))
     chosen_clips = S.select_budget(scored.withColumn("pick", pick), "pick", 20, 30)
     kept = chosen_clips.groupBy("video_id").agg(

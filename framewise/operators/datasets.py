@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Mapping, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
@@ -13,6 +15,9 @@ from framewise.functions import vectors as V
 from framewise.operators.windows import KEY, ORDER
 from framewise.plans import blocks
 
+# Task functions travel inside the plan, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- reshape ----------------------------------------------------------------------------------
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
@@ -20,6 +22,10 @@ from framewise.plans import blocks
 from framewise.session import materialise
 
 
+# Task functions travel inside the plan, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def valid_vectors(df: DataFrame, vec: str, tiny: float = 1e-8) -> DataFrame:
     """Drop vectors that are null, hold a NaN, or are all (nearly) zero."""
     broken = F.exists(vec, lambda x: x.isNull() | F.isnan(x))
