@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import exact_index, line_spread, mixing, packing
+from framewise.llm import bbit_minhash, exact_index, line_spread, mixing, packing
 from framewise.llm.shared import Scratch, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,7 +56,7 @@ def op5_exact_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_line_spread", r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
 keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS body FROM lines),
 wide AS (SELECT body FROM keyed WHERE body <> '' GROUP BY body HAVING count(DISTINCT coalesce('s' || source, '')) >= 5),
@@ -64,8 +64,13 @@ marked AS (SELECT k.*, w.body IS NOT NULL AS drop_it FROM keyed k LEFT JOIN wide
 SELECT m.doc_id, CASE WHEN any_value(length(d.text)) > 0 THEN count(*) ELSE 0 END AS n_lines,
        CAST(count(*) FILTER (WHERE drop_it) AS BIGINT) AS n_removed,
        CASE WHEN any_value(d.text) IS NULL THEN NULL
-            ELSE coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT drop_it), '') END AS text
+            ELSE coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT drop_it), '') END AS text
 FROM marked m JOIN documents d USING (doc_id) GROUP BY m.doc_id
 """)
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.remove_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op10_bbit_minhash")
+def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bbit_minhash.document_components(documents(spark, sf_dir), Scratch(spark, "near"), k=4, percent=80)
