@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bbit_minhash, exact_index, line_spread, mixing, packing
+from framewise.llm import bbit_minhash, exact_index, line_spread, lm_scoring, mixing, packing
 from framewise.llm.shared import Scratch, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), with_ids=False).drop("ids")
 
 
+def remainder(modulus: int):
+    """crc32 of doc_id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, rest = documents(spark, sf_dir), remainder(7)
+    return lm_scoring.score(docs, Scratch(spark, "lm"), held_out=rest == 2, tuning=rest == 5)
+
+
 @query("op5_exact_index", """
 WITH rows AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
 groups AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM rows GROUP BY text_sha256)
