@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bbit_minhash, exact_index, line_spread, lm_scoring, mixing, packing
+from framewise.llm import bbit_minhash, exact_index, line_spread, lm_scoring, mixing, packing, quality_fm
 from framewise.llm.shared import Scratch, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,13 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bbit_minhash")
 def op10_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bbit_minhash.document_components(documents(spark, sf_dir), Scratch(spark, "near"), k=4, percent=80)
+
+
+@query("op9_quality_fm")
+def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held_out = remainder(5) == 0
+    model = quality_fm.train(docs, labels.where(~held_out), usable=~held_out)
+    rows = quality_fm.score(docs, model, carry=["doc_id"])
+    rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("quality_score").alias("score"))
+    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
