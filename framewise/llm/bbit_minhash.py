@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewise.llm.neargroups import near_groups
+from framewise.llm.neargroups import DOCUMENTS, fingerprints, near_groups, sets_of
 from framewise.llm.shared import Scratch, columns
 
 
@@ -24,7 +24,13 @@ def document_components(docs: DataFrame, scratch: Scratch, k: int = 5, percent:
     """doc_id, n_shingles, component_id, kept."""
     rows = columns(docs, doc_id="long", text="string")
     texts = rows.select(F.struct("doc_id", F.xxhash64("text").alias("key")).alias("ident"), "text")
-    grouped = near_groups(texts, scratch, k, percent)
+    prints = scratch.keep(fingerprints(texts, k), "prints")
+
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        owners = wanted.withColumnRenamed("ident", "owner")
+        return sets_of(texts.join(owners, F.col("ident").eqNullSafe(F.col("owner"))).dropDuplicates(["node"]), k)
+
+    grouped = near_groups(prints, sets_for, scratch, percent, DOCUMENTS)
     smallest = grouped.where("n > 0").groupBy("label").agg(F.min("ident.doc_id").alias("component_id"))
     smallest = smallest.withColumnRenamed("label", "of")
     rows = grouped.join(smallest, F.col("label") == F.col("of"), "left")

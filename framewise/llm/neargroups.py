@@ -1,7 +1,7 @@
 """Groups of near-equal texts: b-bit MinHash, bands, exact confirmation, components.
 
 1. ``fingerprints``: one pass over the texts gives each its number of distinct shingles, a digest of the
-   set, ``BANDS`` band keys of ``ROWS`` minima each, and the low four bits of every minimum packed in longs.
+   set, a key for every band of minima, and the low four bits of every minimum packed in longs.
 2. Texts of one set become one node, so exact copies cost nothing further.
 3. Nodes that share a band key are candidates. A bucket is linked as a star to its smallest node first; what
    the star leaves in other components is compared across components, so no link is lost and no
@@ -16,7 +16,8 @@ the estimate (0.2 under the threshold, over five standard deviations) in fewer t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,41 +28,71 @@ from framewise.llm import textarrays
 from framewise.llm.components import components
 from framewise.llm.shared import Scratch
 
-HASHES, ROWS = 128, 4
-BANDS = HASHES // ROWS
-BITS = 4
-LANES = 64 // BITS
-LONGS = HASHES // LANES
-SIGNATURE = [f"s{i}" for i in range(LONGS)]
-SLACK = 0.2
-_SEEDS = textarrays.mix64(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * textarrays.BASE)
-FLIPS = (_SEEDS[:HASHES] >> np.uint64(32)).astype(np.uint32)
-TURNS = (_SEEDS[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-
-
-def minima(shingles: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """(texts, HASHES) minima; every text has at least one shingle."""
-    low = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(before) - 1, HASHES), np.uint32)
-    starts = before[:-1]
-    for j in range(HASHES):
-        out[:, j] = np.minimum.reduceat((low ^ FLIPS[j]) * TURNS[j], starts)
-    return out
-
-
-def band_keys(found: np.ndarray) -> np.ndarray:
-    rows = found.reshape(len(found), BANDS, ROWS).astype(np.uint64)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * textarrays.BASE
-    keys = np.broadcast_to(keys, rows.shape[:2]).copy()
-    for r in range(ROWS):
-        keys = textarrays.mix64(keys ^ rows[:, :, r])
-    return keys
+@dataclass(frozen=True)
+class Sketch:
+    """How a set is sketched: ``hashes`` minima, bands of ``rows`` of them, and the low four bits of each.
+
+    ``slack``: how far below the threshold the estimated similarity of a candidate may be; None leaves all
+    candidates to the exact check, for sketches too short for an estimate.
+    """
+
+    hashes: int = 128
+    rows: int = 4
+    slack: float | None = 0.2
+
+    @property
+    def bands(self) -> int:
+        return self.hashes // self.rows
+
+    @property
+    def longs(self) -> list[str]:
+        """Columns of the packed bits."""
+        return [f"s{i}" for i in range(self.hashes // LANES)] if self.slack is not None else []
+
+    def minima(self, shingles: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """(texts, hashes) minima; every text has at least one shingle."""
+        seeds = textarrays.mix64(np.arange(1, 2 * self.hashes + 1, dtype=np.uint64) * textarrays.BASE)
+        seeds = (seeds >> np.uint64(32)).astype(np.uint32)
+        flips, turns = seeds[: self.hashes], seeds[self.hashes :] | np.uint32(1)
+        low = (shingles >> np.uint64(32)).astype(np.uint32)
+        out = np.empty((len(before) - 1, self.hashes), np.uint32)
+        starts = before[:-1]
+        for j in range(self.hashes if len(out) else 0):
+            out[:, j] = np.minimum.reduceat((low ^ flips[j]) * turns[j], starts)
+        return out
+
+    def band_keys(self, found: np.ndarray) -> np.ndarray:
+        rows = found.reshape(len(found), self.bands, self.rows).astype(np.uint64)
+        keys = np.broadcast_to(np.arange(1, self.bands + 1, dtype=np.uint64) * textarrays.BASE, rows.shape[:2])
+        for r in range(self.rows):
+            keys = textarrays.mix64(keys ^ rows[:, :, r])
+        return keys
+
+    def packed_bits(self, found: np.ndarray) -> np.ndarray:
+        low = (found & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(found), len(self.longs), LANES)
+        shifts = np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)
+        return (low << shifts).sum(axis=2, dtype=np.uint64)
+
+    def likely(self, a: str, b: str, percent: int):
+        """Whether sizes and bits of the sets with these column prefixes allow the similarity."""
+        fits = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
+        return fits & (self.estimate(a, b) >= percent / 100 - self.slack) if self.slack is not None else fits
+
+    def estimate(self, a: str, b: str):
+        """The similarity two packed signatures suggest: agreement of lanes, less what chance gives."""
+        differ = F.lit(0)
+        for s in self.longs:
+            x = F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+            x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+            differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+        chance = 1 / (1 << BITS)
+        return ((1 - differ / self.hashes) - chance) / (1 - chance)
 
 
-def packed_bits(found: np.ndarray) -> np.ndarray:
-    low = (found & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(found), LONGS, LANES)
-    shifts = np.arange(LANES, dtype=np.uint64) * np.uint64(BITS)
-    return (low << shifts).sum(axis=2, dtype=np.uint64)
+BITS = 4
+LANES = 64 // BITS
+DOCUMENTS = Sketch()
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -83,32 +114,33 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
-def fingerprints(texts: DataFrame, k: int) -> DataFrame:
+def fingerprints(texts: DataFrame, k: int, sketch: Sketch = DOCUMENTS) -> DataFrame:
     """(ident, text) -> ident, n, node, bands, s0..: texts without words have n 0 and no bands."""
     ident = texts.schema["ident"].dataType.simpleString()
-    schema = f"ident {ident}, n long, node long, bands array<long>, " + ", ".join(f"{s} long" for s in SIGNATURE)
+    schema = f"ident {ident}, n long, node long, bands array<long>" + "".join(f", {s} long" for s in sketch.longs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, values, before in shingle_sets(batch.column(1), k):
                 sizes = np.diff(before)
                 some = np.flatnonzero(sizes)
-                found = minima(values, np.concatenate([before[some], before[-1:]])) if len(some) else np.zeros((0, HASHES), np.uint32)
-                keys, bits = band_keys(found), np.zeros((last - first, LONGS), np.uint64)
-                bits[some] = packed_bits(found)
+                found = sketch.minima(values, np.concatenate([before[some], before[-1:]]))
+                keys, bits = sketch.band_keys(found), np.zeros((last - first, len(sketch.longs)), np.uint64)
+                if sketch.longs:
+                    bits[some] = sketch.packed_bits(found)
                 ends = np.zeros(last - first + 1, np.int32)
-                ends[1:] = np.cumsum(np.where(sizes > 0, BANDS, 0))
+                ends[1:] = np.cumsum(np.where(sizes > 0, sketch.bands, 0))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(sizes), _signed(_digests(values, before)),
-                     pa.ListArray.from_arrays(pa.array(ends), _signed(keys.reshape(-1))), *(_signed(bits[:, i]) for i in range(LONGS))],
-                    names=["ident", "n", "node", "bands", *SIGNATURE],
+                     pa.ListArray.from_arrays(pa.array(ends), _signed(keys.reshape(-1))), *(_signed(bits[:, i]) for i in range(len(sketch.longs)))],
+                    names=["ident", "n", "node", "bands", *sketch.longs],
                 )
 
     return texts.select("ident", "text").mapInArrow(run, schema)
 
 
 def sets_of(texts: DataFrame, k: int) -> DataFrame:
-    """(node, ident, text) -> node, members: the sorted distinct shingles as 64-bit values."""
+    """(node, text) -> node, members: the sorted distinct shingles as 64-bit values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,18 +153,6 @@ def sets_of(texts: DataFrame, k: int) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, members binary")
 
 
-def estimate(a: str, b: str):
-    """The similarity two packed signatures suggest: agreement of lanes, less what chance gives."""
-    differ = F.lit(0)
-    for s in SIGNATURE:
-        x = F.col(f"{a}{s}").bitwiseXOR(F.col(f"{b}{s}"))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        differ = differ + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    chance = 1 / (1 << BITS)
-    return ((1 - differ / HASHES) - chance) / (1 - chance)
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (u, v) with 100 * intersection >= percent * union of their full sets."""
     left = sets.select(F.col("node").alias("u"), F.col("members").alias("a"))
@@ -153,33 +173,29 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_groups(texts: DataFrame, scratch: Scratch, k: int, percent: int = 80) -> DataFrame:
-    """(ident, text) -> ident, n, node, label: texts of one label are linked by chains of pairs of the given
-    similarity; ``label`` is null for a text without words."""
-    spark = texts.sparkSession
-    prints = scratch.keep(fingerprints(texts, k), "prints")
-    firsts = [F.first(c).alias(c) for c in ("n", "bands", *SIGNATURE)]
+def near_groups(prints: DataFrame, sets_for: Callable[[DataFrame], DataFrame], scratch: Scratch, percent: int, sketch: Sketch) -> DataFrame:
+    """``prints`` (a written table of fingerprints) with ``label``: texts of one label are linked by chains of pairs
+    of the given similarity; it is null for a text without words.
+
+    ``sets_for`` turns (node, ident) into (node, members); it is asked for one text of every node that shares a
+    band with another.
+    """
+    firsts = [F.first(c).alias(c) for c in ("n", "bands", *sketch.longs)]
     nodes = scratch.keep(prints.where("n > 0").groupBy("node").agg(F.min("ident").alias("ident"), *firsts), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center")).where("size > 1")
     buckets = scratch.keep(members.join(buckets.select("key", "center"), "key"), "buckets")
     touched = buckets.select("node").distinct()
-    wanted = nodes.join(touched, "node", "left_semi").select("node", F.col("ident").alias("owner"))
-    found = texts.join(wanted, F.col("ident").eqNullSafe(F.col("owner"))).dropDuplicates(["node"])
-    sets = scratch.keep(sets_of(found, k), "sets")
-    marks = nodes.select("node", "n", *SIGNATURE)
+    sets = scratch.keep(sets_for(nodes.join(touched, "node", "left_semi").select("node", "ident")), "sets")
+    marks = nodes.select("node", "n", *sketch.longs)
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bits allow the similarity."""
         for side in ("u", "v"):
-            named = marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *SIGNATURE)))
+            named = marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *sketch.longs)))
             pairs = pairs.join(named, side)
-        return pairs.where(likely("u_", "v_")).select("u", "v")
-
-    def likely(a: str, b: str):
-        fits = (100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n"))
-        return fits & (estimate(a, b) >= percent / 100 - SLACK)
+        return pairs.where(sketch.likely("u_", "v_", percent)).select("u", "v")
 
     star = buckets.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
     links = scratch.keep(confirmed(promising(star), sets, percent), "links")
@@ -193,15 +209,15 @@ def near_groups(texts: DataFrame, scratch: Scratch, k: int, percent: int = 80) -
     per = per.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     per = per.where("labels > 1").select("key", "main")
     rest = named.join(per, "key").where("label <> main").drop("main")
-    u = rest.select("key", *(F.col(c).alias(f"u_{c}") for c in ("node", "label", "n", *SIGNATURE)))
-    v = named.join(per, "key").select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "n", "main", *SIGNATURE)))
+    u = rest.select("key", *(F.col(c).alias(f"u_{c}") for c in ("node", "label", "n", *sketch.longs)))
+    v = named.join(per, "key").select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "n", "main", *sketch.longs)))
     # Of two that both stand outside the largest component, one order is enough.
     once = (F.col("v_label") == F.col("v_main")) | (F.col("u_node") < F.col("v_node"))
-    across = u.join(v, (u["key"] == v["key"]) & (F.col("u_label") != F.col("v_label")) & once & likely("u_", "v_"))
+    across = u.join(v, (u["key"] == v["key"]) & (F.col("u_label") != F.col("v_label")) & once & sketch.likely("u_", "v_", percent))
     across = across.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
     across = across.join(tried, ["u", "v"], "left_anti")
     more = scratch.keep(confirmed(across, sets, percent), "more")
     if more.limit(1).count():
         labels = components(links.unionByName(more), scratch)
-    out = prints.select("ident", "n", "node").join(labels, "node", "left")
+    out = prints.drop("bands", *sketch.longs).join(labels, "node", "left")
     return out.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bbit_minhash, exact_index, line_spread, lm_scoring, mixing, packing, quality_fm
+from framewise.llm import bbit_minhash, exact_index, line_spread, lm_scoring, mixing, packing, passage_dedup, quality_fm
 from framewise.llm.shared import Scratch, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,8 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_fm.score(docs, model, carry=["doc_id"])
     rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("quality_score").alias("score"))
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op7_passage_dedup")
+def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeats(documents(spark, sf_dir), Scratch(spark, "passages")).drop("key")
