@@ -7,7 +7,8 @@
    the star leaves in other components is compared across components, so no link is lost and no
    bucket is expanded into its pairs.
 4. Candidates whose similarity, estimated from the packed bits and corrected for chance agreement, is
-   hopeless are dropped; the rest is confirmed on the full sets.
+   hopeless are dropped, and so are those whose parities show too many members that are not common; the rest
+   is confirmed on the full sets.
 5. Components of the confirmed links.
 
 At similarity 0.8 two sets share no band with a probability of (1 - 0.8^4)^32 = 5e-8, and fall below the cut of
@@ -74,9 +75,16 @@ class Sketch:
         return (low << shifts).sum(axis=2, dtype=np.uint64)
 
     def likely(self, a: str, b: str, percent: int):
-        """Whether sizes and bits of the sets with these column prefixes allow the similarity."""
+        """Whether sizes, bits and parities of the sets with these column prefixes allow the similarity.
+
+        Sizes and parities never exclude a pair wrongly.
+        """
         fits = 100 * F.least(f"{a}n", f"{b}n") >= percent * F.greatest(f"{a}n", f"{b}n")
-        return fits & (self.estimate(a, b) >= percent / 100 - self.slack) if self.slack is not None else fits
+        if self.slack is not None:
+            fits = fits & (self.estimate(a, b) >= percent / 100 - self.slack)
+        odd = F.zip_with(f"{a}parity", f"{b}parity", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        least = F.aggregate(odd, F.lit(0), lambda total, x: total + x)
+        return fits & ((100 + percent) * least <= (100 - percent) * (F.col(f"{a}n") + F.col(f"{b}n")))
 
     def estimate(self, a: str, b: str):
         """The similarity two packed signatures suggest: agreement of lanes, less what chance gives."""
@@ -139,18 +147,32 @@ def fingerprints(texts: DataFrame, k: int, sketch: Sketch = DOCUMENTS) -> DataFr
     return texts.select("ident", "text").mapInArrow(run, schema)
 
 
+def set_rows(nodes: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
+    """node, members (sorted shingles), parity.
+
+    Bit i of the parity tells whether an odd number of members falls into cell i. The parities of two sets differ
+    in at most as many cells as the sets have members that are not common.
+    """
+    cells = [np.bincount((x >> np.uint64(64 - PARITY_BITS)).astype(np.int64), minlength=1 << PARITY_BITS) & 1 for x in sets]
+    bits = np.packbits(np.array(cells, np.uint8).reshape(len(sets), -1), axis=1).reshape(-1)
+    longs = (1 << PARITY_BITS) // 64
+    parity = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * longs), pa.array(np.ascontiguousarray(bits).view(np.int64)))
+    return pa.RecordBatch.from_arrays([nodes, pa.array([x.tobytes() for x in sets], pa.binary()), parity], names=["node", "members", "parity"])
+
+
+PARITY_BITS = 11
+SETS = "node long, members binary, parity array<long>"
+
+
 def sets_of(texts: DataFrame, k: int) -> DataFrame:
-    """(node, text) -> node, members: the sorted distinct shingles as 64-bit values."""
+    """(node, text) -> rows of ``set_rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, values, before in shingle_sets(batch.column(1), k):
-                blobs = [values[a:b].tobytes() for a, b in zip(before[:-1], before[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, last - first), pa.array(blobs, pa.binary())], names=["node", "members"]
-                )
+                yield set_rows(batch.column(0).slice(first, last - first), [values[a:b] for a, b in zip(before[:-1], before[1:], strict=True)])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, members binary")
+    return texts.select("node", "text").mapInArrow(run, SETS)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -177,7 +199,7 @@ def near_groups(prints: DataFrame, sets_for: Callable[[DataFrame], DataFrame], s
     """``prints`` (a written table of fingerprints) with ``label``: texts of one label are linked by chains of pairs
     of the given similarity; it is null for a text without words.
 
-    ``sets_for`` turns (node, ident) into (node, members); it is asked for one text of every node that shares a
+    ``sets_for`` turns (node, ident) into ``set_rows``; it is asked for one text of every node that shares a
     band with another.
     """
     firsts = [F.first(c).alias(c) for c in ("n", "bands", *sketch.longs)]
@@ -188,12 +210,13 @@ def near_groups(prints: DataFrame, sets_for: Callable[[DataFrame], DataFrame], s
     buckets = scratch.keep(members.join(buckets.select("key", "center"), "key"), "buckets")
     touched = buckets.select("node").distinct()
     sets = scratch.keep(sets_for(nodes.join(touched, "node", "left_semi").select("node", "ident")), "sets")
-    marks = nodes.select("node", "n", *sketch.longs)
+    marks = scratch.keep(nodes.select("node", "n", *sketch.longs).join(sets.select("node", "parity"), "node"), "marks")
+    carried = ("n", "parity", *sketch.longs)
 
     def promising(pairs: DataFrame) -> DataFrame:
         """Pairs whose sizes and bits allow the similarity."""
         for side in ("u", "v"):
-            named = marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *sketch.longs)))
+            named = marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in carried))
             pairs = pairs.join(named, side)
         return pairs.where(sketch.likely("u_", "v_", percent)).select("u", "v")
 
@@ -209,8 +232,8 @@ def near_groups(prints: DataFrame, sets_for: Callable[[DataFrame], DataFrame], s
     per = per.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
     per = per.where("labels > 1").select("key", "main")
     rest = named.join(per, "key").where("label <> main").drop("main")
-    u = rest.select("key", *(F.col(c).alias(f"u_{c}") for c in ("node", "label", "n", *sketch.longs)))
-    v = named.join(per, "key").select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "n", "main", *sketch.longs)))
+    u = rest.select("key", *(F.col(c).alias(f"u_{c}") for c in ("node", "label", *carried)))
+    v = named.join(per, "key").select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "main", *carried)))
     # Of two that both stand outside the largest component, one order is enough.
     once = (F.col("v_label") == F.col("v_main")) | (F.col("u_node") < F.col("v_node"))
     across = u.join(v, (u["key"] == v["key"]) & (F.col("u_label") != F.col("v_label")) & once & sketch.likely("u_", "v_", percent))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm import textarrays
-from framewise.llm.neargroups import Sketch, _digests, _signed, near_groups
+from framewise.llm.neargroups import SETS, Sketch, _digests, _signed, near_groups, set_rows
 from framewise.llm.shared import Scratch, columns
 
 SHINGLE = 5
@@ -114,7 +114,7 @@ def _unit_rows(batch: pa.RecordBatch, first: int, text: np.ndarray, at: np.ndarr
 
 
 def _line_sets(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, text, wanted: the line starts and nodes) -> node, members."""
+    """(doc_id, key, text, wanted: the line starts and nodes) -> rows of ``set_rows``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,15 +126,15 @@ def _line_sets(texts: DataFrame) -> DataFrame:
                 values, before = textarrays.distinct(*textarrays.sequence_hashes(hashes, lines, SHINGLE))
                 # A line is found by its first word; of lines that start at one word, the last is not empty.
                 place = {(int(t), int(a - counts[t])): i for i, (t, a) in enumerate(zip(owner, lines[:-1], strict=True))}
-                nodes, blobs = [], []
+                nodes, sets = [], []
                 for t in range(first, last):
                     for w in wanted[t].as_py():
                         i = place[t - first, w["at"]]
                         nodes.append(w["node"])
-                        blobs.append(values[before[i] : before[i + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(blobs, pa.binary())], names=["node", "members"])
+                        sets.append(values[before[i] : before[i + 1]])
+                yield set_rows(pa.array(nodes, pa.int64()), sets)
 
-    return texts.select("text", "wanted").mapInArrow(run, "node long, members binary")
+    return texts.select("text", "wanted").mapInArrow(run, SETS)
 
 
 def repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, percent: int = 80) -> DataFrame:
