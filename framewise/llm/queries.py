@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewise.llm import bbit_minhash, exact_index, line_spread, lm_scoring, mixing, packing, passage_dedup, quality_fm
+from framewise.llm import (
+    bbit_minhash, curve_ann, exact_index, line_spread, lm_scoring, mixing, packing, passage_dedup, preference, quality_fm,
+)
 from framewise.llm.shared import Scratch, documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +102,54 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_passage_dedup")
 def op7_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.repeats(documents(spark, sf_dir), Scratch(spark, "passages")).drop("key")
+
+
+@query("op6_curve_ann")
+def op6_curve_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return curve_ann.nearest(table, F.col("vec_id") % 50 == 0, Scratch(spark, "curves"))
+
+
+@query("op4_preference", r"""
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         '<|' || coalesce(role, '') || '|>' || chr(10) AS head,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+openings AS (SELECT *, min(conv_id) OVER (PARTITION BY role, text) AS leader FROM turns WHERE pos = 0),
+pairs AS (
+  SELECT leader AS chosen_id, conv_id AS rejected_id FROM openings WHERE conv_id <> leader
+  UNION
+  SELECT a.conv_id, b.conv_id FROM openings a JOIN openings b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+places AS (
+  SELECT chosen_id, rejected_id, pos FROM pairs JOIN turns ON conv_id = chosen_id
+  UNION
+  SELECT chosen_id, rejected_id, pos FROM pairs JOIN turns ON conv_id = rejected_id),
+prefixes AS (
+  SELECT p.chosen_id, p.rejected_id,
+         coalesce(min(p.pos) FILTER (WHERE c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text), max(p.pos) + 1) AS n
+  FROM places p LEFT JOIN turns c ON c.conv_id = p.chosen_id AND c.pos = p.pos
+  LEFT JOIN turns r ON r.conv_id = p.rejected_id AND r.pos = p.pos GROUP BY 1, 2),
+sides AS (
+  SELECT chosen_id, rejected_id, n, 'c' AS side, chosen_id AS conv_id FROM prefixes
+  UNION ALL SELECT chosen_id, rejected_id, n, 'r', rejected_id FROM prefixes),
+parts AS (
+  SELECT s.*, t.pos, t.role, t.text, t.head, t.head || t.text || '<|end|>' || chr(10) AS body, t.pos >= s.n AS own,
+         coalesce(sum(length(t.head || t.text) + 8) FILTER (WHERE t.pos >= s.n) OVER
+           (PARTITION BY s.chosen_id, s.rejected_id, side ORDER BY t.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+  FROM sides s JOIN turns t ON t.conv_id = s.conv_id),
+spans AS (
+  SELECT *, CAST(base + length(head) AS BIGINT) || '-' || CAST(base + length(head) + length(text) + 8 AS BIGINT) AS span FROM parts)
+SELECT chosen_id, rejected_id, CAST(n AS BIGINT) AS prefix_turns,
+       coalesce(string_agg(body, '' ORDER BY pos) FILTER (WHERE side = 'c' AND NOT own), '') AS prompt,
+       coalesce(string_agg(body, '' ORDER BY pos) FILTER (WHERE side = 'c' AND own), '') AS chosen,
+       coalesce(string_agg(span, ',' ORDER BY pos) FILTER (WHERE side = 'c' AND own AND role = 'assistant'), '') AS chosen_spans,
+       coalesce(string_agg(body, '' ORDER BY pos) FILTER (WHERE side = 'r' AND own), '') AS rejected,
+       coalesce(string_agg(span, ',' ORDER BY pos) FILTER (WHERE side = 'r' AND own AND role = 'assistant'), '') AS rejected_spans
+FROM spans GROUP BY chosen_id, rejected_id, n
+""")
+def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    threads = Scratch(spark, "preference").keep(preference.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "threads")
+    rows = preference.format_pairs(threads, preference.pairs_by_opening(threads))
+    plain = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
+    return rows.withColumns({"chosen_spans": plain("chosen_spans"), "rejected_spans": plain("rejected_spans")})
