@@ -229,3 +229,34 @@ def taken_words(mixed: Mix) -> DataFrame:
     rows = rows.join(per_source, F.col("source").eqNullSafe(F.col("s")))
     # Documents without words share a start with the next one, but take nothing.
     return rows.select("doc_id", "source", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, mixed: Mix) -> DataFrame:
+    """The rows of ``docs``, all columns, once for every pass that takes words of them; ``text`` is cut to these words.
+
+    White space between words that are taken stays. Rows alike in doc_id, source and size are told apart by their order.
+    """
+    kind = ["doc_id", "source", "size"]
+    nth = lambda *order: (F.row_number().over(Window.partitionBy(*kind).orderBy(*order))).alias("nth")
+    ranges = mixed.pieces.groupBy(*kind, "start", "pass").agg(
+        F.collect_list(F.struct("from_word", "words")).alias("ranges"), F.sum("words").alias("taken")
+    )
+    spots = mixed.docs.where("size > 0").select(*kind, "start", nth("start"))
+    same = F.lit(True)
+    for c in (*kind, "start"):
+        same = same & F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}"))
+    spots = spots.alias("p").join(ranges.alias("q"), same).select(*(F.col(f"p.{c}").alias(f"p_{c}") for c in kind), F.col("nth").alias("p_nth"), "ranges", "taken")
+    text = F.col("text").cast("string")
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), text.alias("text"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+    )
+    rows = rows.where("size > 0").select("*", nth("text"))
+    same = F.lit(True)
+    for c in (*kind, "nth"):
+        same = same & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    rows = rows.join(spots, same)
+    words = F.regexp_extract_all(F.col("text"), F.lit("[\\x20\\x09-\\x0D]*" + WORD), F.lit(0))
+    chosen = F.transform(F.sort_array("ranges"), lambda r: F.array_join(F.slice(words, r["from_word"].cast("int") + 1, r["words"].cast("int")), ""))
+    cut = F.when(F.col("taken") == F.col("size"), F.col("text")).otherwise(F.array_join(chosen, ""))
+    return rows.select(*(cut.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

@@ -242,5 +242,6 @@ def near_groups(prints: DataFrame, sets_for: Callable[[DataFrame], DataFrame], s
     more = scratch.keep(confirmed(across, sets, percent), "more")
     if more.limit(1).count():
         labels = components(links.unionByName(more), scratch)
+    scratch.drop("nodes", "buckets", "sets", "marks", "links", "tried", "named", "more")
     out = prints.drop("bands", *sketch.longs).join(labels, "node", "left")
     return out.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
