@@ -129,15 +129,15 @@ class Machine:
         return Machine(float(flat[0]), flat[1 : SLOTS + 1], flat[SLOTS + 1 :].reshape(SLOTS, FACTORS))
 
 
-def fit(slots: np.ndarray, values: np.ndarray, before: np.ndarray, labels: np.ndarray, epochs: int = 6, batch: int = 128, rate: float = 0.02, shrink: float = 1e-5, seed: int = 7) -> Machine:
-    """Logistic loss by Adam on batches of rows; deterministic for one order of the rows."""
+def fit(slots: np.ndarray, values: np.ndarray, before: np.ndarray, labels: np.ndarray, steps: int = 1000, batch: int = 128, rate: float = 0.02, shrink: float = 1e-5, seed: int = 7) -> Machine:
+    """Logistic loss by Adam, a fixed number of steps on batches of rows; deterministic for one order of the rows."""
     random = np.random.default_rng(seed)
     model = np.concatenate([np.zeros((SLOTS, 1)), random.normal(0, 0.01, (SLOTS, FACTORS))], axis=1)
     mean = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
     bias = np.log(mean / (1 - mean))
     first, second = np.zeros_like(model), np.zeros_like(model)
     step = 0
-    for _ in range(epochs):
+    while step < steps:
         order = random.permutation(len(labels))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
