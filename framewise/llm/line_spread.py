@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewise.llm.shared import Scratch
+
 LG_K = 12
 MARGIN = 0.1
 
@@ -32,7 +34,7 @@ def _key(line) -> F.Column:
 def line_sites(docs: DataFrame, site: str) -> DataFrame:
     """(line_key, site) of every non-blank line."""
     rows = docs.select(
-        F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("")).alias("site"),
+        F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n")).alias("site"),
         F.explode(_lines(F.col("text"))).alias("line"),
     )
     return rows.where(F.col("line").rlike("[^ \\t\\r]")).select(_key(F.col("line")).alias("line_key"), "site")
@@ -55,12 +57,13 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = 5, margi
     return sure.unionByName(exact)
 
 
-def remove_lines(docs: DataFrame, site: str = "source", min_sites: int = 5, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
+def remove_lines(docs: DataFrame, scratch: Scratch, site: str = "source", min_sites: int = 5, margin: float = MARGIN, lg_k: int = LG_K) -> DataFrame:
     """All columns, ``text`` without boilerplate lines, and n_lines, n_removed.
 
     A document is named by its own hash for the way back, so that repeated ids do not mix.
     """
-    flagged = boilerplate(docs, site, min_sites, margin, lg_k).select("line_key")
+    # Written first: a table of known size, joined on its own, lets Spark choose a broadcast or split a hot line.
+    flagged = scratch.keep(boilerplate(docs, site, min_sites, margin, lg_k).select("line_key"), "boilerplate")
     named = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").alias("text"),
         F.struct(F.col("doc_id").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("h")).alias("doc"),

@@ -72,7 +72,7 @@ WITH lines AS (
          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
   FROM documents),
 keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS body FROM lines),
-wide AS (SELECT body FROM keyed WHERE body <> '' GROUP BY body HAVING count(DISTINCT coalesce('s' || source, '')) >= 5),
+wide AS (SELECT body FROM keyed WHERE body <> '' GROUP BY body HAVING count(DISTINCT coalesce('s' || source, 'n')) >= 5),
 marked AS (SELECT k.*, w.body IS NOT NULL AS drop_it FROM keyed k LEFT JOIN wide w ON k.body = w.body AND k.body <> '')
 SELECT m.doc_id, CASE WHEN any_value(length(d.text)) > 0 THEN count(*) ELSE 0 END AS n_lines,
        CAST(count(*) FILTER (WHERE drop_it) AS BIGINT) AS n_removed,
@@ -81,7 +81,7 @@ SELECT m.doc_id, CASE WHEN any_value(length(d.text)) > 0 THEN count(*) ELSE 0 EN
 FROM marked m JOIN documents d USING (doc_id) GROUP BY m.doc_id
 """)
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_spread.remove_lines(documents(spark, sf_dir)).select("doc_id", "n_lines", "n_removed", "text")
+    return line_spread.remove_lines(documents(spark, sf_dir), Scratch(spark, "spread")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 @query("op10_bbit_minhash")
