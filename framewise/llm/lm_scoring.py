@@ -38,6 +38,8 @@ BLOCK_TOKENS = 1 << 20
 PARTITION_ENTRIES = 1 << 21
 #: Roles of documents: counted, held out of the counts to learn the weights, not learned from at all.
 COUNTED, TUNING, HELD_OUT = 0, 1, 2
+#: Of an n-gram's hash 56 bits are kept; words keep all 64.
+GRAM_BITS = np.uint64((1 << 64) - (1 << 8))
 END_WORD = np.uint64(0x454E44)
 BUCKETS = 40
 #: Steps per octave of the likelihood ratios that expectation-maximisation sees.
@@ -52,6 +54,17 @@ def _unzip(blob, kind, size: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(blob, size * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
 
+def _zip_sorted(values: np.ndarray) -> bytes:
+    """Ascending values as their steps, byte by byte, so that the high bytes, nearly all zero, cost nothing."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return _zip(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unzip_sorted(blob, size: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(blob, size * 8, codec="zstd", asbytes=True), np.uint8).reshape(8, size)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 BLOCK_SCHEMA = "block long, docs array<long>, roles binary, sizes binary, n_words long, words binary, n_tokens long, tokens binary"
 
 
@@ -106,6 +119,7 @@ class Block:
         self.tokens = _unzip(row["tokens"], np.uint32, row["n_tokens"])
         self.role = np.repeat(self.roles, self.sizes)
         self.starts = np.concatenate([[0], np.cumsum(self.sizes)])[:-1]
+        self.found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """The sorted distinct hashes of the order, and per token the place of the n-gram that ends there.
@@ -114,30 +128,29 @@ class Block:
         """
         if order == 1:
             return self.words, self.tokens
+        if order not in self.found:
+            self.found[order] = self._grams(order)
+        return self.found[order]
+
+    def _grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         word = self.words[self.tokens]
         value = word * textarrays.FACTORS[0]
         depth = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
         for back in range(1, order):
             earlier = np.where(depth >= back, np.roll(word, back), np.uint64(0))
             value = value + earlier * textarrays.FACTORS[back]
-        return np.unique(textarrays.mix64(value), return_inverse=True)
+        return np.unique(textarrays.mix64(value) & GRAM_BITS, return_inverse=True)
 
-    def contexts(self, order: int) -> tuple[np.ndarray, np.ndarray]:
-        """As ``grams``, for the ``order - 1`` words before each token."""
-        word = self.words[self.tokens]
-        depth = np.arange(len(word)) - np.repeat(self.starts, self.sizes)
-        value = np.full(len(word), np.uint64(order))
-        for back in range(1, order):
-            earlier = np.where(depth >= back, np.roll(word, back), np.uint64(0))
-            value = value + earlier * textarrays.FACTORS[32 + back]
-        return np.unique(textarrays.mix64(value), return_inverse=True)
+    def frequencies(self, order: int, counts: dict[int, np.ndarray]) -> np.ndarray:
+        """Per token, how often the ``order - 1`` words before it were followed by anything.
 
-    def asked(self, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(kind, hashes, places): everything whose counts the model needs."""
-        for n in range(1, order + 1):
-            yield n, *self.grams(n)
-        for n in range(2, order + 1):
-            yield -n, *self.contexts(n)
+        That is the count of the shorter n-gram that ends one token earlier; the start of a text is as frequent
+        as its end.
+        """
+        texts = counts[1][np.searchsorted(self.words, END_WORD)]
+        before = np.roll(counts[order - 1][self.grams(order - 1)[1]], 1)
+        before[self.starts] = texts
+        return before
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -150,13 +163,14 @@ REQUEST = "part int, block long, kind int, n long, hashes binary, counted binary
 
 
 def requests(kept: DataFrame, order: int, parts: int) -> DataFrame:
-    """One row per block, kind of count and partition: sorted hashes and this block's own counts of them."""
+    """One row per block, order and partition: sorted hashes and this block's own counts of them."""
     edges = _edges(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            for kind, hashes, places in block.asked(order):
+            for kind in range(1, order + 1):
+                hashes, places = block.grams(kind)
                 counted = np.bincount(places[block.role == COUNTED], minlength=len(hashes)).astype(np.uint32)
                 tuning = np.bincount(places[block.role == TUNING], minlength=len(hashes)).astype(np.uint32)
                 cuts = np.searchsorted(hashes, edges)
@@ -164,7 +178,7 @@ def requests(kept: DataFrame, order: int, parts: int) -> DataFrame:
                 columns = [[], [], [], [], []]
                 for p in range(parts):
                     a, b = cuts[p], cuts[p + 1]
-                    values = (p, b - a, _zip(hashes[a:b]), _zip(counted[a:b]), _zip(tuning[a:b]))
+                    values = (p, b - a, _zip_sorted(hashes[a:b]), _zip(counted[a:b]), _zip(tuning[a:b]))
                     for column, value in zip(columns, values, strict=True):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays(
@@ -193,7 +207,7 @@ def answers(asked: DataFrame) -> DataFrame:
         owners, hashes, counted, tuning = [], [], [], []
         for row in _rows(batches):
             owners.append((row["block"], row["n"]))
-            hashes.append(_unzip(row["hashes"], np.uint64, row["n"]))
+            hashes.append(_unzip_sorted(row["hashes"], row["n"]))
             counted.append(_unzip(row["counted"], np.uint32, row["n"]))
             tuning.append(_unzip(row["tuning"], np.uint32, row["n"]))
         found, places = np.unique(np.concatenate(hashes), return_inverse=True)
@@ -238,21 +252,16 @@ def _bucket(frequency: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(frequency > 0, np.log2(np.maximum(frequency, 1)).astype(np.int64) + 1, 0), BUCKETS - 1)
 
 
-def _likelihoods(block: Block, counts: dict, order: int, which: str, tokens: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Maximum likelihoods per token, from order 1 up (0 where the context is unseen), and the context's bucket."""
-    use = (lambda c: c[0]) if which == "counted" else (lambda c: c[0] + c[1])
-    out, bucket = [], np.zeros(len(block.tokens), np.int64)
-    for n in range(1, order + 1):
-        places = block.tokens if n == 1 else block.grams(n)[1]
-        seen = use(counts[n])[places].astype(np.float64)
-        if n == 1:
-            out.append(seen / max(tokens, 1))
-            continue
-        context = use(counts[-n])[block.contexts(n)[1]]
-        out.append(np.where(context > 0, seen / np.maximum(context, 1), 0.0))
-        # The longest context that was seen names the bucket.
+def _likelihoods(block: Block, counts: dict[int, np.ndarray], order: int, tokens: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Maximum likelihoods per token, from order 1 up (0 where the context is unseen), the frequency of the context at
+    each order, and the bucket of the longest context seen."""
+    likely, contexts, bucket = [counts[1][block.tokens] / max(tokens, 1)], [np.full(len(block.tokens), tokens)], np.zeros(len(block.tokens), np.int64)
+    for n in range(2, order + 1):
+        seen, context = counts[n][block.grams(n)[1]], block.frequencies(n, counts)
+        likely.append(np.where(context > 0, seen / np.maximum(context, 1), 0.0))
+        contexts.append(context)
         bucket = np.where(context > 0, (n - 2) * BUCKETS + _bucket(context), bucket)
-    return out, bucket
+    return likely, contexts, bucket
 
 
 def _steps(p: np.ndarray, floor: float) -> np.ndarray:
@@ -264,7 +273,7 @@ def tuning_histogram(kept: DataFrame, answered: DataFrame, order: int, tokens: i
     """bucket, steps (one per order), n: the held-out tokens by what each order says of them."""
 
     def run(block: Block, counts: dict) -> Iterator[pa.RecordBatch]:
-        found, bucket = _likelihoods(block, counts, order, "counted", tokens)
+        found, _, bucket = _likelihoods(block, {n: c[0] for n, c in counts.items()}, order, tokens)
         held = block.role == TUNING
         table = np.stack([bucket[held], *(_steps(p[held], floor) for p in found)], axis=1)
         cells, sizes = np.unique(table, axis=0, return_counts=True) if len(table) else (table, np.zeros(0, np.int64))
@@ -309,16 +318,13 @@ def _score_blocks(kept: DataFrame, answered: DataFrame, order: int, totals: dict
             table[bucket] = weights[min(weights, key=lambda b: (abs(b - bucket), b))]
 
     def run(block: Block, counts: dict) -> Iterator[pa.RecordBatch]:
-        found, bucket = _likelihoods(block, counts, order, "all", tokens)
+        counts = {n: c[0] + c[1] for n, c in counts.items()}
+        found, contexts, bucket = _likelihoods(block, counts, order, tokens)
         # Orders whose context was never seen give their weight to the uniform distribution.
         mixed = np.full(len(bucket), floor) * table[bucket, 0]
-        for n, p in enumerate(found, 1):
-            if n > 1:
-                context = counts[-n][0] + counts[-n][1]
-                mixed += np.where(context[block.contexts(n)[1]] > 0, p, floor) * table[bucket, n]
-            else:
-                mixed += (p if tokens else np.full(len(p), floor)) * table[bucket, n]
-        seen = (counts[1][0] + counts[1][1])[block.tokens]
+        for n, (p, context) in enumerate(zip(found, contexts, strict=True), 1):
+            mixed += np.where(context > 0, p, floor) * table[bucket, n]
+        seen = counts[1][block.tokens]
         base = np.log10((seen + 1) / (tokens + vocabulary + 1))
         sums = [np.add.reduceat(x, block.starts) for x in (base, np.log10(mixed), (seen > 0).astype(np.int64))]
         yield pa.RecordBatch.from_arrays(
@@ -332,7 +338,7 @@ def _score_blocks(kept: DataFrame, answered: DataFrame, order: int, totals: dict
     )
 
 
-def score(docs: DataFrame, scratch: Scratch, held_out: Column, tuning: Column, order: int = 3) -> DataFrame:
+def score(docs: DataFrame, scratch: Scratch, held_out: Column, tuning: Column, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text of ``docs``.
 
     ``held_out`` marks documents that nothing is learned from, ``tuning`` (among the others) those whose counts
@@ -340,7 +346,8 @@ def score(docs: DataFrame, scratch: Scratch, held_out: Column, tuning: Column, o
     """
     role = F.when(F.coalesce(held_out, F.lit(False)), HELD_OUT).when(F.coalesce(tuning, F.lit(False)), TUNING).otherwise(COUNTED)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), role.cast("int").alias("role"), F.col("text").cast("string").alias("text"))
-    kept = scratch.keep(blocks(rows), "blocks")
+    # Blocks meet their answers twice; in buckets they stay where they are, and only the answers move.
+    kept = scratch.keep_bucketed(blocks(rows), "blocks", "block")
     size = kept.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-size // PARTITION_ENTRIES))
     asked = requests(kept, order, parts)

@@ -6,6 +6,11 @@ later reads, and is the point where a retried task sees the same rows as the fir
 
 from __future__ import annotations
 
+import io
+import pathlib
+import uuid
+import zipfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -13,10 +18,29 @@ from pyspark.sql.types import StructType
 from framewise.session import scratch_path
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once per session, so that executors need no installed copy."""
+    context = spark.sparkContext
+    if getattr(context, "_framewise_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent.parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.writestr(str(file.relative_to(root.parent)), file.read_text())
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_path(spark, 'framewise')}.zip")
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    stream.write(packed.getvalue())
+    stream.close()
+    context.addPyFile(where.toString())
+    context._framewise_shipped = True
+
+
 class Scratch:
     """Intermediate tables of one operator call; ``drop`` removes those no longer needed."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.name, self.paths = spark, name, {}
 
     def keep(self, df: DataFrame, part: str) -> DataFrame:
@@ -25,6 +49,15 @@ class Scratch:
         self.paths.setdefault(part, []).append(path)
         return self.spark.read.schema(StructType(df.schema.fields)).parquet(path)
 
+    def keep_bucketed(self, df: DataFrame, part: str, column: str) -> DataFrame:
+        """As ``keep``, in as many buckets of ``column`` as a shuffle has partitions: what is grouped or joined by it
+        later moves only its other side."""
+        path, table = scratch_path(self.spark, f"{self.name}-{part}"), f"scratch_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.write.option("path", path).bucketBy(buckets, column).sortBy(column).saveAsTable(table)
+        self.paths.setdefault(part, []).append(path)
+        return self.spark.table(table)
+
     def drop(self, *parts: str) -> None:
         for part in parts:
             for path in self.paths.pop(part, []):
