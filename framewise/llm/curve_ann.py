@@ -223,9 +223,9 @@ def nearest(table: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, cu
     blocks = scratch.keep(_packs(along(first).select("vec_id", "vector"), wide, BLOCK, False), "blocks")
     chunks = _packs(along(queries).select("vec_id", "vector", "floor"), wide, CHUNK, True)
     # Every chunk of queries meets every block: rows of names only, joined with the arrays by name.
-    names = blocks.agg(F.collect_list("pack").alias("names"))
+    names = blocks.agg(F.collect_list("pack")).scalar()
     chunks = scratch.keep(chunks.select(F.col("pack").alias("chunk"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"), "floors"), "chunks")
-    tiles = chunks.select("chunk").join(F.broadcast(names)).select("chunk", F.explode("names").alias("pack"))
+    tiles = chunks.select("chunk", F.explode(names).alias("pack"))
     tiles = tiles.join(chunks, "chunk").join(blocks.select("pack", "ids", "rows"), "pack").select("q_ids", "q_rows", "floors", "ids", "rows")
     better = _tiles(tiles, wide, k)
     return _top(found.unionByName(better), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

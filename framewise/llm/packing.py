@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from framewise.llm.shared import columns
+from framewise.llm.shared import columns, ship
 
 WINDOW = 2048
 #: Tokens of a buffer; 16 MB at four bytes each.
@@ -212,4 +212,5 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, buffer_tokens:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _pack_batches(batches, vocabulary, window, buffer_tokens, with_ids)
 
+    ship(docs.sparkSession)
     return columns(docs, doc_id="long", text="string").mapInArrow(run, SCHEMA)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewise.llm import textarrays
+from framewise.llm.shared import ship
 
 WORD_SLOTS = 1 << 14
 BINS = 16
@@ -172,6 +173,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
 
     Only ids and labels are ranked; the ids are few by ``sample_rows`` and thus safe to broadcast.
     """
+    ship(docs.sparkSession)
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("double").alias("label"))
     marked = marked.where(F.col("id").isNotNull() & F.col("label").isNotNull()).groupBy("id").agg(F.avg("label").alias("label"))
     marked = marked.orderBy(F.xxhash64("id"), "id").limit(sample_rows)
@@ -206,6 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample_rows: int =
 
 def score(docs: DataFrame, blob: bytes | None, carry: list[str] | None = None) -> DataFrame:
     """``row``, a struct of the columns in ``carry`` (default: all), and ``quality_score`` from 0 to 1."""
+    ship(docs.sparkSession)
     carry = docs.columns if carry is None else carry
     rest = [c for c in carry if c != "text"]
     packed = docs.select(
