@@ -58,13 +58,21 @@ def join_positional(spark, sf):
 
 def views_and_clicks(spark, sf):
     f = frames(spark, sf)
-    sources = f.where(F.col("event_type") == "view").select("video_id", "t_us", "value")
+    sources = f.where(F.col("event_type") != "click").select("video_id", "t_us", "value")
     targets = f.where(F.col("event_type") == "click").select("video_id", "frame_idx", "t_us")
     return targets, sources
 
 
+# Stretch of a time axis that one task sorts.
+WIDTH_S = 86_400.0
+
+
+def in_seconds(df):
+    return df.withColumn("seconds", F.col("t_us") / 1e6)
+
+
 # Neighbouring sources of every target.
-AROUND = f"""{FRAMES}, s AS (SELECT * FROM frames WHERE event_type = 'view'), t AS (SELECT * FROM frames WHERE event_type = 'click'),
+AROUND = f"""{FRAMES}, s AS (SELECT * FROM frames WHERE event_type <> 'click'), t AS (SELECT * FROM frames WHERE event_type = 'click'),
   n AS (SELECT t.video_id, t.frame_idx, t.t_us, max(s.t_us) FILTER (s.t_us <= t.t_us) AS t0, min(s.t_us) FILTER (s.t_us > t.t_us) AS t1,
      arg_max(s.value, s.t_us) FILTER (s.t_us <= t.t_us) AS v0, arg_min(s.value, s.t_us) FILTER (s.t_us > t.t_us) AS v1,
      arg_min(s.value, s.t_us) AS vf FROM t LEFT JOIN s ON s.video_id = t.video_id GROUP BY ALL)"""
@@ -73,8 +81,8 @@ FLAG = f"least(t_us - t0, t1 - t_us) > {6 * HOUR_US}"
 
 @query("asof_ffill", f"WITH {AROUND} SELECT video_id, frame_idx, {q6('coalesce(v0, vf)', 'value_asof')} FROM n")
 def asof_ffill(spark, sf):
-    targets, sources = views_and_clicks(spark, sf)
-    return out(A.asof_ffill(targets, sources, ["value"], "t_us"), KEYS, floats="value_asof")
+    targets, sources = (in_seconds(df) for df in views_and_clicks(spark, sf))
+    return out(A.asof_ffill(targets, sources, ["value"], WIDTH_S, "seconds"), KEYS, floats="value_asof")
 
 
 @query(
@@ -83,8 +91,8 @@ def asof_ffill(spark, sf):
     {FLAG} AS interpolated FROM n""",
 )
 def interp_linear(spark, sf):
-    targets, sources = views_and_clicks(spark, sf)
-    return out(A.interp_linear(targets, sources, ["value"], 6 * HOUR_US, "t_us"), KEYS + " interpolated", floats="value_interp")
+    targets, sources = (in_seconds(df) for df in views_and_clicks(spark, sf))
+    return out(A.interp_linear(targets, sources, ["value"], 6 * 3600.0, WIDTH_S, "seconds"), KEYS + " interpolated", floats="value_interp")
 
 
 # Every fourth vector is a source; the others are targets on the same axis.
@@ -111,7 +119,7 @@ def vector_sides(spark, sf):
     SELECT video_id, vec_id, {q6('m[1]/nrm', 'first')}, {q6('m[64]/nrm', 'last')}, {q6('list_sum(m)/nrm', 'total')} FROM u""",
 )
 def interp_vector_l2(spark, sf):
-    done = A.interp_vector(*vector_sides(spark, sf), "embedding", "t", width=100_000)
+    done = A.interp_vector(*vector_sides(spark, sf), "embedding", 100_000, "t")
     return vector_digest(done)
 
 
@@ -126,7 +134,7 @@ def vector_digest(done):
     f"WITH {VAROUND} SELECT video_id, vec_id, {q6('m[1]', 'first')}, {q6('m[64]', 'last')}, {q6('list_sum(m)', 'total')} FROM mixed",
 )
 def interp_vector_upsample(spark, sf):
-    return vector_digest(A.interp_vector(*vector_sides(spark, sf), "embedding", "t", renorm=False, width=100_000))
+    return vector_digest(A.interp_vector(*vector_sides(spark, sf), "embedding", 100_000, "t", renorm=False))
 
 
 @query(
@@ -140,7 +148,7 @@ def interp_vector_upsample(spark, sf):
 )
 def align_report(spark, sf):
     targets, sources = views_and_clicks(spark, sf)
-    done = A.align_report(targets, {"view": sources}, 6 * HOUR_US, 48 * HOUR_US, "t_us")
+    done = A.align_report(targets, {"view": sources}, 6 * HOUR_US, 48 * HOUR_US, WIDTH_S * 1e6, "t_us")
     return out(done, "video_id modality available warn_interpolated warn_gap", "max_gap", "interpolated_pct coverage_pct")
 
 
@@ -212,10 +220,10 @@ def frame_clip_attrs(spark, sf):
     return out(A.frame_clip_attrs(f, clips(spark, sf), ["name", "enabled"], "ord"), KEYS + " name enabled", "track")
 
 
-KEYFRAMES = """kf AS (SELECT l_orderkey AS clip, l_linenumber * 10 AS w, arg_min(l_quantity, (l_partkey, l_suppkey)) AS v
-    FROM lineitem WHERE l_orderkey % 50 = 0 GROUP BY ALL),
+KEYFRAMES = """kf AS (SELECT l_orderkey AS clip, l_linenumber * 10 AS w, arg_min(l_quantity, (l_partkey, l_suppkey, l_quantity)) AS v
+    FROM lineitem GROUP BY ALL),
   clip AS (SELECT clip, CASE WHEN clip % 700 = 0 THEN 5.0::double END AS fixed FROM kf GROUP BY clip
-           UNION ALL SELECT DISTINCT -l_orderkey - 1, NULL FROM lineitem WHERE l_orderkey % 1000 = 0)"""
+           UNION ALL SELECT DISTINCT -l_orderkey - 1, NULL FROM lineitem)"""
 
 
 @query(
@@ -227,12 +235,11 @@ KEYFRAMES = """kf AS (SELECT l_orderkey AS clip, l_linenumber * 10 AS w, arg_min
 )
 def keyframe_interp(spark, sf):
     li = table(spark, sf, "lineitem")
-    lines = li.where(F.pmod("l_orderkey", F.lit(50)) == 0)
-    kf = lines.groupBy(F.col("l_orderkey").alias("clip"), (F.col("l_linenumber") * 10).cast("bigint").alias("when")).agg(
-        F.min_by("l_quantity", F.struct("l_partkey", "l_suppkey")).alias("value")
+    kf = li.groupBy(F.col("l_orderkey").alias("clip"), (F.col("l_linenumber") * 10).cast("bigint").alias("when")).agg(
+        F.min_by("l_quantity", F.struct("l_partkey", "l_suppkey", "l_quantity")).alias("value")
     )
     fixed = kf.select("clip").distinct().withColumn("fixed", F.when(F.pmod("clip", F.lit(700)) == 0, 5.0))
-    bare = li.where(F.pmod("l_orderkey", F.lit(1000)) == 0).select((-F.col("l_orderkey") - 1).alias("clip")).distinct()
+    bare = li.select((-F.col("l_orderkey") - 1).alias("clip")).distinct()
     every = fixed.unionByName(bare.withColumn("fixed", F.lit(None).cast("double"))).withColumn("length", F.lit(81))
     done = A.keyframe_values(every, kf, "length", "fixed", 100.0).withColumnRenamed("when", "frame")
     return out(done, "clip", "frame", "value")

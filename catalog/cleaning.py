@@ -374,7 +374,7 @@ FIRST_SEEN = f"""WITH {NAMED}, s AS (SELECT video_id, {{name}} AS name, min({{or
 def first_seen_id(spark, sf):
     from framewise.operators import ensemble as E
 
-    return out(E.first_seen_id(named(frames(spark, sf)), "video_id", "clip_name", "frame_idx"), "video_id clip_name", "asset_id")
+    return out(E.first_seen_id(named(frames(spark, sf)), "video_id", "clip_name", "frame_idx", modulo=10), "video_id clip_name", "asset_id")
 
 
 @query(
@@ -385,7 +385,7 @@ def first_seen_id(spark, sf):
 def first_seen_id_global(spark, sf):
     from framewise.operators import ensemble as E
 
-    return out(E.first_seen_id(named(frames(spark, sf)), (), "clip_name", "event_id"), "clip_name", "asset_id")
+    return out(E.first_seen_id(named(frames(spark, sf)), (), "clip_name", "event_id", modulo=10), "clip_name", "asset_id")
 
 
 @query(
@@ -396,4 +396,4 @@ def first_seen_id_global(spark, sf):
 )
 def speaker_asset_id(spark, sf):
     f = named(frames(spark, sf))
-    return out(VO.speaker_asset_ids(f.withColumn("media_type", media(f)), "clip_name", "media_type"), KEYS, "asset_id")
+    return out(VO.speaker_asset_ids(f.withColumn("media_type", media(f)), "clip_name", "media_type", last_speaker=N.MAX_SPEAKER_ID), KEYS, "asset_id")

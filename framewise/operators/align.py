@@ -12,10 +12,6 @@ from framewise.operators.intervals import END, START, interval_join
 from framewise.operators.windows import KEY, ORDER
 from framewise.plans import blocks
 
-# Axis units per block for irregular axes; the row rate times this bounds one task's sort.
-AXIS_WIDTH = 600_000_000
-
-
 def tick(time: str | Column, digits: int = 1) -> Column:
     """Time in seconds as an integer number of ``10 ** -digits`` s."""
     c = F.col(time) if isinstance(time, str) else time
@@ -36,21 +32,22 @@ def zip_by_index(left: DataFrame, right: DataFrame, key=KEY, index: str = ORDER)
 
 
 def _around(
-    targets: DataFrame, sources: DataFrame, time: str, cols: Sequence[str], key, width: int, nexts: bool
+    targets: DataFrame, sources: DataFrame, time: str, cols: Sequence[str], key, width: float, nexts: bool, tie: str | None
 ) -> DataFrame:
     """Targets with the neighbouring source rows as structs ``_prev``, ``_next`` and ``_first``.
 
-    Both sides share one axis; at equal times sources come first. One union, blocks of the axis,
-    and carries between blocks replace a per-video sort.
+    Both sides share one numeric axis, in whatever unit; at equal times sources come first, in the order of ``tie``
+    (their place in a list), or of their values if it is not given. One union, blocks of ``width`` axis
+    units, and carries between blocks replace a per-video sort: ``width`` times the row rate is what a task sorts.
     """
     keys = blocks.as_list(key)
-    row = F.struct(F.col(time).alias("t"), *cols)
+    row = F.struct(F.col(time).alias("t"), *([F.col(tie).alias("tie")] if tie else []), *cols)
     s = sources.select(*keys, F.col(time).alias("_t"), F.lit(0).alias("_side"), row.alias("_src"))
     t = targets.select(*keys, F.col(time).alias("_t"), F.lit(1).alias("_side"), F.struct(*targets.columns).alias("_target"))
-    both = s.unionByName(t, allowMissingColumns=True).withColumn(blocks.BLOCK, blocks.int_div("_t", width))
+    both = s.unionByName(t, allowMissingColumns=True).withColumn(blocks.BLOCK, blocks.axis_block("_t", width))
     source = F.col("_src")
     done = blocks.two_phase(
-        both, keys, ["_t", "_side"],
+        both, keys, ["_t", "_side", "_src"],
         running={"_prev": ("last", source)},
         backward={"_next": ("last", source)} if nexts else {},
         stats={"_first": ("min", source)} if not nexts else {},
@@ -60,10 +57,10 @@ def _around(
 
 
 def asof_ffill(
-    targets: DataFrame, sources: DataFrame, cols: Sequence[str], time: str = "time", key=KEY, width: int = AXIS_WIDTH
+    targets: DataFrame, sources: DataFrame, cols: Sequence[str], width: float, time: str = "time", key=KEY, tie: str | None = None
 ) -> DataFrame:
     """Last source values at or before each target; before the first source, the first values."""
-    rows = _around(targets, sources, time, cols, key, width, nexts=False)
+    rows = _around(targets, sources, time, cols, key, width, False, tie)
     return rows.select(*targets.columns, *[F.coalesce(f"_prev.{c}", f"_first.{c}").alias(f"{c}_asof") for c in cols])
 
 
@@ -76,14 +73,14 @@ def _distance(time: str) -> Column:
 
 
 def interp_linear(
-    targets: DataFrame, sources: DataFrame, cols: Sequence[str], tolerance, time: str = "time", key=KEY,
-    width: int = AXIS_WIDTH,
+    targets: DataFrame, sources: DataFrame, cols: Sequence[str], tolerance, width: float, time: str = "time", key=KEY,
+    tie: str | None = None,
 ) -> DataFrame:
     """Linear interpolation between neighbouring sources, clamped at the ends.
 
     ``interpolated`` marks targets with no source within ``tolerance``.
     """
-    rows = _around(targets, sources, time, cols, key, width, nexts=True)
+    rows = _around(targets, sources, time, cols, key, width, True, tie)
 
     def value(c: str) -> Column:
         a, b = F.col(f"_prev.{c}").cast("double"), F.col(f"_next.{c}").cast("double")
@@ -95,12 +92,12 @@ def interp_linear(
 
 
 def interp_vector(
-    targets: DataFrame, sources: DataFrame, vec: str, time: str = "time", key=KEY, renorm: bool = True,
-    width: int = AXIS_WIDTH,
+    targets: DataFrame, sources: DataFrame, vec: str, width: float, time: str = "time", key=KEY, renorm: bool = True,
+    tie: str | None = None,
 ) -> DataFrame:
     """Vector interpolation, by default scaled back to unit length (zero vectors stay)."""
     src = sources.withColumn(vec, V.as_double(F.col(vec)))
-    rows = _around(targets, src, time, [vec], key, width, nexts=True)
+    rows = _around(targets, src, time, [vec], key, width, True, tie)
     a, b = F.col(f"_prev.{vec}"), F.col(f"_next.{vec}")
     mixed = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(V.lerp(a, b, _ratio(time)))
     out = f"{vec}_interp"
@@ -109,20 +106,19 @@ def interp_vector(
 
 
 def align_report(
-    targets: DataFrame, modalities: Mapping[str, DataFrame], tolerance, max_gap, time: str = "time", key=KEY,
-    width: int = AXIS_WIDTH,
+    targets: DataFrame, modalities: Mapping[str, DataFrame], tolerance, max_gap, width: float, time: str = "time", key=KEY,
 ) -> DataFrame:
     """Per video and modality: interpolated and covered share, largest source gap, warnings."""
     keys = blocks.as_list(key)
     reports = []
     for name, sources in modalities.items():
         s = sources.select(*keys, time)
-        marked = interp_linear(targets.select(*keys, time), s, [], tolerance, time, key, width)
+        marked = interp_linear(targets.select(*keys, time), s, [], tolerance, width, time, key)
         share = marked.groupBy(*keys).agg(
             (F.sum(F.coalesce(F.col("interpolated"), F.lit(True)).cast("bigint")) / F.count(F.lit(1)) * 100).alias("interpolated_pct")
         )
         stepped = blocks.two_phase(
-            s.withColumn(blocks.BLOCK, blocks.int_div(time, width)), keys, time,
+            s.withColumn(blocks.BLOCK, blocks.axis_block(time, width)), keys, time,
             running={"_before": ("max", F.col(time))}, inclusive=False,
         )
         gaps = stepped.groupBy(*keys).agg(F.coalesce(F.max(F.col(time) - F.col("_before")), F.lit(0)).alias("max_gap"))
@@ -201,16 +197,23 @@ def frame_concat(
     )
 
 
+def inside_tracks(track: Column, tracks: int) -> Column:
+    """The track; a row of a track outside ``0 .. tracks - 1`` ends the job with a message."""
+    message = F.concat(F.lit("track outside the grid: "), track.cast("string"))
+    return F.when((track >= 0) & (track < tracks), track).otherwise(F.raise_error(message).cast("int"))
+
+
 def clips_to_frames(
-    clips: DataFrame, totals: DataFrame, steps: str, params: Sequence[str], ordinal: str, tracks: int = 20, key=KEY,
+    clips: DataFrame, totals: DataFrame, steps: str, params: Sequence[str], ordinal: str, tracks: int, key=KEY,
     start: str = START, end: str = END, enabled: str | None = None,
 ) -> DataFrame:
     """Grid of frames x tracks with the parameters of the last clip in list order; uncovered = 0.
 
-    ``enabled`` names a flag whose false rows are skipped. ``steps`` is the grid length per video.
+    ``enabled`` names a flag whose false rows are skipped. ``steps`` is the grid length per video. A clip on a track
+    from ``tracks`` up is an error rather than a lost row.
     """
     keys = blocks.as_list(key)
-    used = clips.where(F.col("track") < tracks)
+    used = clips.withColumn("track", inside_tracks(F.col("track"), tracks))
     if enabled:
         used = used.where(enabled)
     bounded = blocks.join_per_key(used, totals.select(*keys, steps), key, ordinal)
@@ -232,7 +235,7 @@ def clips_to_frames(
 
 
 def clips_to_source_frames(
-    clips: DataFrame, totals: DataFrame, steps: str, params: Sequence[str], ordinal: str, tracks: int = 20, key=KEY,
+    clips: DataFrame, totals: DataFrame, steps: str, params: Sequence[str], ordinal: str, tracks: int, key=KEY,
     start: str = "in_frame", end: str = "out_frame", enabled: str = "enabled",
 ) -> DataFrame:
     """The same over each clip's source range, clamped to the source; disabled clips are skipped."""
@@ -264,7 +267,7 @@ def keyframe_values(
     frames = clips.select(
         *keys, fixed, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(length).cast("bigint") - 1, F.lit(step).cast("bigint"))).alias("when")
     )
-    done = interp_linear(frames, keyframes.select(*keys, "when", "value"), ["value"], 0, "when", key, blocks.ROWS_PER_BLOCK)
+    done = interp_linear(frames, keyframes.select(*keys, "when", "value"), ["value"], 0, blocks.ROWS_PER_BLOCK, "when", key)
     return done.select(*keys, "when", F.coalesce(F.col(fixed).cast("double"), "value_interp", F.lit(default)).alias("value"))
 
 

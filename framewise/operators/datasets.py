@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from framewise.functions import vectors as V
+from framewise.operators.align import inside_tracks
 from framewise.operators.windows import KEY, ORDER
 from framewise.plans import blocks
 
@@ -21,10 +22,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # --- reshape ----------------------------------------------------------------------------------
 
 
-def pivot_tracks(df: DataFrame, params: Sequence[str], tracks: int = 20, key=KEY, order=ORDER, track: str = "track") -> DataFrame:
-    """One row per frame with ``track_{n}_{param}`` columns; missing cells are 0."""
+def pivot_tracks(df: DataFrame, params: Sequence[str], tracks: int, key=KEY, order=ORDER, track: str = "track") -> DataFrame:
+    """One row per frame with ``track_{n}_{param}`` columns; missing cells are 0, a track from ``tracks`` up is an error."""
     picks = [F.first(p).alias(p) for p in params]
-    wide = df.groupBy(*blocks.as_list(key), order).pivot(track, list(range(tracks))).agg(*picks)
+    wide = df.withColumn(track, inside_tracks(F.col(track), tracks)).groupBy(*blocks.as_list(key), order).pivot(track, list(range(tracks))).agg(*picks)
     keys = [*blocks.as_list(key), order]
 
     def source(n: int, p: str) -> str:
@@ -36,7 +37,7 @@ def pivot_tracks(df: DataFrame, params: Sequence[str], tracks: int = 20, key=KEY
     )
 
 
-def unpivot_tracks(df: DataFrame, params: Sequence[str], tracks: int = 20, key=KEY, order=ORDER) -> DataFrame:
+def unpivot_tracks(df: DataFrame, params: Sequence[str], tracks: int, key=KEY, order=ORDER) -> DataFrame:
     """The reverse of ``pivot_tracks``."""
     rows = F.array(*[F.struct(F.lit(n).alias("track"), *[F.col(f"track_{n}_{p}").alias(p) for p in params]) for n in range(tracks)])
     return df.select(*blocks.as_list(key), order, F.explode(rows).alias("r")).select(*blocks.as_list(key), order, "r.*")

@@ -12,9 +12,9 @@ from framewise.plans import blocks
 
 
 def model_weights(quality: DataFrame, model: str, f1: str) -> DataFrame:
-    """One weight per model, proportional to its F1."""
-    total = quality.agg(F.sum(f1)).scalar()
-    return quality.select(model, (F.col(f1) / total).alias("weight"))
+    """One weight per model, proportional to its F1; equal weights if every F1 is 0."""
+    total, models = quality.agg(F.sum(f1)).scalar(), quality.agg(F.count(F.lit(1))).scalar()
+    return quality.select(model, F.coalesce(F.try_divide(F.col(f1), total), 1 / models).alias("weight"))
 
 
 def _soft(df: DataFrame, keys: Sequence[str], prob: str, **_) -> DataFrame:
@@ -29,9 +29,9 @@ def _hard(df: DataFrame, keys: Sequence[str], prob: str, threshold: float = 0.0,
 
 
 def _weighted(df: DataFrame, keys: Sequence[str], prob: str, weights: DataFrame, model: str = "model", **_) -> DataFrame:
-    # One row per model.
+    # One row per model; Spark broadcasts it if its measured size allows.
     return (
-        df.join(F.broadcast(weights), model)
+        df.join(weights, model)
         .groupBy(*keys)
         .agg((2 * F.sum(F.col(prob) * F.col("weight")) - F.sum("weight")).alias("confidence"))
     )
@@ -92,8 +92,11 @@ def mode_first(df: DataFrame, key: Sequence[str], value: str, order: str, weight
     return counts.groupBy(*key).agg(F.max(rank).alias("_b")).select(*key, F.col("_b.value").alias(value), F.col("_b._n").alias("votes"))
 
 
-def first_seen_id(df: DataFrame, key: str | Sequence[str], name: str, order: str, modulo: int | None = 10, first: int = 0) -> DataFrame:
-    """Number names by first appearance within ``key`` (all rows share one numbering if empty)."""
+def first_seen_id(df: DataFrame, key: str | Sequence[str], name: str, order: str, modulo: int | None = None, first: int = 0) -> DataFrame:
+    """Number names by first appearance within ``key`` (all rows share one numbering if empty).
+
+    Numbers wrap around at ``modulo`` only if it is given; names then share numbers.
+    """
     keys = blocks.as_list(key)
     seen = df.groupBy(*keys, name).agg(F.min(order).alias("first_seen"))
     numbered = blocks.positions(blocks.with_block(seen, "first_seen"), keys, "first_seen", blocks.BLOCK, "asset_id")

@@ -229,14 +229,17 @@ def clip_metrics(pred: DataFrame, truth: DataFrame, samples: DataFrame, key: str
     return both.agg(
         F.avg(pn).alias("avg_pred_clips"), F.avg(tn).alias("avg_true_clips"),
         F.avg(F.abs(pn - tn)).alias("count_mae"), F.avg(F.abs(pn - tn) / (tn + eps)).alias("count_rel_error"),
-        (F.sum(ps) / F.sum(pn)).alias("avg_pred_clip_seconds"), (F.sum(ts) / F.sum(tn)).alias("avg_true_clip_seconds"),
+        F.try_divide(F.sum(ps), F.sum(pn)).alias("avg_pred_clip_seconds"), F.try_divide(F.sum(ts), F.sum(tn)).alias("avg_true_clip_seconds"),
         F.avg(ps).alias("avg_pred_seconds"), F.avg(ts).alias("avg_true_seconds"),
         F.avg(F.abs(ps - ts)).alias("duration_mae"), F.avg(F.abs(ps - ts) / (ts + eps)).alias("duration_rel_error"),
     )
 
 
 def duration_kl(pred: DataFrame, truth: DataFrame, seconds: str, bins: int = 20) -> DataFrame:
-    """Divergence of clip length distributions over one-second bins (the last one closed)."""
+    """Divergence of clip length distributions over one-second bins (the last one closed).
+
+    Null if either side has no clip to distribute.
+    """
     eps = 1e-8
 
     def histogram(df: DataFrame, p: str) -> DataFrame:
@@ -250,5 +253,5 @@ def duration_kl(pred: DataFrame, truth: DataFrame, seconds: str, bins: int = 20)
     both = axis.join(histogram(pred, "p"), "bin", "left").join(histogram(truth, "t"), "bin", "left").fillna(0)
     ps, ts = both.agg(F.sum("_p")).scalar(), both.agg(F.sum("_t")).scalar()
     # A density sums to 1, so normalising divides by 1 + eps.
-    norm = both.select((F.col("_p") / ps / (1 + eps)).alias("p"), (F.col("_t") / ts / (1 + eps)).alias("t"))
+    norm = both.select((F.try_divide(F.col("_p"), ps) / (1 + eps)).alias("p"), (F.try_divide(F.col("_t"), ts) / (1 + eps)).alias("t"))
     return norm.agg(F.sum(F.col("t") * F.log((F.col("t") + eps) / (F.col("p") + eps))).alias("duration_kl"))

@@ -84,7 +84,7 @@ def search_threshold(
     def threshold(i: Column) -> Column:
         return F.when(i >= last, hi).otherwise(lo + i * ((hi - lo) / last))
 
-    guess = F.least(F.greatest(F.floor((s - lo) / ((hi - lo) / last)), F.lit(0)), F.lit(last))
+    guess = F.least(F.greatest(F.floor(F.try_divide(s - lo, (hi - lo) / last)), F.lit(0)), F.lit(last))
     guess = F.coalesce(guess, F.lit(last)).cast("int")
     bin_ = (
         F.when((guess < last) & (threshold(guess + 1) <= s), guess + 1)
@@ -271,16 +271,13 @@ def best_track(scores: DataFrame, prob: str, threshold: float, track: str = "tra
     )
 
 
-ASSET_CLASSES = 10
-
-
 def track_segments(
     scores: DataFrame, prob: str, threshold: float, means: Sequence[str] = (), asset: str | None = None,
     track: str = "track", key=KEY, order=ORDER,
 ) -> DataFrame:
     """Runs of one best track (inclusive end) with its mean score, mean parameters and median asset.
 
-    The median is read off per-class counts (assets are classes 0-9), rounded down.
+    The median is exact for any asset number, read off the counts per run and asset, and rounded down.
     """
     keys = blocks.as_list(key)
     carried = [prob, *means, *([asset] if asset else [])]
@@ -294,22 +291,18 @@ def track_segments(
         .where(F.col("track_id").isNotNull())
     )
     specs = {"_n": ("count", F.lit(1)), **{f"_sum_{c}": ("sum", F.col(c)) for c in [prob, *means]}}
-    if asset:
-        specs |= {f"_a{i}": ("sum", (F.col(asset) == i).cast("bigint")) for i in range(ASSET_CLASSES)}
     found = blocks.runs(frames, keys, order, "track_id", specs)
-    result = [
+    result = found.select(
         *keys, "track_id", F.col("first_pos").alias("first_frame"), F.col("last_pos").alias("last_frame"),
         *[(F.col(f"_sum_{c}") / F.col("_n")).alias(c) for c in [prob, *means]],
-    ]
-    if asset:
-        upto = F.array(*[sum((F.col(f"_a{j}") for j in range(i + 1)), F.lit(0)) for i in range(ASSET_CLASSES)])
-
-        def at(rank_: Column) -> Column:
-            return F.size(F.filter(upto, lambda c: c <= rank_))
-
-        middle = (at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2
-        result.append(F.floor(middle).cast("bigint").alias(asset))
-    return found.select(*result)
+    )
+    if not asset:
+        return result
+    spans = found.select(*keys, F.col("first_pos").alias("first_frame"), (F.col("last_pos") + 1).alias("_stop"))
+    inside = interval_join(frames.select(*keys, order, asset), spans, keys, order, "first_frame", "_stop")
+    counted = inside.groupBy(*keys, "first_frame", asset).agg(F.count(F.lit(1)).alias("_many"))
+    middle = counted.groupBy(*keys, "first_frame").agg(F.floor(F.percentile(asset, F.lit(0.5), F.col("_many"))).cast("bigint").alias(asset))
+    return result.join(middle, [*keys, "first_frame"], "left").select(*result.columns, asset)
 
 
 def merge_segments(segments: DataFrame, max_gap: int, min_length: int, params: Sequence[str], key=KEY) -> DataFrame:

@@ -77,8 +77,8 @@ def exponential(
     """``y = alpha * x + (1 - alpha) * previous y``, starting at the first value.
 
     Within a block the recurrence is a running sum of values weighted by ``(1 - alpha) ** -i``.
-    Over a whole block the weight of older values falls to 1e-40, below what a double can see, so
-    one value from the previous block completes every row.
+    Over a whole block the weight of older finite values falls to 1e-40, below what a double can see, so
+    one value from the previous block completes every row; a NaN or infinity lasts to the end.
     """
     if alpha is None:
         alpha = 2.0 / (window + 1)
@@ -99,6 +99,11 @@ def exponential(
         .agg((F.sum(term) * F.lit(keep ** (width - 1))).alias("_in"))
         .withColumn(blocks.BLOCK, F.col(blocks.BLOCK) + 1)
     )
+    finite = F.abs(F.col("_in")) < float("inf")
+    earlier = Window.partitionBy(*keys).orderBy(blocks.BLOCK).rowsBetween(Window.unboundedPreceding, 0)
+    lasting = F.coalesce(F.sum(F.when(~finite, F.col("_in"))).over(earlier), F.lit(0.0))
+    # One row per block; the last block is handed on to one that does not exist, which the join below drops.
+    handed_on = handed_on.withColumn("_in", F.when(finite, F.col("_in")).otherwise(F.lit(0.0)) + lasting)
     return (
         left.join(handed_on, [*keys, blocks.BLOCK], "left")
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_in") * F.pow(F.lit(keep), i + 1), F.lit(0.0)))

@@ -68,31 +68,24 @@ def assign_centroid(df: DataFrame, vec: str, centres: DataFrame, drop: str | Non
     )
 
 
-# Rows of one video followed in sequence, and how many groups are joined per further level.
-LEADER_BLOCK, LEADER_FAN = 4096, 64
+# Positions of one video that are followed in sequence.
+LEADER_BLOCK = 4096
 
 
 def _follow(vectors: np.ndarray, weights: np.ndarray, threshold: float) -> list[int]:
     """Give each vector, in order, the closest running mean above ``threshold`` or a new one."""
-    means: list[np.ndarray] = []
-    sizes: list[float] = []
+    means, sizes, norms = np.zeros_like(vectors), np.zeros(len(vectors)), np.zeros(len(vectors))
     labels: list[int] = []
+    used = 0
     for v, w in zip(vectors, weights, strict=True):
-        best = -1
-        if means:
-            m = np.stack(means)
-            scale = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-            sims = np.divide(m @ v, scale, out=np.zeros(len(means)), where=scale > 0)
-            best = int(np.argmax(sims))
-            if sims[best] < threshold:
-                best = -1
-        if best < 0:
-            means.append(v.copy())
-            sizes.append(w)
-            best = len(means) - 1
-        else:
-            sizes[best] += w
-            means[best] += (v - means[best]) * (w / sizes[best])
+        scale = norms[:used] * np.linalg.norm(v)
+        sims = np.divide(means[:used] @ v, scale, out=np.zeros(used), where=scale > 0)
+        best = int(np.argmax(sims)) if used else -1
+        if best < 0 or sims[best] < threshold:
+            best, used = used, used + 1
+        sizes[best] += w
+        means[best] += (v - means[best]) * (w / sizes[best])
+        norms[best] = np.linalg.norm(means[best])
         labels.append(best)
     return labels
 
@@ -109,68 +102,54 @@ def _weighted_means(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def leader_cluster(
-    df: DataFrame, vec: str, threshold: float = 0.55, key=KEY, order=ORDER, block: int = LEADER_BLOCK,
-    fan: int = LEADER_FAN,
-) -> DataFrame:
-    """Online clustering per video in time order.
+def leader_cluster(df: DataFrame, vec: str, threshold: float = 0.55, key=KEY, order=ORDER, block: int = LEADER_BLOCK) -> DataFrame:
+    """Online clustering per video in time order, by one rule for videos of every length.
 
-    The rule depends on order, so rows are followed in sequence within blocks of ``block`` rows; a
-    video of one block gets exactly the sequential result. For longer videos the blocks' cluster
-    means, weighted by size, are followed by the same rule, ``fan`` blocks at a time and level by
-    level, so no task holds a whole video.
+    A video is followed in sequence within each stretch of ``block`` positions. A cluster then continues the one of
+    the stretch before whose mean is nearest, if their cosine reaches ``threshold`` (the lower number wins ties);
+    otherwise it is new. Clusters are numbered by first stretch and place in it. Chains of continued clusters
+    are followed by pointer doubling, so neither a task nor a lineage grows with the video.
     """
     keys = blocks.as_list(key)
-    fields = [df.schema[k] for k in keys]
-    step_type = StructType([*fields, *[StructField(c, LongType()) for c in ("_grp", "_sub", "_local", "_label")]])
+    step_type = StructType([*[df.schema[k] for k in keys], *[StructField(c, LongType()) for c in ("_grp", "_sub", "_label")]])
 
-    def follow(first_level: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_sub", "_local"])
-            labels = pdf["_local"]
-            if first_level or pdf["_sub"].nunique() > 1:
-                data = np.array([np.asarray(v, dtype=float) for v in pdf["_mean"]])
-                labels = _follow(data, pdf["_w"].to_numpy(), threshold)
-            return pdf[[*keys, "_grp", "_sub", "_local"]].assign(_label=labels)
-
-        return run
+    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_sub")
+        data = np.array([np.asarray(v, dtype=float) for v in pdf["_mean"]])
+        return pdf[[*keys, "_grp", "_sub"]].assign(_label=_follow(data, pdf["_w"].to_numpy(), threshold))
 
     items = df.select(
-        *keys, blocks.int_div(order, block).alias("_grp"), F.col(order).alias("_sub"), F.lit(0).cast("bigint").alias("_local"),
-        V.as_double(F.col(vec)).alias("_mean"), F.lit(1.0).alias("_w"),
+        *keys, blocks.int_div(order, block).alias("_grp"), F.col(order).cast("bigint").alias("_sub"), V.as_double(F.col(vec)).alias("_mean"), F.lit(1.0).alias("_w")
     )
-    last = df.agg(F.max(order)).first()[0] or 0
-    levels, groups = 0, last // block + 1
-    while groups > 1:
-        levels, groups = levels + 1, -(-groups // fan)
-    located = None
-    for level in range(levels + 1):
-        step = items.groupBy(*keys, "_grp").applyInPandas(follow(level == 0), step_type)
-        if levels:
-            # Labels feed both the next level and the result; follow each level only once.
-            step = materialise(step)
-        if located is None:
-            located = step.select(*keys, F.col("_sub").alias(order), "_grp", "_label")
-        else:
-            moved = step.select(*keys, F.col("_sub").alias("_grp"), F.col("_local").alias("_label"), F.col("_grp").alias("_up"), F.col("_label").alias("_to"))
-            located = located.join(moved, [*keys, "_grp", "_label"]).select(*keys, order, F.col("_up").alias("_grp"), F.col("_to").alias("_label"))
-        if level == levels:
+    step = materialise(items.groupBy(*keys, "_grp").applyInPandas(follow, step_type))
+    means = materialise(_weighted_means(blocks.join_null_safe(items, step, [*keys, "_grp", "_sub"]), [*keys, "_grp", "_label"]))
+
+    earlier = means.select(*keys, (F.col("_grp") + 1).alias("_grp"), F.col("_label").alias("_to"), F.col("_mean").alias("_before"))
+    cosine = V.dot(V.unit(F.col("_mean")), V.unit(F.col("_before")))
+    near = blocks.join_null_safe(means, earlier, [*keys, "_grp"]).select(*keys, "_grp", "_label", "_to", cosine.alias("_cos")).where(F.col("_cos") >= threshold)
+    near = near.groupBy(*keys, "_grp", "_label").agg(F.max(F.struct("_cos", (-F.col("_to")).alias("_neg"))).alias("_best"))
+    here, there = F.struct("_grp", "_label"), F.struct((F.col("_grp") - 1).alias("_grp"), (-F.col("_best._neg")).alias("_label"))
+    roots = blocks.join_null_safe(means.select(*keys, "_grp", "_label"), near, [*keys, "_grp", "_label"], "left")
+    roots = materialise(roots.select(*keys, here.alias("_node"), F.when(F.col("_best").isNull(), here).otherwise(there).alias("_root")))
+    while True:
+        onward = roots.select(*keys, F.col("_node").alias("_root"), F.col("_root").alias("_next"))
+        doubled = materialise(blocks.join_null_safe(roots, onward, [*keys, "_root"]))
+        if not doubled.where("_root <> _next").limit(1).count():
             break
-        grouped = items.join(step, [*keys, "_grp", "_sub", "_local"])
-        means = _weighted_means(grouped, [*keys, "_grp", "_label"])
-        items = means.select(*keys, blocks.int_div("_grp", fan).alias("_grp"), F.col("_grp").alias("_sub"), F.col("_label").alias("_local"), "_mean", "_w")
-    return df.join(located.select(*keys, order, F.col("_label").alias("cluster")), [*keys, order])
+        roots = doubled.select(*keys, "_node", F.col("_next").alias("_root"))
 
+    firsts = roots.where("_node = _root").select(*keys, F.col("_root._grp").alias("_grp"), F.col("_root._label").alias("_label"))
+    numbered = blocks.positions(firsts.withColumn(blocks.BLOCK, F.col("_grp")), keys, ["_grp", "_label"], blocks.BLOCK, "cluster")
+    numbered = numbered.select(*keys, F.struct("_grp", "_label").alias("_root"), "cluster")
+    named = blocks.join_null_safe(roots, numbered, [*keys, "_root"]).select(*keys, F.col("_node._grp").alias("_grp"), F.col("_node._label").alias("_label"), "cluster")
+    placed = blocks.join_null_safe(step, named, [*keys, "_grp", "_label"]).select(*keys, F.col("_sub").alias(order), "cluster")
+    return blocks.join_null_safe(df, placed, [*keys, order])
 
-def global_identity(df: DataFrame, vec: str, k: int, seed: int = 0, sample: int = 10_000) -> DataFrame:
-    """Identities across videos: k-means by cosine on a sample, then nearest centroid for every row.
 
-    Only fitting samples (as a bounded fraction); each row is assigned.
-    """
+def global_identity(df: DataFrame, vec: str, k: int, seed: int = 0) -> DataFrame:
+    """Identities across videos: distributed k-means by cosine over all rows, then the nearest centroid of each."""
     ready = df.withColumn("_vec", array_to_vector(V.unit(V.as_double(F.col(vec)))))
-    rows = df.count()
-    fit_on = ready.sample(min(1.0, sample / rows), seed=seed) if rows > sample else ready
-    model = KMeans(k=k, distanceMeasure="cosine", featuresCol="_vec", seed=seed).fit(fit_on)
+    model = KMeans(k=k, distanceMeasure="cosine", featuresCol="_vec", seed=seed).fit(ready)
     # k rows, one per cluster.
     centres = df.sparkSession.createDataFrame(
         [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())],
@@ -184,15 +163,21 @@ def speaker_map(df: DataFrame, key: Sequence[str] = (KEY, "speaker_id"), value:
     return ensemble.mode_first(df, key, value, order)
 
 
-def speaker_asset_ids(df: DataFrame, name: str, media: str, key=KEY, order=ORDER) -> DataFrame:
-    """Asset class 0-9: graphics, speakers by first appearance (capped), backgrounds, overlays, videos."""
+def speaker_asset_ids(df: DataFrame, name: str, media: str, key=KEY, order=ORDER, last_speaker: int | None = None) -> DataFrame:
+    """Asset class: graphics 0, backgrounds 8, overlays and videos 9, speakers by first appearance.
+
+    Speakers have the numbers 1, 2, ... up to ``last_speaker``, which later ones share, and skip the fixed classes
+    if there is no such limit.
+    """
     low, image = F.lower(F.col(name)), F.col(media) == "image"
     background = naming.contains_any(low, naming.BACKGROUND_WORDS)
     overlay = naming.contains_any(low, naming.OVERLAY_WORDS)
     base = df.withColumn("_base", naming.speaker_base_name(F.col(name)))
     speakers = base.where(image & ~background & ~overlay)
-    ids = ensemble.first_seen_id(speakers, key, "_base", order, modulo=None, first=1).select(
-        *blocks.as_list(key), "_base", F.least("asset_id", F.lit(naming.MAX_SPEAKER_ID)).alias("_speaker")
+    number = F.col("asset_id")
+    free = F.when(number >= naming.BACKGROUND_ID, number + 2).otherwise(number)
+    ids = ensemble.first_seen_id(speakers, key, "_base", order, first=1).select(
+        *blocks.as_list(key), "_base", (F.least("asset_id", F.lit(last_speaker)) if last_speaker else free).alias("_speaker")
     )
     known = blocks.join_per_key(base, ids, [*blocks.as_list(key), "_base"], order, "left")
     return known.select(

@@ -39,6 +39,23 @@ def int_div(column: Column | str, width) -> Column:
     return F.call_function("div", c - F.pmod(c, w), w)
 
 
+def axis_block(axis: Column | str, width) -> Column:
+    """The block of a value on a numeric axis of any kind; integers stay exact."""
+    c = F.col(axis) if isinstance(axis, str) else axis
+    return F.floor((c - F.pmod(c, F.lit(width))) / F.lit(width) + F.lit(0.5)).cast("bigint")
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equality join on ``keys`` in which null keys meet; the columns are those of ``join(right, keys, how)``."""
+    if not keys:
+        raise ValueError("join_null_safe needs keys")
+    renamed = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
+
+
 def with_block(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
     return df.withColumn(BLOCK, int_div(order, width or ROWS_PER_BLOCK))
 
@@ -153,7 +170,7 @@ def two_phase(
         *[_running_local(k, v, forward_w).alias(f"_l_{o}") for o, (k, v) in running.items()],
         *[_running_local(k, v, reverse_w).alias(f"_m_{o}") for o, (k, v) in backward.items()],
     )
-    joined = local.join(carries, [*keys, block])
+    joined = join_null_safe(local, carries, [*keys, block])
     return joined.select(
         *df.columns,
         *[_combine(k, F.col(f"_l_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in running.items()],
@@ -291,8 +308,5 @@ def join_per_key(
     """
     keys, salts = as_list(key), salts or SALTS
     salted = small.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return (
-        rows.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
-        .join(salted, [*keys, "_salt"], how)
-        .drop("_salt")
-    )
+    spread_rows = rows.withColumn("_salt", F.pmod(F.hash(spread), F.lit(salts)))
+    return join_null_safe(spread_rows, salted, [*keys, "_salt"], how).drop("_salt")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,17 @@ def build_session(app: str = "framewise", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``. Without one, a session on a single machine (master ``local``) gets a
+    temporary folder, once; on a cluster that is an error, since executors would not share it."""
     context = spark.sparkContext
-    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR)
-    return named or context.getCheckpointDir() or tempfile.mkdtemp(prefix="framewise-")
+    named = spark.conf.get(CHECKPOINT_DIR, None) or context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
+    if named:
+        return named
+    if not re.match(r"local(\[[^,]*(,\d+)?\])?$", context.master):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share")
+    if not hasattr(context, "_framewise_folder"):
+        context._framewise_folder = tempfile.mkdtemp(prefix="framewise-")
+    return context._framewise_folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -47,8 +55,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's shared checkpoint folder and continue from there.
 
-    The folder is the one named by ``spark.checkpoint.dir``; a local one is made up only when
-    the session names none (single-machine tests).
+    See ``shared_folder``.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:

@@ -65,7 +65,8 @@ def _whole(text: Column) -> Column:
 def xmeml_clipitems(projects: DataFrame, key: str = "xml_id", max_tracks: int = MAX_TRACKS) -> DataFrame:
     """One row per clipitem: sequence, track ordinal, position in the file, timebase and the raw item."""
     seqs = _sequences(projects, XMEML_SEQUENCE)
-    timebase = F.coalesce(F.trim(F.col("_s.rate.timebase")).try_cast("int"), F.lit(30))
+    read = F.trim(F.col("_s.rate.timebase")).try_cast("int")
+    timebase = F.when(read > 0, read).otherwise(30)
     tracks = seqs.select(
         key, "sequence", timebase.alias("timebase"), F.col("_s.duration").alias("sequence_frames"),
         F.posexplode("_s.media.video.track").alias("track_index", "_t"),

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.functions import naming, text, times
-from framewise.operators import align, datasets, ensemble, intervals, selection, smoothing, windows
+from framewise.operators import align, datasets, ensemble, intervals, metrics, selection, smoothing, windows
 from framewise.plans import blocks
 
 pytestmark = pytest.mark.usefixtures("small_blocks")
@@ -246,3 +246,59 @@ def test_density_counts_both_ends_and_repeated_times(spark):
 def test_warp_repeats_the_last_row(spark, factor):
     done = datasets.augment_warp(series(spark, [float(i) for i in range(20)]), factor)
     assert column(done, "x") == [float(int(min(i * factor, 19))) for i in range(20)]
+
+
+def test_one_constant_video_does_not_end_the_threshold_search(spark):
+    scores = spark.createDataFrame([(1, i, 0.5) for i in range(50)] + [(2, i, i / 50) for i in range(50)], "video_id int, frame_idx bigint, score double")
+    got = {r.video_id: r.threshold for r in selection.search_threshold(scores, "score", target=2.0).collect()}
+    assert got[1] == 0.5 and 0 < got[2] < 1
+
+
+def test_metrics_of_nothing_are_null(spark):
+    clips = spark.createDataFrame([(1, 0, 30, 3.0)], "video_id int, start_frame bigint, end_frame bigint, seconds double")
+    one = clips.select("video_id")
+    for pred, truth in ((clips.where("false"), clips), (clips, clips.where("false"))):
+        assert metrics.duration_kl(pred, truth, "seconds").first()[0] is None
+        row = metrics.clip_metrics(pred, truth, one).first()
+        assert (row.avg_pred_clip_seconds is None) != (row.avg_true_clip_seconds is None)
+
+
+def test_models_of_no_quality_weigh_alike(spark):
+    quality = spark.createDataFrame([("a", 0.0), ("b", 0.0)], "model string, f1 double")
+    assert [r.weight for r in ensemble.model_weights(quality, "model", "f1").collect()] == [0.5, 0.5]
+
+
+def test_nan_lasts_in_exponential_smoothing(spark):
+    rows = [(1, i, float("nan") if i == 10 else 1.0) for i in range(2000)]
+    got = column(smoothing.exponential(spark.createDataFrame(rows, "video_id int, frame_idx bigint, x double"), "x"), "smoothed", "frame_idx")
+    assert got[:10] == pytest.approx([1.0] * 10) and all(v != v for v in got[10:])
+
+
+def test_assets_beyond_nine_keep_their_number(spark):
+    rows = [(1, i, 0, 0.9, a) for i, a in enumerate([12, 12, 14, 12, 15])]
+    frames = spark.createDataFrame(rows, "video_id int, frame_idx bigint, track int, prob double, asset_id int")
+    assert selection.track_segments(frames, "prob", 0.5, (), "asset_id").first().asset_id == 12
+
+
+def test_a_track_outside_the_grid_is_an_error(spark):
+    clips = spark.createDataFrame([(1, 0, 21, 0, 5, 1.0)], "video_id int, ord int, track int, start_frame bigint, end_frame bigint, scale double")
+    totals = spark.createDataFrame([(1, 16)], "video_id int, steps int")
+    with pytest.raises(Exception, match="track outside the grid: 21"):
+        align.clips_to_frames(clips, totals, "steps", ["scale"], "ord", tracks=20).collect()
+    assert align.clips_to_frames(clips, totals, "steps", ["scale"], "ord", tracks=22).where("active = 1").count() == 5
+
+
+def test_alignment_on_seconds(spark):
+    """Six targets, four audio rows, as in a feature table of 0.1 s."""
+    targets = spark.createDataFrame([("a", t / 10) for t in range(6)], "video_id string, time double")
+    audio = spark.createDataFrame([("a", 0.0, 1.0, 0), ("a", 0.2, 3.0, 1), ("a", 0.2, 5.0, 2), ("a", 0.4, 7.0, 3)], "video_id string, time double, v double, place int")
+    done = align.interp_linear(targets, audio, ["v"], 0.05, 0.25, tie="place")
+    assert column(done, "v_interp", "time") == pytest.approx([1.0, 2.0, 5.0, 6.0, 7.0, 7.0])
+    for parts in (1, 4):
+        assert column(align.asof_ffill(targets, audio.repartition(parts), ["v"], 0.25, tie="place"), "v_asof", "time") == [1.0, 1.0, 5.0, 5.0, 7.0, 7.0]
+
+
+def test_rows_of_null_keys_stay(spark):
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, 2.0), (1, 0, 3.0)], "video_id int, frame_idx bigint, x double")
+    got = blocks.two_phase(blocks.with_block(df, "frame_idx"), "video_id", "frame_idx", running={"s": ("sum", F.col("x"))})
+    assert sorted(r.s for r in got.collect()) == [1.0, 3.0, 3.0]
