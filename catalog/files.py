@@ -132,7 +132,7 @@ def projects(spark, sf):
         F.pmod("ord", F.lit(4)) == 0,
         F.concat(F.lit("<filter><effect>"), _tag("name", F.concat(F.lit(" cap "), F.col("ord").cast("string"), F.lit(" "))), F.lit("<effectcategory>graphic</effectcategory></effect></filter>")),
     ).otherwise("")
-    url = F.concat(F.lit("file://localhost/C%3A/raw%20video/a+b/"), F.col("name"))
+    url = F.concat(F.lit("file://localhost/C%3A/raw%20video/a+b%26&amp;/"), F.col("name"))
     item = F.concat(
         F.lit('<clipitem id="'), F.col("ord").cast("string"), F.lit('">'), _tag("name", F.col("name")),
         _tag("enabled", F.when(F.col("enabled"), "TRUE").otherwise("FALSE")),
@@ -186,49 +186,55 @@ def xml_telops(spark, sf):
 
 @query(
     "source_paths",
-    f"""WITH {XML_CLIPS} SELECT DISTINCT xml_id, 'C:\\raw video\\a+b\\' || name AS source_video_path, replace(name, '.mp4', '') AS source_video_name,
+    f"""WITH {XML_CLIPS} SELECT DISTINCT xml_id, 'C:\\raw video\\a+b&&\\' || name AS source_video_path, replace(name, '.mp4', '') AS source_video_name,
     'features/' || replace(name, '.mp4', '') || '_features.csv' AS features_path FROM x""",
 )
 def source_paths(spark, sf):
     return P.source_mapping(projects(spark, sf)).select("xml_id", "source_video_path", "source_video_name", "features_path")
 
 
+# Frames per spine: enough for more than twenty clips.
+SPINE = 256
+
+
 def modern_projects(spark, sf):
-    """The same clips as FCPXML documents, in groups of at most sixteen per spine."""
-    c = clips(spark, sf).where("enabled")
-    group = F.concat_ws("_", "video_id", F.floor(F.col("start_frame") / 16))
+    """The same clips as FCPXML documents, one spine per video and stretch; every third clip hangs on the one before."""
+    c = clips(spark, sf)
+    group = F.concat_ws("_", "video_id", F.floor(F.col("start_frame") / SPINE))
     clip = F.concat(
         F.lit('<clip name="'), F.col("name"), F.lit('" ref="r'), F.col("track").cast("string"), F.lit('" offset="'), F.col("start_frame").cast("string"), F.lit('/25s" duration="'),
         (F.col("end_frame") - F.col("start_frame")).cast("string"), F.lit('/25s" start="'), F.col("in_frame").cast("string"),
-        F.lit('/25s"><video><param name="Scale" value="'), F.col("scale").cast("string"), F.lit('"/></video><title name="t"><text>'), F.col("ord").cast("string"),
-        F.lit('</text></title><param name="crop left" value="0.5"/></clip>'),
+        F.lit('/25s" enabled="'), F.col("enabled").cast("int").cast("string"), F.lit('"><video><param name="Scale" value="'), F.col("scale").cast("string"), F.lit('"/></video><title name="t"><text>'), F.col("ord").cast("string"),
+        F.lit('</text></title><param name="crop left" value="0.5"/>'),
     )
     packed = c.select(group.alias("xml_id"), "ord", clip.alias("x")).groupBy("xml_id").agg(F.array_sort(F.collect_list(F.struct("ord", "x"))).alias("items"))
-    body = F.array_join(F.transform("items", lambda i: i["x"]), "")
+    inner = lambda i: F.pmod(i, F.lit(3)) == 2
+    holds = lambda i: (F.pmod(i, F.lit(3)) == 1) & (i < F.size("items") - 1)
+    body = F.array_join(F.transform("items", lambda c, i: F.concat(c["x"], F.when(holds(i), "").when(inner(i), "</clip></clip>").otherwise("</clip>"))), "")
     return packed.select("xml_id", F.concat(F.lit('<fcpxml version="1.9"><library><event><project><sequence><spine>'), body, F.lit("</spine></sequence></project></event></library></fcpxml>")).alias("xml"))
 
 
-FCPX_SQL = f"""{CLIPS}, x AS (SELECT *, video_id || '_' || (start_frame // 16) AS xml_id FROM clips WHERE enabled),
-  m AS (SELECT *, row_number() OVER (PARTITION BY xml_id ORDER BY ord) - 1 AS track_index FROM x QUALIFY track_index < 20)"""
-FCPX_COLUMNS = f"""xml_id, {big('track_index')}, name AS clip_name, 'r' || track AS clip_ref, {q6('start_frame/25.0::double', 'start_time')}, {q6('end_frame/25.0::double', 'end_time')},
+FCPX_SQL = f"""{CLIPS}, x AS (SELECT *, video_id || '_' || (start_frame // {SPINE}) AS xml_id FROM clips),
+  m AS (SELECT *, row_number() OVER (PARTITION BY xml_id ORDER BY ord) - 1 AS track_index FROM x)"""
+FCPX_COLUMNS = f"""xml_id, {big('track_index')}, enabled, name AS clip_name, 'r' || track AS clip_ref, {q6('start_frame/25.0::double', 'start_time')}, {q6('end_frame/25.0::double', 'end_time')},
     {q6('in_frame/25.0::double', 'source_start')}, 't | ' || ord AS graphics_text, {q6('scale')}, {q6('0.5', 'crop_l')}"""
 FCPX_FLOATS = "start_time end_time source_start scale crop_l"
 
 
 @query("xml_clips_fcpx", f"WITH {FCPX_SQL} SELECT {FCPX_COLUMNS} FROM m")
 def xml_clips_fcpx(spark, sf):
-    return out(P.parse_fcpxml(modern_projects(spark, sf)), "xml_id clip_name clip_ref graphics_text", "track_index", FCPX_FLOATS)
+    return out(P.parse_fcpxml(modern_projects(spark, sf)), "xml_id enabled clip_name clip_ref graphics_text", "track_index", FCPX_FLOATS)
 
 
 @query(
     "xml_dispatch",
     f"""WITH {FCPX_SQL}, y AS (SELECT *, video_id || '_' || (start_frame // {STRETCH}) AS xid FROM clips)
     SELECT 'fcpxml' AS format, {FCPX_COLUMNS} FROM m
-    UNION ALL SELECT 'xmeml', xid, track, name, '', {q6('start_frame/25.0::double', 'start_time')}, {q6('end_frame/25.0::double', 'end_time')}, {q6('in_frame/25.0::double', 'source_start')}, '', {q6('scale/100', 'scale')}, {q6('track', 'crop_l')} FROM y""",
+    UNION ALL SELECT 'xmeml', xid, track, enabled, name, '', {q6('start_frame/25.0::double', 'start_time')}, {q6('end_frame/25.0::double', 'end_time')}, {q6('in_frame/25.0::double', 'source_start')}, '', {q6('scale/100', 'scale')}, {q6('track', 'crop_l')} FROM y""",
 )
 def xml_dispatch(spark, sf):
     both = projects(spark, sf).unionByName(modern_projects(spark, sf))
-    return out(P.parse_project(both), "format xml_id clip_name clip_ref graphics_text", "track_index", FCPX_FLOATS)
+    return out(P.parse_project(both), "format xml_id enabled clip_name clip_ref graphics_text", "track_index", FCPX_FLOATS)
 
 
 RATE = "<rate><timebase>29</timebase><ntsc>TRUE</ntsc></rate>"
@@ -250,9 +256,12 @@ def timeline_export(spark, sf):
 
 @query(
     "parse_report",
-    f"""WITH {XML_CLIPS}, v AS (SELECT DISTINCT xml_id FROM x) SELECT {big('count(*)', 'total')}, {big('count(*)', 'succeeded')}, {big('0', 'failed')}, {q6('100', 'success_pct')} FROM v""",
+    f"""WITH {XML_CLIPS}, v AS (SELECT DISTINCT xml_id, video_id % 3 = 0 AS broken FROM x)
+    SELECT {big('count(*)', 'total')}, {big('count(*) FILTER (WHERE NOT broken)', 'succeeded')}, {big('count(*) FILTER (WHERE broken)', 'failed')}, {q6('count(*) FILTER (WHERE NOT broken)/count(*)*100', 'success_pct')} FROM v""",
 )
 def parse_report(spark, sf):
-    docs = projects(spark, sf)
-    parsed = docs.select(F.from_xml("xml", "project string").isNotNull().alias("ok"))
-    return out(Q.batch_report(parsed, F.col("ok")), "", "total succeeded failed", "success_pct")
+    # The documents of every third video lose their end.
+    video = F.split("xml_id", "_")[0].cast("bigint")
+    cut = F.when(F.pmod(video, F.lit(3)) == 0, F.expr("left(xml, length(xml) - 9)")).otherwise(F.col("xml"))
+    docs = projects(spark, sf).withColumn("xml", cut)
+    return out(Q.batch_report(P.project_errors(docs), F.col("error").isNull()), "", "total succeeded failed", "success_pct")

@@ -1,13 +1,19 @@
 """Edit projects: XML to clip rows, and selected clips back to XML lines.
 
-A project is one row of text. ``from_xml`` turns each sequence into nested columns; everything
-after that is array functions and ``posexplode``.
+A project is one row of text. A project is cut into its sequences, nested ones included, by an XML parser in
+Arrow batches; ``from_xml`` turns each into nested columns, and everything after that is array functions
+and ``posexplode``. A text that is no XML gives no clips and a message from ``project_errors``.
 """
 
 from __future__ import annotations
 
+import copy
+import sys
+import xml.etree.ElementTree as ET
 from collections.abc import Callable, Sequence
 
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +21,8 @@ from framewise.functions import naming, times
 from framewise.operators.windows import KEY
 from framewise.plans import blocks
 
-MAX_TRACKS = 20
+# Task functions travel inside the plan, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _VALUE = "struct<_VALUE:string,horiz:string,vert:string>"
 _KEYFRAME = "struct<`when`:string,value:string>"
@@ -37,7 +44,7 @@ _CLIP = (
     f"param:array<{_PARAM}>,video:array<struct<param:array<{_PARAM}>>>,"
     "title:array<struct<_name:string,text:array<string>>>>"
 )
-FCPX_SEQUENCE = f"spine array<struct<clip:array<{_CLIP}>,lane:array<struct<clip:array<{_CLIP}>>>>>"
+FCPX_SEQUENCE = f"spine array<struct<clip:array<{_CLIP}>>>"
 
 
 def read_projects(spark: SparkSession, path: str, key: str = "xml_id") -> DataFrame:
@@ -47,11 +54,69 @@ def read_projects(spark: SparkSession, path: str, key: str = "xml_id") -> DataFr
     return raw.select(F.regexp_extract(name, r"^(.*)\.xml$", 1).alias(key), F.col("value").alias("xml"))
 
 
-def _sequences(df: DataFrame, schema: str) -> DataFrame:
+def _without(element: ET.Element, tag: str) -> ET.Element:
+    """A copy without the elements of this name inside it."""
+    kept = copy.deepcopy(element)
+    for parent in list(kept.iter()):
+        for child in parent.findall(tag):
+            parent.remove(child)
+    return kept
+
+
+def _flat_xmeml(sequence: ET.Element) -> str:
+    """One sequence with every clip item below a track, at any depth, directly in that track."""
+    flat = ET.Element("sequence")
+    for name in ("name", "duration"):
+        if (found := sequence.find(name)) is not None:
+            flat.append(found)
+    if (base := sequence.find(".//rate/timebase")) is not None:
+        ET.SubElement(flat, "rate").append(base)
+    video = ET.SubElement(ET.SubElement(flat, "media"), "video")
+    for track in sequence.findall("media/video/track"):
+        ET.SubElement(video, "track").extend(_without(item, "sequence") for item in track.iter("clipitem"))
+    return ET.tostring(flat, encoding="unicode")
+
+
+def _flat_fcpxml(sequence: ET.Element) -> str:
+    """One sequence with every clip below a spine, at any depth, directly in it; those of lanes follow again."""
+    flat = ET.Element("sequence")
+    for spine in sequence.iter("spine"):
+        clips = [*spine.iter("clip"), *(clip for lane in spine.iter("lane") for clip in lane.iter("clip"))]
+        ET.SubElement(flat, "spine").extend(_without(clip, "clip") for clip in clips)
+    return ET.tostring(flat, encoding="unicode")
+
+
+def _read(xml: str | None) -> tuple[ET.Element | None, str | None]:
+    try:
+        return (ET.fromstring(xml.strip().encode()) if xml is not None else None), None if xml is not None else "no text"
+    except ET.ParseError as error:
+        return None, str(error)
+
+
+def _cutter(flatten: Callable[[ET.Element], str]) -> Callable[[Column], Column]:
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        roots = (_read(t)[0] for t in texts)
+        return pd.Series([[flatten(s) for s in root.iter("sequence")] if root is not None else [] for root in roots])
+
+    return cut
+
+
+def project_errors(projects: DataFrame, key: str = "xml_id") -> DataFrame:
+    """``key, error``: why a project cannot be read; null if it can."""
+
+    @F.pandas_udf("string")
+    def errors(texts: pd.Series) -> pd.Series:
+        return pd.Series([_read(t)[1] for t in texts], dtype=object)
+
+    return projects.select(key, errors("xml").alias("error"))
+
+
+def _sequences(df: DataFrame, schema: str, flatten: Callable[[ET.Element], str]) -> DataFrame:
     """Sequences at any depth of the project, in document order."""
-    cut = F.regexp_extract_all("xml", F.lit(r"(?s)(<sequence[\s>].*?</sequence>)"), F.lit(1))
     # Parsed inside the generator, so that each fragment is read once however many fields are used.
-    return df.select("*", F.posexplode(F.transform(cut, lambda f: F.from_xml(f, schema))).alias("sequence", "_s"))
+    cut = df.withColumn("_cut", _cutter(flatten)("xml"))
+    return cut.select("*", F.posexplode(F.transform("_cut", lambda f: F.from_xml(f, schema))).alias("sequence", "_s")).drop("_cut")
 
 
 def _or_empty(array: Column, like: str) -> Column:
@@ -62,21 +127,25 @@ def _whole(text: Column) -> Column:
     return F.coalesce(F.trim(text).try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def xmeml_clipitems(projects: DataFrame, key: str = "xml_id", max_tracks: int = MAX_TRACKS) -> DataFrame:
-    """One row per clipitem: sequence, track ordinal, position in the file, timebase and the raw item."""
-    seqs = _sequences(projects, XMEML_SEQUENCE)
+def xmeml_clipitems(projects: DataFrame, key: str = "xml_id", max_tracks: int | None = None) -> DataFrame:
+    """One row per clipitem: sequence, track ordinal, position in the track, timebase and the raw item.
+
+    ``max_tracks`` leaves out the tracks after that many; by default none is left out.
+    """
+    seqs = _sequences(projects, XMEML_SEQUENCE, _flat_xmeml)
     read = F.trim(F.col("_s.rate.timebase")).try_cast("int")
     timebase = F.when(read > 0, read).otherwise(30)
     tracks = seqs.select(
         key, "sequence", timebase.alias("timebase"), F.col("_s.duration").alias("sequence_frames"),
         F.posexplode("_s.media.video.track").alias("track_index", "_t"),
-    ).where(F.col("track_index") < max_tracks)
+    )
+    tracks = tracks if max_tracks is None else tracks.where(F.col("track_index") < max_tracks)
     return tracks.select(
         key, "sequence", "timebase", "sequence_frames", "track_index", F.posexplode("_t.clipitem").alias("item", "clip")
     )
 
 
-def parse_xmeml(projects: DataFrame, key: str = "xml_id", max_tracks: int = MAX_TRACKS) -> DataFrame:
+def parse_xmeml(projects: DataFrame, key: str = "xml_id", max_tracks: int | None = None) -> DataFrame:
     """Clips of XMEML projects with times in seconds and frames; missing numbers are 0."""
     c = F.col("clip")
     items = xmeml_clipitems(projects, key, max_tracks)
@@ -163,12 +232,14 @@ def clip_keyframes(clips: DataFrame, keep: Sequence[str]) -> DataFrame:
     )
 
 
-def parse_fcpxml(projects: DataFrame, key: str = "xml_id", max_tracks: int = MAX_TRACKS) -> DataFrame:
-    """Clips of FCPXML projects. Every clip of a spine takes the next track, clips of lanes follow again."""
-    spines = _sequences(projects, FCPX_SEQUENCE).select(key, "sequence", F.posexplode("_s.spine").alias("spine", "sp"))
-    in_lanes = F.flatten(F.transform(_or_empty(F.col("sp.lane"), f"struct<clip:array<{_CLIP}>>"), lambda lane: _or_empty(lane["clip"], _CLIP)))
-    all_clips = F.concat(_or_empty(F.col("sp.clip"), _CLIP), in_lanes, in_lanes)
-    rows = spines.select(key, "sequence", "spine", F.posexplode(F.slice(all_clips, 1, max_tracks)).alias("track_index", "c"))
+def parse_fcpxml(projects: DataFrame, key: str = "xml_id", max_tracks: int | None = None) -> DataFrame:
+    """Clips of FCPXML projects. Every clip of a spine takes the next track, clips of lanes follow again.
+
+    ``max_tracks`` leaves out the clips of a spine after that many; by default none is left out.
+    """
+    spines = _sequences(projects, FCPX_SEQUENCE, _flat_fcpxml).select(key, "sequence", F.posexplode("_s.spine").alias("spine", "sp"))
+    rows = spines.select(key, "sequence", "spine", F.posexplode("sp.clip").alias("track_index", "c"))
+    rows = rows if max_tracks is None else rows.where(F.col("track_index") < max_tracks)
     c = F.col("c")
     offset, length, start = (times.parse_time(F.coalesce(c[n], F.lit("0s"))) for n in ("_offset", "_duration", "_start"))
 
@@ -226,7 +297,7 @@ def parse_fcpxml(projects: DataFrame, key: str = "xml_id", max_tracks: int = MAX
     )
 
 
-def parse_project(projects: DataFrame, key: str = "xml_id", max_tracks: int = MAX_TRACKS) -> DataFrame:
+def parse_project(projects: DataFrame, key: str = "xml_id", max_tracks: int | None = None) -> DataFrame:
     """Clips of mixed projects, by root tag; anything that is not XMEML is read as FCPXML."""
     root = F.regexp_extract("xml", r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)*<([A-Za-z]+)", 1)
     rooted = projects.withColumn("_root", root)
@@ -238,7 +309,7 @@ def parse_project(projects: DataFrame, key: str = "xml_id", max_tracks: int = MA
 
 def extract_captions(projects: DataFrame, key: str = "xml_id") -> DataFrame:
     """Caption rows: effects of category ``graphic`` with a name, timed by their clipitem."""
-    parsed = xmeml_clipitems(projects, key, max_tracks=1 << 30)
+    parsed = xmeml_clipitems(projects, key)
     c = F.col("clip")
     opened = parsed.where(c["start"].isNotNull() & c["end"].isNotNull()).select(
         key, "sequence", "track_index", "item", "timebase", _whole(c["start"]).alias("_a"), _whole(c["end"]).alias("_b"),
@@ -259,7 +330,13 @@ FILE_HOST = "file://localhost/"
 
 def source_mapping(projects: DataFrame, key: str = "xml_id", extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
     """Distinct source videos of each project with the paths of their tracks and features."""
-    urls = F.regexp_extract_all("xml", F.lit(r"(?s)<pathurl>\s*(.*?)\s*</pathurl>"), F.lit(1))
+
+    @F.pandas_udf("array<string>")
+    def paths(texts: pd.Series) -> pd.Series:
+        roots = (_read(t)[0] for t in texts)
+        return pd.Series([[(p.text or "").strip() for p in root.iter("pathurl")] if root is not None else [] for root in roots])
+
+    urls = paths("xml")
     listed = projects.select(key, F.explode(F.array_distinct(urls)).alias("url")).where(F.col("url").startswith(FILE_HOST))
     bare = F.replace(F.replace("url", F.lit(FILE_HOST), F.lit("")), F.lit("+"), F.lit("%2B"))
     path = F.replace(F.try_url_decode(bare), F.lit("/"), F.lit("\\"))

@@ -61,6 +61,26 @@ def test_xmeml_defaults_and_last_parsable_value(spark):
     assert [(k.clip_id, k.param, k.when, k.value) for k in keys] == [("1", "left", 0, 1.0)]
 
 
+def test_nothing_is_lost_in_projects(spark):
+    nested = XMEML.replace("</clipitem></track>\n<track>", "<sequence id='in'><rate><timebase>0</timebase></rate><media><video><track><clipitem id='9'><start>0</start><end>30</end></clipitem></track></video></media></sequence></clipitem></track>\n<track>", 1)
+    tracks = "".join(f"<track><clipitem id='{i}'/></track>" for i in range(30))
+    wide = f"<xmeml><sequence><media><video>{tracks}</video></media></sequence></xmeml>"
+    df = spark.createDataFrame([("nested", nested), ("wide", wide), ("broken", nested[:-9]), ("text", "not xml"), ("none", None)], "xml_id string, xml string")
+    got = projects.parse_xmeml(df).collect()
+    assert sorted(r.clip_id for r in got if r.xml_id == "nested") == ["1", "2", "9", "9"]
+    assert sorted((r.sequence, r.end_time) for r in got if r.clip_id == "9" and r.xml_id == "nested") == [(0, 1.0), (1, 1.0)]
+    assert len([r for r in got if r.xml_id == "wide"]) == 30 and {r.xml_id for r in got} == {"nested", "wide"}
+    errors = {r.xml_id: r.error for r in projects.project_errors(df).collect()}
+    assert {k for k, v in errors.items() if v} == {"broken", "text", "none"}
+
+
+def test_connected_clips_and_long_spines(spark):
+    spine = "".join(f'<clip name="c{i}"/>' for i in range(50)) + '<clip name="a"><clip name="b"><clip name="c"/></clip></clip>'
+    df = spark.createDataFrame([("p", f"<fcpxml><project><sequence><gap><spine>{spine}</spine></gap></sequence></project></fcpxml>")], "xml_id string, xml string")
+    got = projects.parse_fcpxml(df).orderBy("track_index").collect()
+    assert [r.clip_name for r in got] == [*(f"c{i}" for i in range(50)), "a", "b", "c"]
+
+
 def test_captions_need_both_times(spark):
     df = spark.createDataFrame([("p", XMEML), ("q", XMEML.replace("<end>60</end>", "<start>30</start><end>60</end>"))], "xml_id string, xml string")
     got = projects.extract_captions(df).collect()
