@@ -338,6 +338,20 @@ def global_identity(spark, sf):
     return out(VO.global_identity(e, "embedding", k=10, seed=7), "vec_id", "cluster", "similarity")
 
 
+@query(
+    "global_identity_summary",
+    f"SELECT {big('count(*)', 'vectors')}, {big('count(DISTINCT vec_id)', 'distinct_vectors')}, {big('count(*)', 'inside')}, {big('count(*)', 'similar')} FROM embeddings",
+)
+def global_identity_summary(spark, sf):
+    """Every vector once, in one of the k identities, at a cosine."""
+    found = global_identity(spark, sf)
+    done = found.agg(
+        F.count(F.lit(1)).alias("vectors"), F.count_distinct("vec_id").alias("distinct_vectors"), F.count_if(F.col("cluster").between(0, 9)).alias("inside"),
+        F.count_if(F.col("similarity").cast("double").between(-1.00001, 1.00001)).alias("similar"),
+    )
+    return out(done, "", "vectors distinct_vectors inside similar")
+
+
 VOTES = f"{FRAMES}, {TRACKS}"
 
 

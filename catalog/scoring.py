@@ -278,3 +278,20 @@ def frame_scorer(spark, sf):
     f = frames(spark, sf).select("video_id", "frame_idx", "score", "energy", "pitch", "x", "y", hit.cast("int").alias("truth"))
     model = scorer.fit_scorer(f, ["score", "energy", "pitch", "x", "y"], "truth")
     return out(scorer.score(model, f), "video_id frame_idx", "truth", "probability confidence")
+
+
+@query(
+    "frame_scorer_summary",
+    f"""WITH {FRAMES} SELECT {big('count(*)', 'frames')}, {big('count(DISTINCT (video_id, frame_idx))', 'distinct_frames')}, {big('count(*)', 'probabilities')},
+    {big('count(*)', 'confidences')}, true AS separates FROM frames""",
+)
+def frame_scorer_summary(spark, sf):
+    """What any fitted scorer must satisfy: every frame once, probabilities, their confidence, and more on true frames."""
+    scored = frame_scorer(spark, sf)
+    p = F.col("probability").cast("double")
+    gap = F.avg(F.when(F.col("truth") == 1, p)) - F.avg(F.when(F.col("truth") == 0, p))
+    done = scored.agg(
+        F.count(F.lit(1)).alias("frames"), F.count_distinct("video_id", "frame_idx").alias("distinct_frames"), F.count_if(p.between(0, 1)).alias("probabilities"),
+        F.count_if(F.abs(2 * p - 1 - F.col("confidence").cast("double")) < 1e-5).alias("confidences"), (gap > 0).alias("separates"),
+    )
+    return out(done, "separates", "frames distinct_frames probabilities confidences")

@@ -387,27 +387,27 @@ def local_variance(spark, sf):
     return out(W.local_variance(frames(spark, sf), "score"), "video_id", floats="local_variance")
 
 
-TEMPORAL = [f"{c}_{n}" for c in MEAN_COLS for n in ("ma5", "ma120", "std30", "diff2", "diff30", "change")]
-TEMPORAL_SQL = [
-    q6(e, f"{c}_{n}")
-    for c in MEAN_COLS
-    for n, e in (
-        ("ma5", f"avg({c}) {centred(5)}"), ("ma120", f"avg({c}) {centred(120)}"), ("std30", f"coalesce(stddev_samp({c}) {centred(30)}, 0)"),
-        ("diff2", f"coalesce({c} - lag({c}, 2) {OVER}, 0)"), ("diff30", f"coalesce({c} - lag({c}, 30) {OVER}, 0)"),
-        ("change", f"avg(d_{c}) {centred(3)}"),
-    )
-]
+# Six columns in whole numbers, so that both engines average equal integers; every output of the operator is compared.
+SIX = {"energy": "energy*100", "motion": "motion", "pitch": "pitch", "x": "x*10", "y": "y*10", "score": "score*100"}
+TEMPORAL, TEMPORAL_SQL = [], []
+for _c in SIX:
+    _each = [(f"ma{n}", f"avg({_c}) {centred(n)}") for n in W.MEAN_WINDOWS]
+    _each += [(f"std{n}", f"coalesce(stddev_samp({_c}) {centred(n)}, 0)") for n in W.STD_WINDOWS]
+    _each += [(f"diff{n}", f"coalesce({_c} - lag({_c}, {n}) {OVER}, 0)") for n in W.LAGS]
+    _each += [("change", f"avg(d_{_c}) {centred(3)}")]
+    TEMPORAL += [f"{_c}_{n}" for n, _ in _each]
+    TEMPORAL_SQL += [q6(e, f"{_c}_{n}") for n, e in _each]
 
 
 @query(
     "temporal_features",
     per_frame(
-        *TEMPORAL_SQL, big(f"coalesce(speaking - lag(speaking) {OVER}, 0) > 0", "rising"), src=LONG,
-        extra=f""", cents AS (SELECT video_id, frame_idx, round(energy*100) AS energy, motion, speaking FROM frames),
-        d AS (SELECT *, {', '.join(f"coalesce(abs({c} - lag({c}) {OVER}), 0) AS d_{c}" for c in MEAN_COLS)} FROM cents)""",
+        *TEMPORAL_SQL, *[big(f"coalesce(speaking - lag(speaking) {OVER}, 0) {sign} 0", n) for n, sign in (("rising", ">"), ("falling", "<"))], src=LONG,
+        extra=f""", whole AS (SELECT video_id, frame_idx, {', '.join(f"round({e}) AS {c}" for c, e in SIX.items())}, speaking FROM frames),
+        d AS (SELECT *, {', '.join(f"coalesce(abs({c} - lag({c}) {OVER}), 0) AS d_{c}" for c in SIX)} FROM whole)""",
         frm="d",
     ),
 )
 def temporal_features(spark, sf):
-    f = long_frames(spark, sf).select(*KEYS.split(), F.round(F.col("energy") * 100).alias("energy"), "motion", "speaking")
-    return out(W.temporal_features(f, MEAN_COLS, "speaking"), KEYS, "rising", " ".join(TEMPORAL))
+    f = long_frames(spark, sf).select(*KEYS.split(), *[F.expr(f"round({e})").alias(c) for c, e in SIX.items()], "speaking")
+    return out(W.temporal_features(f, list(SIX), "speaking"), KEYS, "rising falling", " ".join(TEMPORAL))
