@@ -32,7 +32,8 @@ def document_components(docs: DataFrame, scratch: Scratch, k: int = 5, percent:
 
     grouped = near_groups(prints, sets_for, scratch, percent, DOCUMENTS)
     smallest = grouped.where("n > 0").groupBy("label").agg(F.min("ident.doc_id").alias("component_id"))
-    smallest = smallest.withColumnRenamed("label", "of")
+    # Written first, so that the join below has no aggregate on its side and a hot component can be split.
+    smallest = scratch.keep(smallest.withColumnRenamed("label", "of"), "smallest")
     rows = grouped.join(smallest, F.col("label") == F.col("of"), "left")
     doc, part = F.col("ident.doc_id"), F.col("component_id")
     named = F.when(F.col("n") > 0, part).otherwise(doc)

@@ -3,9 +3,10 @@
 1. ``fingerprints``: one pass over the texts gives each its number of distinct shingles, a digest of the
    set, a key for every band of minima, and the low four bits of every minimum packed in longs.
 2. Texts of one set become one node, so exact copies cost nothing further.
-3. Nodes that share a band key are candidates. A bucket is linked as a star to its smallest node first; what
-   the star leaves in other components is compared across components, so no link is lost and no
-   bucket is expanded into its pairs.
+3. Nodes that share a band key are candidates. The members of a bucket are first compared with a few centres;
+   what this leaves in other components than the bucket's largest is compared across components. A pair
+   is left out only where both are in one component already, so no component is split, and no bucket is
+   expanded into its pairs.
 4. Candidates whose similarity, estimated from the packed bits and corrected for chance agreement, is
    hopeless are dropped, and so are those whose parities show too many members that are not common; the rest
    is confirmed on the full sets.
@@ -101,6 +102,8 @@ class Sketch:
 BITS = 4
 LANES = 64 // BITS
 DOCUMENTS = Sketch()
+#: The most centres of a bucket, and the members for which it gets another one.
+CENTRES, MEMBERS = 32, 64
 
 
 def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -206,42 +209,47 @@ def near_groups(prints: DataFrame, sets_for: Callable[[DataFrame], DataFrame], s
     nodes = scratch.keep(prints.where("n > 0").groupBy("node").agg(F.min("ident").alias("ident"), *firsts), "nodes")
 
     members = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("center")).where("size > 1")
-    buckets = scratch.keep(members.join(buckets.select("key", "center"), "key"), "buckets")
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    buckets = scratch.keep(members.join(sizes, "key"), "buckets")
     touched = buckets.select("node").distinct()
     sets = scratch.keep(sets_for(nodes.join(touched, "node", "left_semi").select("node", "ident")), "sets")
-    marks = scratch.keep(nodes.select("node", "n", *sketch.longs).join(sets.select("node", "parity"), "node"), "marks")
-    carried = ("n", "parity", *sketch.longs)
-
-    def promising(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes and bits allow the similarity."""
-        for side in ("u", "v"):
-            named = marks.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in carried))
-            pairs = pairs.join(named, side)
-        return pairs.where(sketch.likely("u_", "v_", percent)).select("u", "v")
-
-    star = buckets.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
-    links = scratch.keep(confirmed(promising(star), sets, percent), "links")
+    marks = nodes.select("node", "n", "bands", *sketch.longs).join(sets.select("node", "parity"), "node")
+    carried = ("node", "n", "bands", "parity", *sketch.longs)
+    rows = scratch.keep(buckets.join(marks, "node"), "rows")
+
+    def side(df: DataFrame, name: str, *more: str) -> DataFrame:
+        return df.select("key", *(F.col(c).alias(f"{name}_{c}") for c in (*carried, *more)))
+
+    def met(u: DataFrame, v: DataFrame, extra) -> DataFrame:
+        """Pairs that meet in a bucket and may be similar, each from the first bucket they share."""
+        shared = F.filter(F.zip_with("u_bands", "v_bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        pairs = u.join(v, (u["key"] == v["key"]) & extra & sketch.likely("u_", "v_", percent) & (shared[0] == u["key"]))
+        return pairs.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+
+    # A bucket has a centre, a large one several, but never more than CENTRES, so candidates stay in proportion to rows.
+    lot = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), F.least(F.lit(CENTRES), F.floor(F.col("size") / MEMBERS))))
+    centres = buckets.groupBy("key", lot.alias("lot")).agg(F.min("node").alias("node")).select("key", "node")
+    centres = rows.join(centres, ["key", "node"], "left_semi")
+    star = scratch.keep(met(side(centres, "u"), side(rows, "v"), F.col("u_node") != F.col("v_node")), "star")
+    links = scratch.keep(confirmed(star, sets, percent), "links")
     labels = components(links, scratch)
-    tried = scratch.keep(star, "tried")
 
     # What stands in other components than the largest of its bucket is compared with all others there.
-    named = buckets.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = scratch.keep(named.join(marks, "node"), "named")
-    per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("size"))
-    per = per.groupBy("key").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
-    per = per.where("labels > 1").select("key", "main")
-    rest = named.join(per, "key").where("label <> main").drop("main")
-    u = rest.select("key", *(F.col(c).alias(f"u_{c}") for c in ("node", "label", *carried)))
-    v = named.join(per, "key").select("key", *(F.col(c).alias(f"v_{c}") for c in ("node", "label", "main", *carried)))
+    named = scratch.keep(rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    per = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("many"))
+    per = per.groupBy("key").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    named = named.join(per.where("labels > 1").select("key", "main"), "key")
     # Of two that both stand outside the largest component, one order is enough.
     once = (F.col("v_label") == F.col("v_main")) | (F.col("u_node") < F.col("v_node"))
-    across = u.join(v, (u["key"] == v["key"]) & (F.col("u_label") != F.col("v_label")) & once & sketch.likely("u_", "v_", percent))
-    across = across.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
-    across = across.join(tried, ["u", "v"], "left_anti")
-    more = scratch.keep(confirmed(across, sets, percent), "more")
-    if more.limit(1).count():
-        labels = components(links.unionByName(more), scratch)
-    scratch.drop("nodes", "buckets", "sets", "marks", "links", "tried", "named", "more")
+    apart = (F.col("u_label") != F.col("v_label")) & once
+    across = met(side(named.where("label <> main"), "u", "label"), side(named, "v", "label", "main"), apart)
+    more = scratch.keep(confirmed(across.join(star, ["u", "v"], "left_anti"), sets, percent), "more")
+    # The new links join components as a whole.
+    of = lambda c, out: labels.select(F.col("node").alias(c), F.col("label").alias(out))
+    more = more.join(of("u", "a"), "u", "left").join(of("v", "b"), "v", "left")
+    merged = components(more.select(F.coalesce("a", "u").alias("u"), F.coalesce("b", "v").alias("v")), scratch)
+    merged = merged.select(F.col("node").alias("part"), F.col("label").alias("whole"))
+    scratch.drop("nodes", "buckets", "sets", "rows", "star", "links", "named", "more")
     out = prints.drop("bands", *sketch.longs).join(labels, "node", "left")
-    return out.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "node")))
+    out = out.withColumn("part", F.coalesce("label", "node")).join(merged, "part", "left")
+    return out.withColumn("label", F.when(F.col("n") > 0, F.coalesce("whole", "part"))).drop("part", "whole")
