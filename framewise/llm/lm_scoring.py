@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from framewise.llm import textarrays
 from framewise.llm.shared import Scratch
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 19
 #: Entries a counting partition is meant to hold.
 PARTITION_ENTRIES = 1 << 21
 #: Roles of documents: counted, held out of the counts to learn the weights, not learned from at all.
