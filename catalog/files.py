@@ -127,6 +127,9 @@ def projects(spark, sf):
     def parameter(ident: str, name: str, value):
         return F.concat(F.lit(f"<parameter><parameterid>{ident}</parameterid><name>{name}</name>"), value, F.lit("</parameter>"))
 
+    def key_at(when, value):
+        return F.concat(F.lit("<keyframe>"), _tag("when", when), _tag("value", value), F.lit("</keyframe>"))
+
     pair = F.concat(F.lit("<value>"), _tag("horiz", F.col("score")), _tag("vert", F.lit("bad")), F.lit("</value>"))
     caption = F.when(
         F.pmod("ord", F.lit(4)) == 0,
@@ -140,6 +143,7 @@ def projects(spark, sf):
         F.lit("<file>"), _tag("pathurl", url), F.lit("</file><filter><effect><name>Basic Motion</name><effectcategory>motion</effectcategory>"),
         parameter("scale", "Scale", _tag("value", F.lit("7"))), parameter("scale", "Scale", _tag("value", F.col("scale"))),
         parameter("center", "Center", pair), parameter("leftcrop", "Crop", _tag("value", F.col("track"))),
+        parameter("opacity", "Opacity", F.concat(key_at(F.lit(0), F.col("scale")), key_at(F.col("end_frame") - F.col("start_frame"), F.col("score")))),
         F.lit("</effect></filter>"), caption, F.lit("</clipitem>"),
     )
     packed = c.groupBy("xml_id").agg(F.array_sort(F.collect_list(F.struct("track", "ord", item.alias("x")))).alias("items"))
@@ -176,6 +180,20 @@ def xml_effect_params(spark, sf):
     return out(parsed, "xml_id", "ord", "scale pos_x pos_y crop_l crop_r rotation")
 
 
+@query(
+    "xml_keyframe_values",
+    f"""WITH {XML_CLIPS}, f AS (SELECT *, unnest(range(0, end_frame - start_frame)) AS w FROM x)
+    SELECT xml_id, {big('ord')}, {big('w', 'frame')}, {q6('scale + (score - scale) * (w / (end_frame - start_frame))', 'value')} FROM f""",
+)
+def xml_keyframe_values(spark, sf):
+    """Keyframes of project files as a value per frame of their clip."""
+    parsed, keys = P.parse_xmeml(projects(spark, sf)), ["xml_id", "clip_id"]
+    spans = parsed.select(*keys, (F.col("end_frame") - F.col("start_frame")).alias("length"), F.lit(None).cast("double").alias("fixed"))
+    keyed = P.clip_keyframes(parsed, keys).where("param = 'opacity'")
+    done = A.keyframe_values(spans, keyed, "length", "fixed", 100.0, keys)
+    return out(done.withColumnsRenamed({"clip_id": "ord", "when": "frame"}), "xml_id", "ord frame", "value")
+
+
 @query(
     "xml_telops",
     f"WITH {XML_CLIPS} SELECT xml_id, 'cap ' || ord AS text, {q6('start_frame/25.0::double', 'start')}, {q6('end_frame/25.0::double', 'end')}, {q6('(end_frame - start_frame)/25.0::double', 'duration')} FROM x WHERE ord % 4 = 0".replace("AS end,", 'AS "end",'),
