@@ -10,7 +10,8 @@ A document is cut into two kinds of paragraphs.
   at least one window of its own wherever it stands in a line. A window's set is its word sequence, so equal
   windows are one node and need no bands.
 
-Within a cluster the paragraph with the smallest (doc_id, place) stays; the others are removed. Touching
+Within a cluster the paragraph with the smallest (doc_id, place) stays; the others are removed, also those at later
+places of the same document, unless they are windows that overlap the one that stays. Touching
 paragraphs of a document with the same fate are reported as one span of words.
 
 Defined results
@@ -92,10 +93,6 @@ def units(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 text = np.searchsorted(counts, starts, "right") - 1
                 spot = starts[:, None] + np.arange(LENGTH)
                 body = textarrays.mix64((hashes[spot] * textarrays.FACTORS[:LENGTH]).sum(axis=1, dtype=np.uint64) + np.uint64(LENGTH))
-                # A window that a text repeats counts at its first place only.
-                _, once = np.unique(np.stack([text.astype(np.uint64), body]), axis=1, return_index=True)
-                once.sort()
-                text, starts, body = text[once], starts[once], body[once]
                 yield _unit_rows(batch, first, text, starts - counts[text], np.full(len(text), LENGTH), np.full(len(text), LENGTH), body, None)
 
     return texts.select("doc_id", "key", "text").mapInArrow(run, UNITS)
@@ -151,15 +148,19 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, perce
 
     grouped = near_groups(lines, sets_for, scratch, percent, SKETCH).select("ident", "words", F.struct(F.lit(0).alias("kind"), F.col("label").alias("id")).alias("cluster"))
     windows = found.where("bands is null")
-    twice = windows.groupBy("node").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("node")
-    windows = windows.join(twice, "node", "left_semi").select(ident, "words", F.struct(F.lit(1).alias("kind"), F.col("node").alias("id")).alias("cluster"))
+    # What counts are the documents of a window; all its places in them are members.
+    owner = F.struct("doc_id", "key")
+    spread = windows.groupBy("node").agg(F.min(owner).alias("low"), F.max(owner).alias("high")).where("low != high").select("node")
+    windows = windows.join(spread, "node", "left_semi").select(ident, "words", F.struct(F.lit(1).alias("kind"), F.col("node").alias("id")).alias("cluster"))
     both = scratch.keep(grouped.unionByName(windows), "members")
     owners = both.groupBy("cluster").agg(F.min("ident").alias("first"), F.max("ident").alias("last"))
     document = lambda c: F.struct(F.col(f"{c}.doc_id"), F.col(f"{c}.key"))
     owners = owners.where(document("first") != document("last")).select("cluster", "first")
+    # A place that overlaps the window that stays is a part of it.
+    apart = (F.col("cluster.kind") == 0) | (document("ident") != document("first")) | (F.col("ident.at") >= F.col("first.at") + LENGTH)
     rows = both.join(owners, "cluster").select(
         F.col("ident.doc_id").alias("doc_id"), F.col("ident.key").alias("key"), F.col("ident.at").alias("start"), (F.col("ident.at") + F.col("words")).alias("end"),
-        F.xxhash64("cluster.kind", "cluster.id").alias("cluster_id"), (F.col("ident") != F.col("first")).alias("removed"),
+        F.xxhash64("cluster.kind", "cluster.id").alias("cluster_id"), ((F.col("ident") != F.col("first")) & apart).alias("removed"),
     )
     same = Window.partitionBy("doc_id", "key", "removed").orderBy("start", "end", "cluster_id")
     reach = F.max("end").over(same.rowsBetween(Window.unboundedPreceding, -1))

@@ -69,3 +69,23 @@ def test_empty(spark, scratch):
 def test_query_covers_every_shared_run(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     assert covers(QUERIES["op7_passage_dedup"](spark, SF).collect(), shared_runs(texts))
+
+
+def words_in(rows, doc_id, removed):
+    return {w for r in rows if r.doc_id == doc_id and r.removed == removed for w in range(r.start_word, r.end_word)}
+
+
+def test_every_place_of_a_passage_in_one_document(spark, scratch):
+    passage = prose(1234, 60)
+    rows = [(1, f"{prose(1, 15)} {passage} {prose(2, 15)} {passage} {prose(3, 15)}", "a"), (2, f"{prose(4, 15)} {passage} {prose(5, 15)} {passage} {prose(6, 15)}", "a")]
+    got = passage_dedup.repeats(docs(spark, rows), scratch).collect()
+    first, second = set(range(15, 75)), set(range(90, 150))
+    assert words_in(got, 1, False) & first and not words_in(got, 1, True) & first
+    assert words_in(got, 1, True) & second
+    assert words_in(got, 2, True) & first and words_in(got, 2, True) & second
+
+
+def test_a_window_that_overlaps_itself_keeps_one_copy(spark, scratch):
+    table = docs(spark, [(1, "x " * 200, "a"), (2, "x " * 200, "a")])
+    left = {r.doc_id: len(words(r.text)) for r in passage_dedup.without_repeats(table, scratch, min_words=1000).collect()}
+    assert 20 <= left[1] < 200 and left[2] < 20
