@@ -8,11 +8,15 @@ A document is cut into two kinds of paragraphs.
 * Windows of ``LENGTH`` words that start where the hash of three words is the smallest among ``REACH``
   neighbours. Such starts depend on the words alone, so a passage of ``REACH + LENGTH + 2`` = 50 words or more has
   at least one window of its own wherever it stands in a line. A window's set is its word sequence, so equal
-  windows are one node and need no bands.
+  windows are one node and need no bands. An equal window is only a seed: it is extended word by word for as long as
+  another document goes on equally. Neighbouring windows of a run of 50 words are at most ``REACH`` words apart, and so
+  are its first and last ones from its ends; a shorter run that has one ends within ``SIDE`` words of it. ``SIDE``
+  words to each side thus reach the ends of every run.
 
 Within a cluster the paragraph with the smallest (doc_id, place) stays; the others are removed, also those at later
-places of the same document, unless they are windows that overlap the one that stays. Touching
-paragraphs of a document with the same fate are reported as one span of words.
+places of the same document, unless they are windows that overlap the one that stays. Of the words around a window
+those are removed that an earlier place of it has equally, up to there; every removed word thus has an earlier copy.
+Touching paragraphs of a document with the same fate are reported as one span of words.
 
 Defined results
     null text or too few words: no paragraph, hence no row; a paragraph that repeats within one document only is
@@ -26,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framewise.llm import textarrays
@@ -36,7 +40,12 @@ from framewise.llm.shared import Scratch, columns
 SHINGLE = 5
 MIN_WORDS = 20
 GRAM, REACH, LENGTH = 3, 28, 20
+#: Words to each side of a window that are compared.
+SIDE = REACH + GRAM - 1
 SKETCH = Sketch(hashes=24, rows=3, slack=None)
+#: Windows whose sides are hashed together.
+SLICE = 1 << 14
+AROUND = "doc_id long, key long, at long, lefts int, classes array<long>"
 UNITS = "doc_id long, key long, at long, words int, n long, node long, bands array<long>"
 
 
@@ -61,6 +70,12 @@ def window_starts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return found[found + LENGTH <= counts[np.searchsorted(counts, found, "right")]]
 
 
+def _bodies(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the windows that begin at these places."""
+    spot = starts[:, None] + np.arange(LENGTH)
+    return textarrays.mix64((hashes[spot] * textarrays.FACTORS[:LENGTH]).sum(axis=1, dtype=np.uint64) + np.uint64(LENGTH))
+
+
 def _words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, words before each line, words before each text, text of each line."""
     cuts, lines_before = line_offsets(raw, offsets)
@@ -91,8 +106,7 @@ def units(texts: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
                 starts = window_starts(hashes, counts)
                 text = np.searchsorted(counts, starts, "right") - 1
-                spot = starts[:, None] + np.arange(LENGTH)
-                body = textarrays.mix64((hashes[spot] * textarrays.FACTORS[:LENGTH]).sum(axis=1, dtype=np.uint64) + np.uint64(LENGTH))
+                body = _bodies(hashes, starts)
                 yield _unit_rows(batch, first, text, starts - counts[text], np.full(len(text), LENGTH), np.full(len(text), LENGTH), body, None)
 
     return texts.select("doc_id", "key", "text").mapInArrow(run, UNITS)
@@ -134,6 +148,83 @@ def _line_sets(texts: DataFrame) -> DataFrame:
     return texts.select("text", "wanted").mapInArrow(run, SETS)
 
 
+def _around(texts: DataFrame) -> DataFrame:
+    """(doc_id, key, text, wanted: places of windows and the first word that belongs to their left) -> per window the
+    classes it is in: the window, the window with 1, 2, ... ``lefts`` words before it, then with words after it."""
+    steps = np.arange(1, SIDE + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, offsets = textarrays.text_buffer(batch.column(2))
+            for first, last in textarrays.chunks(offsets):
+                low, high = offsets[first], offsets[last]
+                hashes, counts = _words_of(raw[low:high], offsets[first : last + 1] - low)[::2]
+                wanted = batch.column(3).slice(first, last - first)
+                text = np.repeat(np.arange(last - first), wanted.value_lengths().to_numpy())
+                at, floor = (c.to_numpy() for c in wanted.flatten().flatten())
+                for a in range(0, len(text), SLICE):
+                    own = text[a : a + SLICE]
+                    starts = counts[own] + at[a : a + SLICE]
+                    left, right = starts[:, None] - steps, starts[:, None] + LENGTH - 1 + steps
+                    bodies = _bodies(hashes, starts)
+                    parts, there = [bodies[:, None]], [np.ones((len(own), 1), bool)]
+                    for salt, spot, inside in ((1, left, left >= (counts[own] + floor[a : a + SLICE])[:, None]), (2, right, right < counts[own + 1][:, None])):
+                        value = np.where(inside, hashes[np.where(inside, spot, 0)] * textarrays.FACTORS[:SIDE], np.uint64(0)).cumsum(axis=1, dtype=np.uint64)
+                        seed = textarrays.mix64(bodies[:, None] + (2 * steps + salt).astype(np.uint64) * textarrays.BASE)
+                        parts.append(textarrays.mix64(value + seed))
+                        there.append(inside)
+                    found, ends = np.concatenate(there, axis=1), np.zeros(len(own) + 1, np.int32)
+                    ends[1:] = np.cumsum(found.sum(axis=1))
+                    owner = pa.array(own + first)
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at[a : a + SLICE]), pa.array(there[1].sum(axis=1).astype(np.int32)),
+                         pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(parts, axis=1)[found]))],
+                        names=["doc_id", "key", "at", "lefts", "classes"],
+                    )
+
+    return texts.select("doc_id", "key", "text", "wanted").mapInArrow(run, AROUND)
+
+
+def _document(ident: str) -> Column:
+    return F.struct(F.col(f"{ident}.doc_id"), F.col(f"{ident}.key"))
+
+
+def _runs(texts: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, key, start, end, cluster_id, removed: windows that other documents have too, with the equal words around.
+
+    The more words a class has, the fewer places are in it, so the longest class with another document, and the
+    longest with an earlier place, are the ends of the run.
+    """
+    places = windows.groupBy("node").agg(F.min("ident").alias("first"), F.max("ident").alias("last")).where(_document("first") != _document("last"))
+    members = windows.join(places.select("node", "first"), "node")
+    # In the document of the first place, the sides of later ones end where its window does.
+    after = (_document("ident") == _document("first")) & (F.col("ident.at") > F.col("first.at"))
+    floor = F.when(after, F.col("first.at") + LENGTH).otherwise(F.lit(0).cast("long"))
+    per = members.groupBy(F.col("ident.doc_id").alias("d"), F.col("ident.key").alias("k")).agg(F.collect_set(F.struct(F.col("ident.at").alias("at"), floor.alias("floor"))).alias("wanted"))
+    rows = texts.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "wanted")
+    around = scratch.keep(_around(rows), "around")
+
+    ident = F.struct("doc_id", "key", "at").alias("ident")
+    inside = around.select(ident, "lefts", F.posexplode("classes").alias("pos", "class"))
+    firsts = inside.groupBy("class").agg(F.min("ident").alias("first"), F.max("ident").alias("last")).where(_document("first") != _document("last")).select("class", "first")
+    left, right = F.when(F.col("pos") <= F.col("lefts"), F.col("pos")).otherwise(0), F.greatest(F.col("pos") - F.col("lefts"), F.lit(0))
+    later = F.col("ident") != F.col("first")
+    # A place that overlaps the window that stays is a part of it.
+    apart = (_document("ident") != _document("first")) | (F.col("ident.at") >= F.col("first.at") + LENGTH)
+    found = inside.join(firsts, "class").groupBy("ident").agg(
+        F.max(F.when(F.col("pos") == 0, F.col("class"))).alias("node"), F.max((F.col("pos") == 0) & later & apart).alias("removed"),
+        F.max(left).alias("left"), F.max(right).alias("right"), F.max(F.when(later, left).otherwise(0)).alias("left_gone"), F.max(F.when(later, right).otherwise(0)).alias("right_gone"),
+    )
+    at = F.col("ident.at")
+    span = lambda a, b, removed: F.struct(a.alias("start"), b.alias("end"), F.lit(removed).alias("removed"))
+    whole = span(at - F.col("left"), at + LENGTH + F.col("right"), False)
+    gone = span(at - F.col("left_gone"), at + LENGTH + F.col("right_gone"), True)
+    before, behind = span(at - F.col("left"), at - F.col("left_gone"), False), span(at + LENGTH + F.col("right_gone"), at + LENGTH + F.col("right"), False)
+    spans = F.when(F.col("removed"), F.filter(F.array(gone, before, behind), lambda s: s["start"] < s["end"])).otherwise(F.array(whole))
+    rows = found.select("ident", F.xxhash64(F.lit(1), "node").alias("cluster_id"), F.explode(spans).alias("span"))
+    return rows.select("ident.doc_id", "ident.key", "span.start", "span.end", "cluster_id", "span.removed")
+
+
 def repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, percent: int = 80) -> DataFrame:
     """doc_id, key, start_word, end_word, cluster_id, removed: the spans of paragraphs that other documents have too."""
     texts = columns(docs, doc_id="long", text="string").withColumn("key", F.xxhash64("text"))
@@ -147,21 +238,13 @@ def repeats(docs: DataFrame, scratch: Scratch, min_words: int = MIN_WORDS, perce
         return _line_sets(rows).dropDuplicates(["node"])
 
     grouped = near_groups(lines, sets_for, scratch, percent, SKETCH).select("ident", "words", F.struct(F.lit(0).alias("kind"), F.col("label").alias("id")).alias("cluster"))
-    windows = found.where("bands is null")
-    # What counts are the documents of a window; all its places in them are members.
-    owner = F.struct("doc_id", "key")
-    spread = windows.groupBy("node").agg(F.min(owner).alias("low"), F.max(owner).alias("high")).where("low != high").select("node")
-    windows = windows.join(spread, "node", "left_semi").select(ident, "words", F.struct(F.lit(1).alias("kind"), F.col("node").alias("id")).alias("cluster"))
-    both = scratch.keep(grouped.unionByName(windows), "members")
-    owners = both.groupBy("cluster").agg(F.min("ident").alias("first"), F.max("ident").alias("last"))
-    document = lambda c: F.struct(F.col(f"{c}.doc_id"), F.col(f"{c}.key"))
-    owners = owners.where(document("first") != document("last")).select("cluster", "first")
-    # A place that overlaps the window that stays is a part of it.
-    apart = (F.col("cluster.kind") == 0) | (document("ident") != document("first")) | (F.col("ident.at") >= F.col("first.at") + LENGTH)
-    rows = both.join(owners, "cluster").select(
+    owners = grouped.groupBy("cluster").agg(F.min("ident").alias("first"), F.max("ident").alias("last"))
+    owners = owners.where(_document("first") != _document("last")).select("cluster", "first")
+    rows = grouped.join(owners, "cluster").select(
         F.col("ident.doc_id").alias("doc_id"), F.col("ident.key").alias("key"), F.col("ident.at").alias("start"), (F.col("ident.at") + F.col("words")).alias("end"),
-        F.xxhash64("cluster.kind", "cluster.id").alias("cluster_id"), ((F.col("ident") != F.col("first")) & apart).alias("removed"),
+        F.xxhash64("cluster.kind", "cluster.id").alias("cluster_id"), (F.col("ident") != F.col("first")).alias("removed"),
     )
+    rows = rows.unionByName(_runs(texts, found.where("bands is null").select(ident, "node"), scratch))
     same = Window.partitionBy("doc_id", "key", "removed").orderBy("start", "end", "cluster_id")
     reach = F.max("end").over(same.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("opens", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("opens").over(same))

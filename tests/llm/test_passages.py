@@ -88,4 +88,19 @@ def test_every_place_of_a_passage_in_one_document(spark, scratch):
 def test_a_window_that_overlaps_itself_keeps_one_copy(spark, scratch):
     table = docs(spark, [(1, "x " * 200, "a"), (2, "x " * 200, "a")])
     left = {r.doc_id: len(words(r.text)) for r in passage_dedup.without_repeats(table, scratch, min_words=1000).collect()}
-    assert 20 <= left[1] < 200 and left[2] < 20
+    assert 20 <= left[1] < 200 and left[2] == 0
+
+
+@pytest.mark.parametrize("length", [52, 100])
+def test_every_word_of_a_passage_is_covered(spark, scratch, length):
+    passage = prose(4321, length)
+    rows = [(i, f"{prose(10 + i, 15)} left{i} {passage} right{i} {prose(30 + i, 15)}", "a") for i in range(4)]
+    # The first half of the words before the passage is shared by two documents only, of which none is the first.
+    rows += [(i, f"{prose(50 + i, 15)} left{i} {prose(99, 12)} {passage} right{i} {prose(70 + i, 15)}", "a") for i in (4, 5)]
+    table = docs(spark, rows)
+    got = passage_dedup.repeats(table, scratch).collect()
+    plain, longer = set(range(16, 16 + length)), set(range(16, 28 + length))
+    assert words_in(got, 0, False) == plain and not words_in(got, 0, True)
+    assert all(words_in(got, i, True) == plain for i in (1, 2, 3))
+    assert words_in(got, 4, True) == set(range(28, 28 + length)) and longer >= words_in(got, 4, False) >= set(range(16, 28))
+    assert words_in(got, 5, True) == longer
