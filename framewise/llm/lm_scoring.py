@@ -22,6 +22,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,8 @@ from framewise.llm import textarrays
 from framewise.llm.shared import Scratch
 
 BLOCK_TOKENS = 1 << 19
+#: Whether a query's shuffled files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Entries a counting partition is meant to hold.
 PARTITION_ENTRIES = 1 << 21
 #: Roles of documents: counted, held out of the counts to learn the weights, not learned from at all.
@@ -162,30 +165,29 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 REQUEST = "part int, block long, kind int, n long, hashes binary, counted binary, tuning binary"
 
 
-def requests(kept: DataFrame, order: int, parts: int) -> DataFrame:
-    """One row per block, order and partition: sorted hashes and this block's own counts of them."""
+def requests(kept: DataFrame, kind: int, parts: int) -> DataFrame:
+    """One row per block and partition, for n-grams of one order: sorted hashes and this block's own counts of them."""
     edges = _edges(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             block = Block(row)
-            for kind in range(1, order + 1):
-                hashes, places = block.grams(kind)
-                counted = np.bincount(places[block.role == COUNTED], minlength=len(hashes)).astype(np.uint32)
-                tuning = np.bincount(places[block.role == TUNING], minlength=len(hashes)).astype(np.uint32)
-                cuts = np.searchsorted(hashes, edges)
-                cuts[-1] = len(hashes)
-                columns = [[], [], [], [], []]
-                for p in range(parts):
-                    a, b = cuts[p], cuts[p + 1]
-                    values = (p, b - a, _zip_sorted(hashes[a:b]), _zip(counted[a:b]), _zip(tuning[a:b]))
-                    for column, value in zip(columns, values, strict=True):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.int32()), pa.array([block.block] * parts), pa.array([kind] * parts, pa.int32()),
-                     pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])],
-                    names=["part", "block", "kind", "n", "hashes", "counted", "tuning"],
-                )
+            hashes, places = block.grams(kind)
+            counted = np.bincount(places[block.role == COUNTED], minlength=len(hashes)).astype(np.uint32)
+            tuning = np.bincount(places[block.role == TUNING], minlength=len(hashes)).astype(np.uint32)
+            cuts = np.searchsorted(hashes, edges)
+            cuts[-1] = len(hashes)
+            columns = [[], [], [], [], []]
+            for p in range(parts):
+                a, b = cuts[p], cuts[p + 1]
+                values = (p, b - a, _zip_sorted(hashes[a:b]), _zip(counted[a:b]), _zip(tuning[a:b]))
+                for column, value in zip(columns, values, strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int32()), pa.array([block.block] * parts), pa.array([kind] * parts, pa.int32()),
+                 pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])],
+                names=["part", "block", "kind", "n", "hashes", "counted", "tuning"],
+            )
 
     return kept.mapInArrow(run, REQUEST)
 
@@ -338,7 +340,21 @@ def _score_blocks(kept: DataFrame, answered: DataFrame, order: int, totals: dict
     )
 
 
-def score(docs: DataFrame, scratch: Scratch, held_out: Column, tuning: Column, order: int = 2) -> DataFrame:
+def _answered(kept: DataFrame, scratch: Scratch, order: int, parts: int) -> DataFrame:
+    """The answers of all orders, written one order after the other; what an order's requests moved is removed with it."""
+    before = kept.sparkSession.conf.get(CLEANUP, None)
+    kept.sparkSession.conf.set(CLEANUP, "true")
+    try:
+        tables = [scratch.keep(answers(requests(kept, kind, parts)), f"answers{kind}") for kind in range(1, order + 1)]
+    finally:
+        if before is None:
+            kept.sparkSession.conf.unset(CLEANUP)
+        else:
+            kept.sparkSession.conf.set(CLEANUP, before)
+    return reduce(DataFrame.unionByName, tables)
+
+
+def score(docs: DataFrame, scratch: Scratch, held_out: Column, tuning: Column, order: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text of ``docs``.
 
     ``held_out`` marks documents that nothing is learned from, ``tuning`` (among the others) those whose counts
@@ -350,8 +366,7 @@ def score(docs: DataFrame, scratch: Scratch, held_out: Column, tuning: Column, o
     kept = scratch.keep_bucketed(blocks(rows), "blocks", "block")
     size = kept.agg(F.sum("n_tokens")).first()[0] or 0
     parts = max(1, -(-size // PARTITION_ENTRIES))
-    asked = requests(kept, order, parts)
-    answered = scratch.keep(answers(asked), "answers")
+    answered = _answered(kept, scratch, order, parts)
     ledger = answered.where("block is null and kind = 1")
     found = ledger.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("distinct", "tokens_counted", "tokens_tuning"))).first()
     totals = {"vocabulary": found[0], "tokens": found[1] + found[2]}

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framewise.llm import lm_scoring
-from framewise.llm.queries import QUERIES
+from framewise.llm.queries import QUERIES, remainder
+from framewise.llm.shared import documents
 from tests.conftest import SF
 from tests.llm.helpers import AWKWARD, DOCS, docs, prose, words
 
@@ -83,3 +84,9 @@ def test_empty(spark, scratch):
 def test_query_beats_the_base_on_texts_it_never_saw(spark):
     rows = [r for r in QUERIES["op3_lm_scoring"](spark, SF).collect() if r.held_out]
     assert rows and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_query_counts_trigrams(spark, scratch):
+    rest = remainder(7)
+    want = lm_scoring.score(documents(spark, SF), scratch, rest == 2, rest == 5, order=3)
+    assert {r.doc_id: r.score for r in QUERIES["op3_lm_scoring"](spark, SF).collect()} == pytest.approx({r.doc_id: r.score for r in want.collect()})
