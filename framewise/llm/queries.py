@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
-    bbit_minhash, curve_ann, exact_index, line_spread, lm_scoring, mixing, packing, passage_dedup, preference, quality_fm,
+    bbit_minhash, curve_ann, exact_index, line_spread, lm_scoring, merkle, mixing, packing, passage_dedup, preference, quality_fm,
 )
 from framewise.llm.shared import Scratch, documents
 
@@ -153,3 +153,60 @@ def op4_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = preference.format_pairs(threads, preference.pairs_by_opening(threads))
     plain = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["end"])), ",").alias(c)
     return rows.withColumns({"chosen_spans": plain("chosen_spans"), "rejected_spans": plain("rejected_spans")})
+
+
+@query("op11_merkle_manifest", r"""
+WITH RECURSIVE
+parts AS (
+  SELECT doc_id, lang, n_chars, coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+         || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+         coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS chars,
+         coalesce(octet_length(encode(CAST(n_chars + 1 AS VARCHAR))) || ':' || (n_chars + 1), '-') AS more,
+         coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail,
+         list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)) AS bytes
+  FROM documents),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda crc, b:
+    list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z:
+      CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) AS crc
+  FROM parts),
+leaves AS (
+  SELECT doc_id, lang, sha256(head || chars || tail) AS leaf,
+         CASE WHEN crc % 7 = 0 THEN sha256(head || more || tail) ELSE sha256(head || chars || tail) END AS claimed FROM summed),
+numbered AS (
+  SELECT row_number() OVER () AS row_no, *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n
+  FROM leaves),
+nodes AS (
+  SELECT lang, 0 AS level, idx, n, leaf AS h FROM numbered
+  UNION ALL
+  SELECT a.lang, a.level + 1, a.idx // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, ''))
+  FROM nodes a LEFT JOIN nodes b ON a.lang IS NOT DISTINCT FROM b.lang AND b.idx = a.idx + 1 WHERE a.n > 1 AND a.idx % 2 = 0),
+subroots AS (
+  SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS level, idx, n, subroot AS h FROM subroots
+  UNION ALL
+  SELECT a.level + 1, a.idx // 2, (a.n + 1) // 2, sha256(a.h || coalesce(b.h, ''))
+  FROM tops a LEFT JOIN tops b ON b.idx = a.idx + 1 WHERE a.n > 1 AND a.idx % 2 = 0),
+climb AS (
+  SELECT row_no, lang, 0 AS level, idx, n, claimed AS h, '' AS siblings FROM numbered
+  UNION ALL
+  SELECT c.row_no, c.lang, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.idx % 2 = 0 THEN c.h || coalesce(s.h, '') ELSE s.h || c.h END), c.siblings || coalesce(s.h, '')
+  FROM climb c LEFT JOIN (SELECT * FROM nodes) s
+    ON s.lang IS NOT DISTINCT FROM c.lang AND s.level = c.level AND s.idx = c.idx + 1 - 2 * (c.idx % 2) WHERE c.n > 1),
+ascent AS (
+  SELECT c.row_no, 0 AS level, s.idx, s.n, c.h, c.siblings FROM climb c JOIN subroots s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+  UNION ALL
+  SELECT c.row_no, c.level + 1, c.idx // 2, (c.n + 1) // 2,
+         sha256(CASE WHEN c.idx % 2 = 0 THEN c.h || coalesce(s.h, '') ELSE s.h || c.h END), c.siblings || coalesce(s.h, '')
+  FROM ascent c LEFT JOIN (SELECT * FROM tops) s ON s.level = c.level AND s.idx = c.idx + 1 - 2 * (c.idx % 2) WHERE c.n > 1)
+SELECT d.doc_id, d.leaf, s.subroot, t.h AS root, sha256(a.siblings) AS proof_sha256, a.h AS folded_root, a.h = t.h AS verified
+FROM numbered d JOIN subroots s ON s.lang IS NOT DISTINCT FROM d.lang JOIN ascent a ON a.row_no = d.row_no AND a.n = 1, (SELECT h FROM tops WHERE n = 1) t
+""")
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claimed = F.when(remainder(7) == 0, merkle.leaf(n_chars=merkle.more_chars()))
+    found = merkle.manifest(documents(spark, sf_dir), Scratch(spark, "merkle"), carry={"claimed": claimed})
+    folded = merkle.fold_path(F.coalesce(F.lower(F.hex("claimed")), "leaf"))
+    rows = found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest().alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
