@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
-    bbit_minhash, curve_ann, exact_index, line_spread, lm_scoring, merkle, mixing, packing, passage_dedup, preference, quality_fm,
+    bbit_minhash, curve_ann, exact_index, license_scan, line_spread, lm_scoring, merkle, mixing, packing, passage_dedup, preference, quality_fm,
 )
 from framewise.llm.shared import Scratch, documents
 
@@ -210,3 +210,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = merkle.fold_path(F.coalesce(F.lower(F.hex("claimed")), "leaf"))
     rows = found.select("doc_id", "leaf", "subroot", "root", merkle.path_digest().alias("proof_sha256"), folded.alias("folded_root"))
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.detect(documents(spark, sf_dir))
+    labels = F.array_distinct(F.concat("base_labels", F.transform("detections", lambda d: d["label"])))
+    joined = lambda c: F.array_join(F.sort_array(c), ",")
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined(labels).alias("labels"), "score")
