@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewise.llm import (
-    bbit_minhash, curve_ann, exact_index, license_scan, line_spread, lm_scoring, merkle, mixing, packing, passage_dedup, preference, quality_fm,
+    alignment, bbit_minhash, curve_ann, exact_index, license_scan, line_spread, lm_scoring, merkle, mixing, packing, passage_dedup, preference, quality_fm,
 )
 from framewise.llm.shared import Scratch, documents
 
@@ -26,10 +26,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_mixing")
@@ -218,3 +218,8 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = F.array_distinct(F.concat("base_labels", F.transform("detections", lambda d: d["label"])))
     joined = lambda c: F.array_join(F.sort_array(c), ",")
     return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("base_labels").alias("base_labels"), joined(labels).alias("labels"), "score")
+
+
+@query("op13_tokenizer_alignment")
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(documents(spark, sf_dir), Scratch(spark, "alignment"), vocabulary(), vocabulary("piece_bpe_32k.model"))
