@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.adapters import CLIPS, FRAMES, clips, frames, long_frames, table
+from catalog.adapters import CLIPS, FRAMES, LONG, clips, frames, long_frames, table
 from catalog.align import COVER
 from catalog.intervals import TRACKS, tracks
 from catalog.registry import query
@@ -335,7 +335,7 @@ def leader_cluster(spark, sf):
 @query("global_identity")
 def global_identity(spark, sf):
     e = table(spark, sf, "embeddings").select("vec_id", "embedding")
-    return out(VO.global_identity(e, "embedding", k=10, seed=7), "vec_id", "cluster", "similarity")
+    return out(VO.global_identity(e, "embedding"), "vec_id", "cluster", "similarity")
 
 
 @query(
@@ -343,15 +343,42 @@ def global_identity(spark, sf):
     f"SELECT {big('count(*)', 'vectors')}, {big('count(DISTINCT vec_id)', 'distinct_vectors')}, {big('count(*)', 'inside')}, {big('count(*)', 'similar')} FROM embeddings",
 )
 def global_identity_summary(spark, sf):
-    """Every vector once, in one of the k identities, at a cosine."""
+    """Every vector once, in one of the identities, at a cosine."""
     found = global_identity(spark, sf)
     done = found.agg(
-        F.count(F.lit(1)).alias("vectors"), F.count_distinct("vec_id").alias("distinct_vectors"), F.count_if(F.col("cluster").between(0, 9)).alias("inside"),
+        F.count(F.lit(1)).alias("vectors"), F.count_distinct("vec_id").alias("distinct_vectors"), F.count_if(F.col("cluster") >= 0).alias("inside"),
         F.count_if(F.col("similarity").cast("double").between(-1.00001, 1.00001)).alias("similar"),
     )
     return out(done, "", "vectors distinct_vectors inside similar")
 
 
+def planted(f):
+    """A direction per speaker, and a little of two other features: the clusters are known."""
+    parts = [(F.col("speaker_id") == n).cast("double") for n in range(5)]
+    return f.withColumn("emb", F.array(*parts, F.col("x") / 5, F.col("y") / 5))
+
+
+@query(
+    "leader_cluster_planted",
+    f"""WITH {LONG}, s AS (SELECT video_id, speaker_id, min(frame_idx) AS f FROM frames GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY f) - 1 AS cluster FROM s)
+    SELECT video_id, {big('frame_idx')}, {big('cluster')} FROM frames JOIN n USING (video_id, speaker_id)""",
+)
+def leader_cluster_planted(spark, sf):
+    """Speakers keep their number through stretches of 256 positions."""
+    done = VO.leader_cluster(planted(long_frames(spark, sf)), "emb", 0.55, block=256)
+    return out(done, "video_id", "frame_idx cluster")
+
+
+@query(
+    "global_identity_planted",
+    f"""WITH {FRAMES}, s AS (SELECT speaker_id, row_number() OVER (ORDER BY count(*) DESC) - 1 AS cluster FROM frames GROUP BY speaker_id)
+    SELECT event_id, {big('cluster')} FROM frames JOIN s USING (speaker_id)""",
+)
+def global_identity_planted(spark, sf):
+    return out(VO.global_identity(planted(frames(spark, sf)), "emb"), "event_id", "cluster")
+
+
 VOTES = f"{FRAMES}, {TRACKS}"
 
 
