@@ -42,6 +42,8 @@ TOP = -1
 #: Bytes of a segment per level: side and digest.
 STEP = 33
 ALONE, SIBLING_RIGHT, SIBLING_LEFT = 0, 1, 2
+#: So many nodes or roots, of at most a few hundred bytes each, go to every task; more are joined by their keys.
+FEW = 10_000
 KINDS = {"doc_id": "long", "source": "string", "lang": "string", "n_chars": "long", "text": "string"}
 
 
@@ -128,13 +130,16 @@ def grow(nodes: DataFrame, scratch: Scratch, name: str, height: int, top_height:
 POINTER = ["up_tree", "up_level", "up_idx"]
 
 
-def jump(walkers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Appends to every walker the segment of the node it points at, and takes over that node's pointer."""
+def jump(walkers: DataFrame, nodes: DataFrame, many: int) -> DataFrame:
+    """Appends to every walker the segment of the node it points at, and takes over that node's pointer.
+
+    ``many`` nodes at most: where there are few, each is the ancestor of a large part of the leaves.
+    """
     ahead = nodes.select(
         *(F.col(own).alias(up) for own, up in zip(("tree", "level", "idx"), POINTER, strict=True)),
         *(F.col(c).alias(f"next_{c}") for c in (*POINTER, "done", "path")),
     )
-    joined = walkers.join(ahead, POINTER)
+    joined = walkers.join(F.broadcast(ahead) if many <= FEW else ahead, POINTER)
     kept = [c for c in walkers.columns if c not in (*POINTER, "done", "path")]
     return joined.select(
         *kept, *(F.col(f"next_{c}").alias(c) for c in (*POINTER, "done")), F.concat("path", "next_path").alias("path")
@@ -143,17 +148,18 @@ def jump(walkers: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def proofs(leaves: DataFrame, nodes: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
     """``leaves``, which point at their own node, with their siblings up to the root as ``path``."""
-    ended = [leaves.where("done")]
-    leaves = scratch.keep(jump(leaves.where("not done"), nodes), "leaves")
-    distance = 1
+    ended, distance, many = [leaves.where("done")], 1, nodes.count()
+    leaves = scratch.keep(jump(leaves.where("not done"), nodes, many), "leaves")
     while distance < depth:
         ended.append(leaves.where("done"))
-        leaves = scratch.keep(jump(leaves.where("not done"), nodes), f"leaves_{2 * distance}")
+        # Leaves are at level 0, so that they point at levels the distance divides.
+        ahead = nodes.where((F.col("tree") == TOP) | (F.col("level") % (2 * distance) == distance))
+        leaves = scratch.keep(jump(leaves.where("not done"), ahead, many), f"leaves_{2 * distance}")
         distance *= 2
         if distance < depth:
-            asked = nodes.where((F.col("tree") == TOP) | (F.col("level") % distance == 0))
-            ahead = jump(asked.where("not done"), nodes).unionByName(asked.where("done"))
-            nodes = scratch.keep(ahead, f"nodes_{distance}")
+            asked = nodes.where((F.col("tree") == TOP) | ((F.col("level") > 0) & (F.col("level") % distance == 0)))
+            nodes = scratch.keep(jump(asked.where("not done"), nodes, many).unionByName(asked.where("done")), f"nodes_{distance}")
+            many = nodes.count()
     return reduce(DataFrame.unionByName, [*ended, leaves.where("done")])
 
 
@@ -217,5 +223,5 @@ def manifest(docs: DataFrame, scratch: Scratch, carry: Mapping[str, Column] | No
     found = proofs(walkers, below.unionByName(above), scratch, height + top_height)
     root = roots.first()["digest"].hex()
     subroots = subroots.select(F.col("tree").alias("own_tree"), F.lower(F.hex("digest")).alias("subroot"))
-    found = join_per_key(found, subroots, "own_tree", "leaf")
+    found = found.join(F.broadcast(subroots), "own_tree") if trees <= FEW else join_per_key(found, subroots, "own_tree", "leaf")
     return found.select("doc_id", F.lower(F.hex("leaf")).alias("leaf"), "subroot", F.lit(root).alias("root"), "path", *carry)
