@@ -212,7 +212,7 @@ def pr_curve(spark, sf):
     f"WITH {FRAMES}, {pr_sql('', score='value')} SELECT {q6('threshold')}, {big('n_pred')}, {big('tp')}, {q6('precision')}, {q6('recall')}, {q6('f1')} FROM curve",
 )
 def pr_curve_global(spark, sf):
-    return out(M.pr_curve(frames(spark, sf), "value", "active", buckets=16), "", "n_pred tp", "threshold precision recall f1")
+    return out(M.pr_curve(frames(spark, sf), "value", "active"), "", "n_pred tp", "threshold precision recall f1")
 
 
 def constrained_sql(by: str, lo: float, hi: float, key: str = "video_id") -> str:
@@ -256,13 +256,13 @@ def threshold_pr_global(spark, sf):
 @query(
     "threshold_bisect",
     f"""WITH {LONG}, lim AS (SELECT video_id, min(score) AS lo, 0.9::double AS hi FROM frames GROUP BY video_id),
-    cand AS (SELECT *, CASE WHEN i = 20 THEN hi ELSE lo + i * ((hi - lo) / 20) END AS thr FROM lim, range(21) r(i)),
-    hit AS (SELECT f.video_id, i, frame_idx FROM cand c JOIN frames f ON f.video_id = c.video_id AND f.score >= c.thr),
-    {runs_sql('', 'hit', key='video_id, i', where='true')},
-    dur AS (SELECT video_id, i, sum(end_frame - start_frame)/10.0::double AS s FROM runs WHERE end_frame - start_frame >= 3 GROUP BY ALL),
-    best AS (SELECT video_id, max(i) AS i FROM dur WHERE s >= 3.0 GROUP BY video_id)
-    SELECT l.video_id, {q6('coalesce(c.thr, l.lo)', 'threshold')}, b.i IS NOT NULL AS satisfied
-    FROM lim l LEFT JOIN best b USING (video_id) LEFT JOIN cand c ON c.video_id = l.video_id AND c.i = b.i""",
+    cand AS (SELECT video_id, lo, hi AS thr FROM lim UNION SELECT f.video_id, l.lo, f.score FROM frames f JOIN lim l ON l.video_id = f.video_id AND f.score < l.hi),
+    hit AS (SELECT f.video_id, thr, frame_idx FROM cand c JOIN frames f ON f.video_id = c.video_id AND f.score >= c.thr),
+    {runs_sql('', 'hit', key='video_id, thr', where='true')},
+    dur AS (SELECT video_id, thr, sum(end_frame - start_frame)/10.0::double AS s FROM runs WHERE end_frame - start_frame >= 3 GROUP BY ALL),
+    best AS (SELECT video_id, max(thr) AS thr FROM dur WHERE s >= 3.0 GROUP BY video_id)
+    SELECT l.video_id, {q6('coalesce(b.thr, l.lo)', 'threshold')}, b.thr IS NOT NULL AS satisfied
+    FROM lim l LEFT JOIN best b USING (video_id)""",
 )
 def threshold_bisect(spark, sf):
     f = long_frames(spark, sf)

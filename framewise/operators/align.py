@@ -28,7 +28,7 @@ def join_on_time(left: DataFrame, right: DataFrame, time: str = "time", digits:
 
 def zip_by_index(left: DataFrame, right: DataFrame, key=KEY, index: str = ORDER) -> DataFrame:
     """Pair rows of equal dense position; the longer side is cut."""
-    return left.join(right, [*blocks.as_list(key), index])
+    return blocks.join_null_safe(left, right, [*blocks.as_list(key), index])
 
 
 def _around(
@@ -122,7 +122,7 @@ def align_report(
             running={"_before": ("max", F.col(time))}, inclusive=False,
         )
         gaps = stepped.groupBy(*keys).agg(F.coalesce(F.max(F.col(time) - F.col("_before")), F.lit(0)).alias("max_gap"))
-        joined = share.join(gaps, keys, "left")
+        joined = blocks.join_null_safe(share, gaps, keys, "left")
         available = F.col("max_gap").isNotNull()
         reports.append(
             joined.select(
@@ -142,13 +142,13 @@ def align_report(
 
 def grid(totals: DataFrame, last: str, key=KEY, out: str = ORDER) -> DataFrame:
     """Every tick from 0 to ``last`` inclusive."""
-    return totals.select(*blocks.as_list(key), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(last).cast("bigint"))).alias(out))
+    return blocks.expand(totals.select(*blocks.as_list(key), last), F.lit(0), F.col(last) + 1, out).drop(last)
 
 
 def covered(clips: DataFrame, key=KEY, start: str = START, end: str = END, out: str = ORDER) -> DataFrame:
     """Each tick under at least one interval, once: intervals are merged before they are expanded."""
     merged = blocks.merge_intervals(clips.where(F.col(end) > F.col(start)), key, start, end)
-    return merged.select(*blocks.as_list(key), F.explode(F.sequence(F.col(start), F.col(end) - 1)).alias(out))
+    return blocks.expand(merged, F.col(start), F.col(end), out).select(*blocks.as_list(key), out)
 
 
 def label_grid(clips: DataFrame, totals: DataFrame, last: str, key=KEY, start: str = START, end: str = END) -> DataFrame:
@@ -156,7 +156,7 @@ def label_grid(clips: DataFrame, totals: DataFrame, last: str, key=KEY, start: s
     keys = blocks.as_list(key)
     on = covered(clips, key, start, end).withColumn("active", F.lit(1))
     return (
-        grid(totals, last, key).join(on, [*keys, ORDER], "left").withColumn("active", F.coalesce("active", F.lit(0)))
+        blocks.join_null_safe(grid(totals, last, key), on, [*keys, ORDER], "left").withColumn("active", F.coalesce("active", F.lit(0)))
     )
 
 
@@ -171,7 +171,7 @@ def frame_first_match(
     )
     first = pairs.groupBy(*keys, order).agg(F.min(F.struct(F.col(ordinal).alias("_o"), *cols)).alias("_m"))
     defaults = defaults or {}
-    return frames.join(first, [*keys, order], "left").select(
+    return blocks.join_null_safe(frames, first, [*keys, order], "left").select(
         *frames.columns,
         *[F.coalesce(F.col(f"_m.{c}"), F.lit(defaults[c])).alias(c) if c in defaults else F.col(f"_m.{c}").alias(c) for c in cols],
     )
@@ -192,7 +192,7 @@ def frame_concat(
             separator,
         ).alias("_text")
     )
-    return frames.join(joined, [*keys, order], "left").select(
+    return blocks.join_null_safe(frames, joined, [*keys, order], "left").select(
         *frames.columns, F.col("_text").alias("caption_text"), F.col("_text").isNotNull().cast("int").alias("caption_active")
     )
 
@@ -219,8 +219,8 @@ def clips_to_frames(
     bounded = blocks.join_per_key(used, totals.select(*keys, steps), key, ordinal)
     lo, hi = F.greatest(F.col(start), F.lit(0)), F.least(F.col(end), F.col(steps))
     cells = (
-        bounded.where(lo < hi)
-        .select(*keys, "track", ordinal, *params, F.explode(F.sequence(lo.cast("bigint"), (hi - 1).cast("bigint"))).alias(ORDER))
+        blocks.expand(bounded, lo, hi, "_at", spread=False)
+        .select(*keys, "track", ordinal, *params, F.col("_at").alias(ORDER))
         .groupBy(*keys, ORDER, "track")
         .agg(F.max(F.struct(F.col(ordinal).alias("_o"), *params)).alias("_p"))
     )
@@ -228,7 +228,7 @@ def clips_to_frames(
         "track", F.explode(F.sequence(F.lit(0), F.lit(tracks - 1)))
     )
     types = {f.name: f.dataType for f in clips.schema}
-    return empty.join(cells, [*keys, ORDER, "track"], "left").select(
+    return blocks.join_null_safe(empty, cells, [*keys, ORDER, "track"], "left").select(
         *keys, ORDER, "track", F.col("_p").isNotNull().cast("int").alias("active"),
         *[F.coalesce(F.col(f"_p.{p}"), F.lit(0).cast(types[p])).alias(p) for p in params],
     )
@@ -258,26 +258,42 @@ def keyframe_values(
     clips: DataFrame, keyframes: DataFrame, length: str, fixed: str, default: float, key: str | Sequence[str] = "clip",
     step: int = 1,
 ) -> DataFrame:
-    """Parameter value for every ``step``-th frame of each clip.
+    """Parameter value for every ``step``-th frame of each clip (one row per key).
 
     A fixed value wins, then the clip's ``(when, value)`` keyframes (linear, clamped at both ends),
     then ``default``. Frames count from the clip's start.
+
+    Only clips and keyframes are shuffled: each of them learns of the next keyframe, and its stretch is expanded to
+    frames where it is. Of keyframes at one time the greatest value ends there and the least one begins.
     """
     keys = blocks.as_list(key)
-    frames = clips.select(
-        *keys, fixed, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(length).cast("bigint") - 1, F.lit(step).cast("bigint"))).alias("when")
-    )
-    done = interp_linear(frames, keyframes.select(*keys, "when", "value"), ["value"], 0, blocks.ROWS_PER_BLOCK, "when", key)
-    return done.select(*keys, "when", F.coalesce(F.col(fixed).cast("double"), "value_interp", F.lit(default)).alias("value"))
+    value = F.struct(F.col("value").cast("double").alias("v"))
+    knots = keyframes.where(F.col("when").isNotNull()).groupBy(*keys, F.col("when").alias("_t")).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    clip = F.struct(F.col(length).cast("bigint").alias("n"), F.col(fixed).cast("double").alias("fixed"))
+    heads = clips.select(*keys, clip.alias("_clip"), F.lit(-(1 << 62)).cast("bigint").alias(blocks.BLOCK))
+    knots = knots.withColumn(blocks.BLOCK, blocks.axis_block("_t", blocks.ROWS_PER_BLOCK))
+    both = heads.withColumn("_side", F.lit(0)).unionByName(knots.withColumn("_side", F.lit(1)), allowMissingColumns=True)
+    knot = F.when(F.col("_t").isNotNull(), F.struct(F.col("_t").alias("t"), F.col("_lo.v").alias("v")))
+    chained = blocks.two_phase(
+        both, keys, ["_side", "_t"], running={"_own": ("last", F.col("_clip"))}, backward={"_next": ("last", knot)}, inclusive=False
+    ).withColumn("_own", F.coalesce("_clip", "_own")).where("_own.n is not null")
+    frames = F.ceil(F.col("_own.n") / step)
+    first = F.greatest(F.coalesce(F.ceil(F.col("_t") / step), F.lit(0)), F.lit(0))
+    stop = F.least(F.coalesce(F.ceil(F.col("_next.t") / step), frames), frames)
+    done = blocks.expand(chained, first, stop, "_i", spread=False).withColumn("when", (F.col("_i") * step).cast("bigint"))
+    a, b = F.col("_hi.v"), F.col("_next.v")
+    ratio = (F.col("when") - F.col("_t")) / (F.col("_next.t") - F.col("_t"))
+    mixed = F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + (b - a) * ratio)
+    return done.select(*keys, "when", F.coalesce("_own.fixed", mixed, F.lit(default)).alias("value"))
 
 
 def speaker_asset(features: DataFrame, tracks: DataFrame, mapping: DataFrame, key=KEY, order=ORDER) -> DataFrame:
     """How often each asset is active while each global speaker talks."""
     keys = blocks.as_list(key)
-    on = features.select(*keys, order, "speaker_id").join(tracks.where(F.col("active") == 1).select(*keys, order, "asset_id"), [*keys, order])
+    on = blocks.join_null_safe(features.select(*keys, order, "speaker_id"), tracks.where(F.col("active") == 1).select(*keys, order, "asset_id"), [*keys, order])
     counts = on.groupBy(*keys, "speaker_id", "asset_id").agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("first_seen"))
     return (
-        counts.join(mapping.select(*keys, "speaker_id", "global_id"), [*keys, "speaker_id"])
+        blocks.join_null_safe(counts, mapping.select(*keys, "speaker_id", "global_id"), [*keys, "speaker_id"])
         .groupBy("global_id", "asset_id")
         .agg(F.sum("_n").alias("frames"), F.min("first_seen").alias("first_seen"))
     )
@@ -291,7 +307,7 @@ def replace_ids(tracks: DataFrame, features: DataFrame, mapping: DataFrame, key=
         blocks.join_per_key(talk, mapping.select(*keys, "speaker_id", "global_id"), [*keys, "speaker_id"], order)
         .select(*keys, order, "global_id")
     )
-    return tracks.join(spoken, [*keys, order], "left").select(
+    return blocks.join_null_safe(tracks, spoken, [*keys, order], "left").select(
         *[F.coalesce("global_id", "asset_id").alias(c) if c == "asset_id" else F.col(c) for c in tracks.columns]
     )
 

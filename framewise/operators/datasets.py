@@ -265,7 +265,7 @@ def group_kfold(df: DataFrame, key: str = KEY, folds: int = 5, seed: int = 0) ->
 
     plan = per_size.groupBy(F.lit(0).alias("_all")).applyInPandas(walk, plan_type)
     seats = plan.select("rows", "loads", F.posexplode("given").alias("fold", "_g")).where(F.col("_g") > 0)
-    seats = seats.select("rows", "loads", "fold", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_g") - 1)).alias("_j"))
+    seats = blocks.expand(seats, F.lit(0), F.col("_g"), "_j").drop("_g")
     reached = F.element_at("loads", F.col("fold") + 1) + F.col("_j") * F.col("rows")
     earlier = F.lit(0).cast("bigint")
     for g in range(folds):

@@ -95,10 +95,10 @@ def mode_first(df: DataFrame, key: Sequence[str], value: str, order: str, weight
 def first_seen_id(df: DataFrame, key: str | Sequence[str], name: str, order: str, modulo: int | None = None, first: int = 0) -> DataFrame:
     """Number names by first appearance within ``key`` (all rows share one numbering if empty).
 
-    Numbers wrap around at ``modulo`` only if it is given; names then share numbers.
+    Names first seen together are numbered by themselves. The order may be of any type that sorts. Numbers wrap around at ``modulo`` only if it is given; names then share numbers.
     """
     keys = blocks.as_list(key)
     seen = df.groupBy(*keys, name).agg(F.min(order).alias("first_seen"))
-    numbered = blocks.positions(blocks.with_block(seen, "first_seen"), keys, "first_seen", blocks.BLOCK, "asset_id")
+    numbered = blocks.positions(blocks.range_blocks(seen, keys, ["first_seen", name]), keys, ["first_seen", name], blocks.BLOCK, "asset_id")
     ident = F.col("asset_id") + first
     return numbered.withColumn("asset_id", F.pmod(ident, F.lit(modulo)) if modulo else ident)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -36,7 +37,7 @@ def interval_join(
         "*", F.explode(F.sequence(blocks.int_div(start, width), blocks.int_div(last, width))).alias(blocks.BLOCK)
     )
     right = right.select(*[F.col(c).alias(f"_r_{c}") for c in right.columns])
-    on = [F.col(c) == F.col(f"_r_{c}") for c in [*keys, blocks.BLOCK]]
+    on = [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in keys] + [F.col(blocks.BLOCK) == F.col(f"_r_{blocks.BLOCK}")]
     on += [F.col(f"_r_{start}") <= F.col(order), F.col(order) < F.col(f"_r_{end}")]
     extra = [c for c in intervals.columns if c not in keys]
     return left.join(right, on, how).select(*frames.columns, *[F.col(f"_r_{c}").alias(c) for c in extra])
@@ -138,7 +139,7 @@ def complement(clips: DataFrame, totals: DataFrame, total: str, key=KEY, start=S
     found = sized.select(*keys, F.explode(F.array_compact(F.array(after, before))).alias("g"), "covered", total).select(
         *keys, F.col("g.a").alias("gap_start"), F.col("g.b").alias("gap_end"), "covered", total
     )
-    empty = totals.join(clips.select(*keys).distinct(), keys, "left_anti").select(
+    empty = blocks.join_null_safe(totals, clips.select(*keys).distinct(), keys, "left_anti").select(
         *keys, F.lit(0).cast("bigint").alias("gap_start"), F.col(total).alias("gap_end"),
         F.lit(0).cast("bigint").alias("covered"), total,
     )
@@ -154,15 +155,13 @@ def coverage(clips: DataFrame, totals: DataFrame, total: str, bucket: int = 10,
     """Covered share of every ``bucket`` frames, labelled by how full it is."""
     keys = blocks.as_list(key)
     merged = blocks.merge_intervals(clips, key, start, end)
-    parts = merged.select(
-        "*", F.explode(F.sequence(blocks.int_div(start, bucket), blocks.int_div(F.col(end) - 1, bucket))).alias("bucket")
-    )
+    parts = blocks.expand(merged, blocks.int_div(start, bucket), blocks.int_div(F.col(end) - 1, bucket) + 1, "bucket")
     inside = F.least(F.col(end), (F.col("bucket") + 1) * bucket) - F.greatest(F.col(start), F.col("bucket") * bucket)
     used = parts.groupBy(*keys, "bucket").agg(F.sum(inside).alias("_used"))
-    grid = totals.select(*keys, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks.int_div(total, bucket))).alias("bucket"))
+    grid = blocks.expand(totals.select(*keys, total), F.lit(0), blocks.int_div(total, bucket) + 1, "bucket").select(*keys, "bucket")
     share = F.coalesce(F.col("_used"), F.lit(0)) / bucket
     return (
-        grid.join(used, [*keys, "bucket"], "left")
+        blocks.join_null_safe(grid, used, [*keys, "bucket"], "left")
         .withColumn("ratio", share)
         .withColumn(
             "label",
@@ -262,7 +261,8 @@ def pack_lanes(clips: DataFrame, ident: str, key=KEY, start: str = START, end: s
 
     Wherever no clip is running all lanes are free, so the timeline is cut at idle points and each
     unbroken stretch is packed on its own. Sorted partitions are streamed batch by batch, holding
-    only the lanes' end times.
+    only the lanes: those in use by the end of their clip, the others by number, so that a clip takes the logarithm
+    of the lanes. One unbroken stretch is one task's stream, about a million clips in two seconds.
     """
     keys = blocks.as_list(key)
     stretch = blocks.merge_intervals(clips, key, start, end).select(
@@ -274,19 +274,20 @@ def pack_lanes(clips: DataFrame, ident: str, key=KEY, start: str = START, end: s
     names = clips.columns
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group: tuple = ()
-        free_at: list[int] = []
+        group: tuple | None = None
+        busy: list[tuple[int, int]] = []
+        free: list[int] = []
         for batch in batches:
             lanes = []
-            groups = zip(*[batch[c] for c in [*keys, "_from"]], strict=True)
+            groups = zip(*[batch[c].astype(object).where(batch[c].notna(), None) for c in [*keys, "_from"]], strict=True)
             for g, s, e in zip(groups, batch[start], batch[end], strict=True):
                 if g != group:
-                    group, free_at = g, []
-                lane = next((i for i, t in enumerate(free_at) if s >= t), len(free_at))
-                if lane == len(free_at):
-                    free_at.append(e)
-                else:
-                    free_at[lane] = e
+                    group, busy, free = g, [], []
+                while busy and busy[0][0] <= s:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                # With none free all lanes are in use, and the next one is new.
+                lane = heapq.heappop(free) if free else len(busy)
+                heapq.heappush(busy, (e, lane))
                 lanes.append(lane)
             yield batch[names].assign(lane=lanes)
 

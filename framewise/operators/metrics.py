@@ -68,18 +68,18 @@ def video_metrics(df: DataFrame, pred: str, truth: str, key: str = "video_id", f
     return per_video.rollup(key).agg(*totals, *means).withColumns(confusion_rates())
 
 
-def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = (), buckets: int = 4096) -> DataFrame:
+def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ()) -> DataFrame:
     """Precision and recall with ``score >= threshold`` for every distinct score.
 
-    Scores are counted first, then suffix sums run per score bucket, so neither a hot video nor the
-    global curve is sorted in one task.
+    Scores are counted first, then suffix sums run per range of scores, of equal size however scores crowd, so
+    neither a hot video nor the global curve is sorted in one task.
     """
     keys = blocks.as_list(by)
     counts = (
         df.groupBy(*keys, F.col(score).alias("threshold"))
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos"))
-        .withColumn(blocks.BLOCK, F.floor(F.col("threshold") * buckets))
     )
+    counts = blocks.range_blocks(counts, keys, "threshold")
     swept = blocks.two_phase(
         counts, keys, "threshold",
         backward={"n_pred": ("sum", F.col("_n")), "tp": ("sum", F.col("_pos"))},

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewise.operators import metrics
-from framewise.operators.intervals import END, START, extract_clips, interval_join
+from framewise.operators.intervals import END, START, interval_join
 from framewise.operators.windows import KEY, ORDER
 from framewise.plans import blocks
 
@@ -151,35 +152,35 @@ def search_threshold_pr(
 
 def adjust_threshold(
     scores: DataFrame, score: str, current: DataFrame, threshold: str, min_seconds: float, min_clip: float,
-    fps: float = 10.0, steps: int = 20, key=KEY, order=ORDER,
+    fps: float = 10.0, key=KEY, order=ORDER,
 ) -> DataFrame:
-    """Lower a threshold until the clips it yields last ``min_seconds``.
+    """Lower a threshold until the clips it yields last ``min_seconds``: the largest that does, or the lowest score.
 
-    ``steps + 1`` thresholds between the lowest score and the current one are tried at once; the
-    largest that satisfies the minimum wins, else the lowest.
+    A frame lies in a long enough clip at a threshold if some stretch of the least length around it stays above. So the
+    highest such threshold of a frame is the greatest, over stretches that hold it, of their least scores, and the
+    seconds a threshold yields are a count of frames: no threshold is tried.
     """
     keys = blocks.as_list(key)
-    lows = scores.groupBy(*keys).agg(F.min(score).alias("_lo"))
-    bounds = lows.join(current.select(*keys, F.col(threshold).alias("_hi")), keys)
-    ranged = blocks.join_per_key(scores.select(*keys, order, score), bounds, key, order)
-
-    def candidate(i: Column) -> Column:
-        return F.when(i >= steps, F.col("_hi")).otherwise(F.col("_lo") + i * ((F.col("_hi") - F.col("_lo")) / steps))
-
-    passed = F.filter(F.sequence(F.lit(0), F.lit(steps)), lambda i: candidate(i) <= F.col(score))
-    tried = ranged.select(*keys, order, F.lit(1).alias("_on"), F.explode(passed).alias("_try"))
-    seconds = (
-        extract_clips(tried, "_on", fps, min_clip, [*keys, "_try"], order)
-        .groupBy(*keys, "_try")
-        .agg((F.sum(F.col(END) - F.col(START)) / fps).alias("seconds"))
-    )
-    best = seconds.where(F.col("seconds") >= min_seconds).groupBy(*keys).agg(
-        F.max(F.struct("_try", "seconds")).alias("_best")
-    )
-    return bounds.join(best, keys, "left").select(
-        *keys,
-        F.coalesce(candidate(F.col("_best._try")), F.col("_lo")).alias("threshold"),
-        F.col("_best").isNotNull().alias("satisfied"),
+    length = max(1, math.ceil(min_clip * fps - 1e-9))
+    needed = math.ceil(min_seconds * fps - 1e-9)
+    reach = length - 1
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        ahead, behind = w.rangeBetween(0, reach), w.rangeBetween(-reach, 0)
+        d = d.withColumn("_least", F.when(F.count(score).over(ahead) == length, F.min(score).over(ahead)))
+        return d.withColumn("_kept", F.max("_least").over(behind))
+
+    frames = scores.select(*keys, F.col(order).cast("bigint").alias(order), score)
+    opened = blocks.neighbourhood(frames, key, order, 2 * reach, reach, build)
+    counts = opened.where("_kept is not null").groupBy(*keys, "_kept").agg(F.count(F.lit(1)).alias("_n"))
+    counts = blocks.range_blocks(counts, keys, "_kept")
+    above = blocks.two_phase(counts, keys, "_kept", backward={"_frames": ("sum", F.col("_n"))})
+    best = above.where(F.col("_frames") >= needed).groupBy(*keys).agg(F.max("_kept").alias("_best"))
+    lows = frames.groupBy(*keys).agg(F.min(score).alias("_lo"))
+    bounds = blocks.join_null_safe(lows, current.select(*keys, F.col(threshold).alias("_hi")), keys)
+    enough = F.col("_best").isNotNull() | F.lit(needed <= 0)
+    return blocks.join_null_safe(bounds, best, keys, "left").select(
+        *keys, F.when(F.lit(needed <= 0), F.col("_hi")).when(enough, F.least("_hi", "_best")).otherwise(F.col("_lo")).alias("threshold"), enough.alias("satisfied")
     )
 
 
@@ -302,7 +303,7 @@ def track_segments(
     inside = interval_join(frames.select(*keys, order, asset), spans, keys, order, "first_frame", "_stop")
     counted = inside.groupBy(*keys, "first_frame", asset).agg(F.count(F.lit(1)).alias("_many"))
     middle = counted.groupBy(*keys, "first_frame").agg(F.floor(F.percentile(asset, F.lit(0.5), F.col("_many"))).cast("bigint").alias(asset))
-    return result.join(middle, [*keys, "first_frame"], "left").select(*result.columns, asset)
+    return blocks.join_null_safe(result, middle, [*keys, "first_frame"], "left").select(*result.columns, asset)
 
 
 def merge_segments(segments: DataFrame, max_gap: int, min_length: int, params: Sequence[str], key=KEY) -> DataFrame:

@@ -105,7 +105,7 @@ def exponential(
     # One row per block; the last block is handed on to one that does not exist, which the join below drops.
     handed_on = handed_on.withColumn("_in", F.when(finite, F.col("_in")).otherwise(F.lit(0.0)) + lasting)
     return (
-        left.join(handed_on, [*keys, blocks.BLOCK], "left")
+        blocks.join_null_safe(left, handed_on, [*keys, blocks.BLOCK], "left")
         .withColumn(out, F.col("_local") + F.coalesce(F.col("_in") * F.pow(F.lit(keep), i + 1), F.lit(0.0)))
         .select(*df.columns, out)
     )

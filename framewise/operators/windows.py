@@ -31,27 +31,107 @@ def lagged(df: DataFrame, key, order, build, before: int = 1, after: int = 0) ->
     return blocks.neighbourhood(df, key, order, before, after, lambda d, w: d.select("*", *build(w)))
 
 
-def rolling_mean(df: DataFrame, cols: Sequence[str], windows: Sequence[int], key=KEY, order=ORDER) -> DataFrame:
-    reach = max(windows) // 2
-    return lagged(
-        df, key, order,
-        lambda w: [F.avg(c).over(centred_frame(w, n)).alias(f"{c}_ma{n}") for c in cols for n in windows],
-        reach, reach,
+# Frames of up to this many rows are recomputed for every row; longer ones are differences of running sums.
+SHORT_FRAME = 8
+# Rows of a block of running sums: fewer lose less to cancellation.
+SUM_ROWS = 4096
+_NAN, _POSITIVE = 1 << 42, 1 << 21
+
+
+def _finite(x: Column) -> Column:
+    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+
+# Column expressions as text: one parsed text costs far less to build than its twenty calls.
+def _gained(cols: Sequence[str], size: int) -> Column:
+    """What the running sums of every column gained from before the frame to its end."""
+
+    def parts(c: str) -> str:
+        end, before = f"coalesce(_end{size}, _all).`{c}`", f"_before{size}.`{c}`"
+        gained = [f"'{k}', {end}.{k} - coalesce({before}.{k}, 0)" for k in ("s", "q", "n", "odd")]
+        return f"named_struct({', '.join(gained)}, 'new', {end}.new - coalesce({before}.new, 0) - {end}.own)"
+
+    return F.expr(f"""named_struct({', '.join(f"'{c}', {parts(c)}" for c in cols)})""")
+
+
+def _mean(c: str, size: int) -> Column:
+    f = f"_f{size}.`{c}`"
+    return F.expr(
+        f"CASE WHEN {f}.odd > 0 THEN CASE WHEN {f}.odd >= {_NAN} OR ({f}.odd >= {_POSITIVE} AND {f}.odd % {_POSITIVE} > 0) THEN double('NaN') "
+        f"WHEN {f}.odd >= {_POSITIVE} THEN double('Infinity') ELSE double('-Infinity') END WHEN {f}.n > 0 THEN (`_mid_{c}` * {f}.n + {f}.s) / {f}.n END"
     )
 
 
-def rolling_std(df: DataFrame, cols: Sequence[str], windows: Sequence[int], key=KEY, order=ORDER) -> DataFrame:
-    reach = max(windows) // 2
-    return lagged(
-        df, key, order,
-        lambda w: [
-            zero_if_null(F.stddev_samp(c).over(centred_frame(w, n))).alias(f"{c}_std{n}")
-            for c in cols for n in windows
-        ],
-        reach, reach,
+def _deviation(c: str, size: int) -> Column:
+    f = f"_f{size}.`{c}`"
+    return F.expr(
+        f"CASE WHEN {f}.odd > 0 THEN double('NaN') WHEN {f}.n < 2 OR {f}.new = 0 THEN 0D "
+        f"ELSE sqrt(greatest(({f}.q - {f}.s * {f}.s / {f}.n) / ({f}.n - 1), 0D)) END"
     )
 
 
+def with_sums(d: DataFrame, w: WindowSpec, cols: Sequence[str], means: Sequence[int], deviations: Sequence[int]) -> tuple[DataFrame, list[Column], list[str]]:
+    """Moving means and deviations of every column: the rows they are computed from, the columns, and what to drop.
+
+    Frames of any width are two lookups in running sums over the block. Values are centred at a round number near the
+    block's mean (whole numbers stay whole), NaN and infinities are counted rather than added, and a frame of equal
+    rows has no deviation, whatever the sums have lost. The sums of all columns travel as one value.
+    """
+    short = {
+        **{f"{c}_ma{n}": F.avg(c).over(centred_frame(w, n)) for c in cols for n in means if n <= SHORT_FRAME},
+        **{f"{c}_std{n}": zero_if_null(F.stddev_samp(c).over(centred_frame(w, n))) for c in cols for n in deviations if n <= SHORT_FRAME},
+    }
+    sizes = sorted({n for n in [*means, *deviations] if n > SHORT_FRAME})
+    spare: list[str] = []
+    if sizes:
+        whole, upto = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), w.rowsBetween(Window.unboundedPreceding, 0)
+        x = {c: F.col(c).cast("double") for c in cols}
+        d = d.select(
+            "*",
+            *[F.avg(F.when(_finite(x[c]), x[c])).over(whole).alias(f"_avg_{c}") for c in cols],
+            *[F.stddev_pop(F.when(_finite(x[c]), x[c])).over(whole).alias(f"_dev_{c}") for c in cols],
+            *[F.lead(x[c]).over(w).alias(f"_lead_{c}") for c in cols],
+        )
+        unit = {c: F.when(F.col(f"_dev_{c}") > 0, F.pow(F.lit(2.0), F.floor(F.log2(f"_dev_{c}")))) for c in cols}
+        mid = {c: F.coalesce(F.rint(F.col(f"_avg_{c}") / unit[c]) * unit[c], F.col(f"_avg_{c}"), F.lit(0.0)) for c in cols}
+        d = d.withColumns({f"_mid_{c}": mid[c] for c in cols} | {f"_new_{c}": (~x[c].eqNullSafe(F.col(f"_lead_{c}"))).cast("bigint") for c in cols})
+        d = d.withColumns({f"_y_{c}": F.when(_finite(x[c]), x[c] - F.col(f"_mid_{c}")).otherwise(0.0) for c in cols})
+
+        def sums(c: str) -> Column:
+            odd = F.when(F.isnan(x[c]), _NAN).when(x[c] == float("inf"), _POSITIVE).when(x[c] == float("-inf"), 1).otherwise(0).cast("bigint")
+            y, new = F.col(f"_y_{c}"), F.col(f"_new_{c}")
+            parts = {"s": y, "q": y * y, "n": _finite(x[c]).cast("bigint"), "odd": odd, "new": new}
+            return F.struct(*[F.sum(v).over(upto).alias(k) for k, v in parts.items()], new.alias("own")).alias(c)
+
+        d = d.withColumn("_at", F.struct(*[sums(c) for c in cols]))
+        looked = {"_all": F.last("_at").over(whole)}
+        looked |= {f"_end{n}": F.lead("_at", (n - 1) // 2).over(w) for n in sizes} | {f"_before{n}": F.lag("_at", n // 2 + 1).over(w) for n in sizes}
+        d = d.withColumns(looked).withColumns({f"_f{n}": _gained(cols, n) for n in sizes})
+        spare = ["_at", *looked, *[f"_f{n}" for n in sizes], *[f"{p}{c}" for c in cols for p in ("_avg_", "_dev_", "_lead_", "_mid_", "_new_", "_y_")]]
+    d = d.withColumns(short) if short else d
+    new = [_mean(c, n).alias(f"{c}_ma{n}") for c in cols for n in means if n > SHORT_FRAME]
+    new += [_deviation(c, n).alias(f"{c}_std{n}") for c in cols for n in deviations if n > SHORT_FRAME]
+    return d, new, spare
+
+
+def _rolling(df: DataFrame, cols: Sequence[str], means: Sequence[int], deviations: Sequence[int], key, order) -> DataFrame:
+    reach = max(*means, *deviations, 1) // 2 + 1
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d, new, spare = with_sums(d, w, cols, means, deviations)
+        return d.select("*", *new).drop(*spare)
+
+    return blocks.neighbourhood(df, key, order, reach, reach, build, max(min(blocks.ROWS_PER_BLOCK, SUM_ROWS), 1))
+
+
+def rolling_mean(df: DataFrame, cols: Sequence[str], windows: Sequence[int], key=KEY, order=ORDER) -> DataFrame:
+    return _rolling(df, cols, windows, (), key, order)
+
+
+def rolling_std(df: DataFrame, cols: Sequence[str], windows: Sequence[int], key=KEY, order=ORDER) -> DataFrame:
+    return _rolling(df, cols, (), windows, key, order)
+
+
 def diffs(df: DataFrame, cols: Sequence[str], lags: Sequence[int], key=KEY, order=ORDER) -> DataFrame:
     return lagged(
         df, key, order,
@@ -395,16 +475,13 @@ def temporal_features(df: DataFrame, cols: Sequence[str], flag: str | None = Non
 
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         steps = {f"_step_{c}": zero_if_null(F.abs(F.col(c) - F.lag(c).over(w))) for c in cols}
-        d = d.withColumns(steps)
-        new: list[Column] = []
+        d, new, spare = with_sums(d.withColumns(steps), w, cols, MEAN_WINDOWS, STD_WINDOWS)
         for c in cols:
-            new += [F.avg(c).over(centred_frame(w, n)).alias(f"{c}_ma{n}") for n in MEAN_WINDOWS]
-            new += [zero_if_null(F.stddev_samp(c).over(centred_frame(w, n))).alias(f"{c}_std{n}") for n in STD_WINDOWS]
             new += [zero_if_null(F.col(c) - F.lag(c, n).over(w)).alias(f"{c}_diff{n}") for n in LAGS]
             new.append(F.avg(f"_step_{c}").over(centred_frame(w, 3)).alias(f"{c}_change"))
         if flag:
             edge = F.coalesce(F.col(flag) - F.lag(flag).over(w), F.lit(0))
             new += [(edge > 0).cast("int").alias("rising"), (edge < 0).cast("int").alias("falling")]
-        return d.select("*", *new).drop(*steps)
+        return d.select("*", *new).drop(*steps, *spare)
 
-    return blocks.neighbourhood(df, key, order, max(reach, max(LAGS)) + 1, reach, build)
+    return blocks.neighbourhood(df, key, order, max(reach, max(LAGS)) + 1, reach + 1, build, max(min(blocks.ROWS_PER_BLOCK, SUM_ROWS), 1))

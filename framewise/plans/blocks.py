@@ -19,8 +19,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from framewise.session import materialise
+
 BLOCK = "_blk"
 _LANE = "_lane"
+_PLACE, _ROW = "_place", "_row"
 
 # Rows per block on a dense position axis. Bounds the rows one window task sorts per key.
 ROWS_PER_BLOCK = 16384
@@ -56,6 +59,32 @@ def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
+def range_blocks(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str]) -> DataFrame:
+    """``df`` with blocks of about equal size, whatever the order's type and however its values crowd.
+
+    Blocks are ranges of (key, order) as Spark sampled them, and written, so that every later use sees the same ones.
+    """
+    # A number of partitions that is given is not lowered again for few bytes.
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialise(df.repartitionByRange(parts, *as_list(key), *as_list(order)).withColumn(BLOCK, F.spark_partition_id()))
+
+
+def expand(df: DataFrame, first: Column, stop: Column, out: str, spread: bool = True) -> DataFrame:
+    """A row for every integer ``out`` of ``[first, stop)``, in two steps: its blocks, then the integers inside a block.
+
+    No array is longer than a block or the number of blocks. ``spread`` deals the blocks of a row to different tasks,
+    which pays where few rows yield very many.
+    """
+    own = df.columns
+    width = F.lit(ROWS_PER_BLOCK)
+    bounds = df.withColumns({"_from": first.cast("bigint"), "_stop": stop.cast("bigint")}).where("_from < _stop")
+    steps = bounds.select("*", F.explode(F.sequence(int_div("_from", width), int_div(F.col("_stop") - 1, width))).alias("_part"))
+    if spread:
+        steps = steps.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_part", "_from", "_stop")
+    lo, hi = F.greatest(F.col("_from"), F.col("_part") * width), F.least(F.col("_stop"), (F.col("_part") + 1) * width)
+    return steps.select(*own, F.explode(F.sequence(lo, hi - 1)).alias(out))
+
+
 def with_block(df: DataFrame, order: str, width: int | None = None) -> DataFrame:
     return df.withColumn(BLOCK, int_div(order, width or ROWS_PER_BLOCK))
 
@@ -137,41 +166,50 @@ def two_phase(
             return pick(value, F.when(value.isNotNull(), position))
         return _TOTALS[kind](value)
 
+    values = {f"_v{n}": v for n, (_, v) in enumerate([*running.values(), *backward.values(), *stats.values()])}
+    names = iter(values)
+    running, backward, stats = ({o: (k, F.col(next(names))) for o, (k, _) in specs.items()} for specs in (running, backward, stats))
     aggregates = (
         [total(k, v, False).alias(f"_f_{o}") for o, (k, v) in running.items()]
         + [total(k, v, True).alias(f"_b_{o}") for o, (k, v) in backward.items()]
         + [total(k, v, False).alias(f"_s_{o}") for o, (k, v) in stats.items()]
     )
-    totals = df.groupBy(*keys, block).agg(*aggregates)
-    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = per_key.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    later = per_key.orderBy(F.col(block).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    # Both uses of the rows read one shuffle. That takes equal plans below it: rows travel as one value that no
+    # use of them narrows, and the key is never null, so that joining on it filters nothing.
+    packed = df.select(
+        F.struct(*keys, F.col(block).alias(BLOCK)).alias(_PLACE),
+        F.array(F.struct(*df.columns, *[v.alias(n) for n, v in values.items()])).alias(_ROW),
+    ).repartition(_PLACE)
+    rows = packed.select(_PLACE, F.element_at(_ROW, 1).alias(_ROW)).select(_PLACE, f"{_ROW}.*")
+    totals = rows.groupBy(_PLACE).agg(*aggregates)
+    per_key = Window.partitionBy(*[F.col(_PLACE)[k] for k in keys]) if keys else Window.partitionBy(F.lit(0))
+    axis = F.col(_PLACE)[BLOCK]
+    earlier = per_key.orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
+    later = per_key.orderBy(axis.desc()).rowsBetween(Window.unboundedPreceding, -1)
 
     def merged(kind: str, name: str, window: WindowSpec) -> Column:
         # Counts of blocks add up.
         return _running_local("sum" if kind == "count" else kind, F.col(name), window)
 
     carries = totals.select(
-        *keys,
-        block,
+        _PLACE,
         *[merged(k, f"_f_{o}", earlier).alias(f"_c_{o}") for o, (k, _) in running.items()],
         *[merged(k, f"_b_{o}", later).alias(f"_d_{o}") for o, (k, _) in backward.items()],
         *[merged(k, f"_s_{o}", per_key).alias(o) for o, (k, _) in stats.items()],
     )
 
-    in_block = Window.partitionBy(*keys, block)
+    in_block = Window.partitionBy(_PLACE)
     upto = 0 if inclusive else -1
     forward_w = in_block.orderBy(*orders).rowsBetween(Window.unboundedPreceding, upto)
     reverse_w = in_block.orderBy(*[F.col(o).desc() for o in orders]).rowsBetween(
         Window.unboundedPreceding, upto
     )
-    local = df.select(
+    local = rows.select(
         "*",
         *[_running_local(k, v, forward_w).alias(f"_l_{o}") for o, (k, v) in running.items()],
         *[_running_local(k, v, reverse_w).alias(f"_m_{o}") for o, (k, v) in backward.items()],
     )
-    joined = join_null_safe(local, carries, [*keys, block])
-    return joined.select(
+    return local.join(carries, _PLACE).select(
         *df.columns,
         *[_combine(k, F.col(f"_l_{o}"), F.col(f"_c_{o}")).alias(o) for o, (k, _) in running.items()],
         *[_combine(k, F.col(f"_m_{o}"), F.col(f"_d_{o}")).alias(o) for o, (k, _) in backward.items()],
