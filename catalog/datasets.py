@@ -362,6 +362,20 @@ def validation_summary(spark, sf):
     )
 
 
+@query(
+    "find_issues",
+    f"""WITH {FRAMES}, d AS (SELECT video_id, t_us - lag(t_us) OVER (PARTITION BY video_id ORDER BY frame_idx) AS step, k FROM frames)
+    SELECT video_id, 'events gaps in time' AS issue FROM d GROUP BY video_id HAVING count(*) FILTER (step > 86400000000) > 0
+    UNION ALL SELECT video_id, 'events values missing' FROM d GROUP BY video_id HAVING count(*) FILTER (k % 97 = 0 OR k = 45) > 0""",
+)
+def find_issues(spark, sf):
+    """Gaps of more than a day, missing values, and vectors with a NaN."""
+    holed = F.when(F.pmod("k", F.lit(97)) != 0, F.col("energy"))
+    vector = F.array("x", F.when(F.col("k") == 45, float("nan")).otherwise(F.col("y")))
+    f = frames(spark, sf).select(*KEYS.split(), F.col("t_us").alias("time"), holed.alias("energy"), vector.alias("place"))
+    return Q.find_issues(f, "events", ["time", "energy", "place"], gap=86_400_000_000)
+
+
 LABEL_SIDES = f"{AXES}, old AS (SELECT video_id, time, active, 0 AS track FROM lab), new AS (SELECT video_id, frame_idx/10.0::double AS time, active, track FROM (SELECT * FROM frames, range(2) t(track)))"
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.adapters import FRAMES, LONG, frames, long_frames, table
-from catalog.intervals import LAB, TRACKS, labelled, runs_sql, tracks
+from catalog.intervals import LAB, TRACKS, labelled, pr_sql, runs_sql, tracks
 from catalog.registry import query
 from catalog.shape import big, out, q6
 from catalog.windows import HISTORY, history
 from framewise.operators import clean as C
 from framewise.operators import ensemble as E
+from framewise.operators import evaluation as V
 from framewise.operators import intervals as I
 from framewise.operators import metrics as M
 from framewise.operators import scorer
@@ -295,3 +296,38 @@ def frame_scorer_summary(spark, sf):
         F.count_if(F.abs(2 * p - 1 - F.col("confidence").cast("double")) < 1e-5).alias("confidences"), (gap > 0).alias("separates"),
     )
     return out(done, "separates", "frames distinct_frames probabilities confidences")
+
+
+# The folds are those of ``group_kfold``; scores are given, so that SQL can follow the whole chain.
+FOLDS = f"""v AS (SELECT video_id, count(*) AS n FROM frames GROUP BY video_id),
+    o AS (SELECT *, row_number() OVER (ORDER BY n DESC, md5('0:' || video_id)) AS rn FROM v),
+    walk AS (SELECT 0::BIGINT AS rn, [0, 0, 0, 0, 0]::BIGINT[] AS loads, -1::BIGINT AS fold
+      UNION ALL SELECT o.rn, list_transform(w.loads, lambda x, i: CASE WHEN i = list_position(w.loads, list_min(w.loads)) THEN x + o.n ELSE x END),
+        (list_position(w.loads, list_min(w.loads)) - 1)::BIGINT FROM walk w JOIN o ON o.rn = w.rn + 1),
+    dealt AS (SELECT l.*, w.fold FROM lab l JOIN o USING (video_id) JOIN walk w USING (rn)),
+    tuning AS (SELECT h.held, d.score, d.truth FROM dealt d JOIN range(5) h(held) ON h.held <> d.fold)"""
+
+
+@query(
+    "kfold_evaluation",
+    f"""WITH RECURSIVE {FRAMES}{LAB}, {FOLDS}, {pr_sql('held, ', 'tuning', 'score', 'truth')},
+    best AS (SELECT held, threshold FROM curve WHERE recall >= 0.71 QUALIFY row_number() OVER (PARTITION BY held ORDER BY f1 DESC, threshold) = 1),
+    lim AS (SELECT held, coalesce(best.threshold, low) AS threshold FROM (SELECT held, min(score) AS low FROM tuning GROUP BY held) LEFT JOIN best USING (held)),
+    c AS (SELECT fold, threshold, count(*) FILTER (score >= threshold AND truth = 1) AS tp, count(*) FILTER (score >= threshold AND truth = 0) AS fp,
+      count(*) FILTER (score < threshold AND truth = 1) AS fn, count(*) FILTER (score < threshold AND truth = 0) AS tn FROM dealt JOIN lim ON held = fold GROUP BY ALL)
+    SELECT {big('fold')}, {q6('threshold')}, {big('tp')}, {big('fp')}, {big('fn')}, {big('tn')}, {q6('CASE WHEN tp + fp > 0 THEN tp/(tp+fp) ELSE 0 END', 'precision')},
+    {q6('CASE WHEN tp + fn > 0 THEN tp/(tp+fn) ELSE 0 END', 'recall')}, {q6('CASE WHEN tp > 0 THEN 2*tp/(2*tp+fp+fn) ELSE 0 END', 'f1')} FROM c""",
+)
+def kfold_evaluation(spark, sf):
+    """Folds, thresholds tuned on the others, and the confusion of each fold."""
+    done = V.evaluate_folds(V.with_folds(labelled(frames(spark, sf))), "score", "truth")
+    return out(done, "", "fold tp fp fn tn", "threshold precision recall f1")
+
+
+@query("frame_scorer_folds")
+def frame_scorer_folds(spark, sf):
+    """The same chain with scores of models that never saw the fold."""
+    hit = F.pmod(F.col("k") * 7 + F.col("event_id"), F.lit(100)) < F.col("k")
+    f = frames(spark, sf).select("video_id", "frame_idx", "score", "energy", "pitch", "x", "y", hit.cast("int").alias("truth"))
+    scored = V.out_of_fold(f, ["score", "energy", "pitch", "x", "y"], "truth")
+    return out(V.evaluate_folds(scored, "probability", "truth"), "", "fold tp fp fn tn", "threshold precision recall f1")

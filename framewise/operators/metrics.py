@@ -68,16 +68,16 @@ def video_metrics(df: DataFrame, pred: str, truth: str, key: str = "video_id", f
     return per_video.rollup(key).agg(*totals, *means).withColumns(confusion_rates())
 
 
-def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = ()) -> DataFrame:
-    """Precision and recall with ``score >= threshold`` for every distinct score.
+def pr_curve(df: DataFrame, score: str, label: str, by: str | Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """Precision and recall with ``score >= threshold`` for every distinct score; ``weight`` says how many rows a row is.
 
     Scores are counted first, then suffix sums run per range of scores, of equal size however scores crowd, so
     neither a hot video nor the global curve is sorted in one task.
     """
-    keys = blocks.as_list(by)
+    keys, many = blocks.as_list(by), F.col(weight) if weight else F.lit(1).cast("bigint")
     counts = (
         df.groupBy(*keys, F.col(score).alias("threshold"))
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("bigint")).alias("_pos"))
+        .agg(F.sum(many).alias("_n"), F.sum(F.col(label).cast("bigint") * many).alias("_pos"))
     )
     counts = blocks.range_blocks(counts, keys, "threshold")
     swept = blocks.two_phase(

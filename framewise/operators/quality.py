@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
@@ -89,7 +90,14 @@ def find_issues(
         return df.select(key).distinct().withColumn("issue", F.lit(text))
     measured = [c for c in required if c != time and isinstance(df.schema[c].dataType, NumericType)]
     holes = profile_nonfinite(df, key, measured).groupBy(key).agg(F.sum(F.col("nulls") + F.col("nans")).alias("_holes"))
-    found = check_time(df, time, gap, key, order).join(holes, key)
+    listed = [c for c in required if isinstance(df.schema[c].dataType, ArrayType)]
+    if listed:
+        # A vector is missing a value if it is null itself or holds a null or NaN.
+        broken = [F.col(c).isNull() | F.exists(c, lambda x: x.isNull() | F.isnan(x.cast("double"))) for c in listed]
+        vectors = df.groupBy(key).agg(reduce(lambda a, b: a + b, (F.count_if(b) for b in broken)).alias("_vectors"))
+        holes = blocks.join_null_safe(holes, vectors, [key]) if measured else vectors.withColumn("_holes", F.lit(0))
+        holes = holes.select(key, (F.col("_holes") + F.col("_vectors")).alias("_holes"))
+    found = blocks.join_null_safe(check_time(df, time, gap, key, order), holes, [key])
     issues = F.array_compact(F.array(
         F.when(F.col("non_monotonic"), f"{name} timestamps out of order"),
         F.when(F.col("gaps") > 0, f"{name} gaps in time"),

@@ -49,7 +49,7 @@ FCPX_SEQUENCE = f"spine array<struct<clip:array<{_CLIP}>>>"
 
 def read_projects(spark: SparkSession, path: str, key: str = "xml_id") -> DataFrame:
     """One row per project file: its stem and text."""
-    raw = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.xml").text(path)
+    raw = spark.read.option("pathGlobFilter", "*.xml").text(path, wholetext=True)
     name = F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     return raw.select(F.regexp_extract(name, r"^(.*)\.xml$", 1).alias(key), F.col("value").alias("xml"))
 
