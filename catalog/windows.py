@@ -411,3 +411,34 @@ for _c in SIX:
 def temporal_features(spark, sf):
     f = long_frames(spark, sf).select(*KEYS.split(), *[F.expr(f"round({e})").alias(c) for c, e in SIX.items()], "speaking")
     return out(W.temporal_features(f, list(SIX), "speaking"), KEYS, "rising falling", " ".join(TEMPORAL))
+
+
+_TWO = {"energy": "energy*100", "score": "score*100"}
+ENRICHED = [*[n for n in TEMPORAL if n.rsplit("_", 1)[0] in _TWO], "time_since_prev", "time_to_next", "cut_duration", "position_in_video", "sim_prev", "sim_next",
+            "motion_abs_diff", "speaker_id_abs_diff", "movement", "position", "speaking_cum_mean", "density"]
+_KEPT = [e for n, e in zip(TEMPORAL, TEMPORAL_SQL, strict=True) if n.rsplit("_", 1)[0] in _TWO]
+_SIM = "coalesce(list_cosine_similarity(v, {other}), 0)"
+
+
+@query(
+    "enrich",
+    f"""WITH {LONG}, whole AS (SELECT video_id, frame_idx, t_us, round(energy*100) AS energy, round(score*100) AS score, speaking, motion, speaker_id, x, y,
+      t_us/1e3 AS s, [x + 1, y, motion]::DOUBLE[] AS v FROM frames),
+    d AS (SELECT *, {', '.join(f"coalesce(abs({c} - lag({c}) {OVER}), 0) AS d_{c}" for c in _TWO)}, coalesce(s - lag(s) {OVER}, 0) AS a, coalesce(lead(s) {OVER} - s, 0) AS b,
+      min(s) OVER (PARTITION BY video_id) AS lo, max(s) OVER (PARTITION BY video_id) AS hi,
+      count(*) OVER (PARTITION BY video_id ORDER BY t_us RANGE BETWEEN {24 * HOUR_US} PRECEDING AND {24 * HOUR_US} FOLLOWING) AS c FROM whole)
+    SELECT video_id, frame_idx, {', '.join(_KEPT)}, {q6('a', 'time_since_prev')}, {q6('b', 'time_to_next')}, {q6('(a+b)/2', 'cut_duration')},
+      {q6('(s-lo)/(hi-lo+1e-6)', 'position_in_video')}, {q6(_SIM.format(other=f'lag(v) {OVER}'), 'sim_prev')}, {q6(_SIM.format(other=f'lead(v) {OVER}'), 'sim_next')},
+      {', '.join(q6(f"coalesce(abs({c} - lag({c}) {OVER}), 0)", f"{c}_abs_diff") for c in ("motion", "speaker_id"))},
+      {q6(f"coalesce(sqrt(power(x - lag(x) {OVER}, 2) + power(y - lag(y) {OVER}, 2)), 0)", "movement")},
+      {q6("frame_idx / count(*) OVER (PARTITION BY video_id)", "position")}, {q6("avg(speaking) OVER (PARTITION BY video_id ORDER BY frame_idx)", "speaking_cum_mean")},
+      {q6('c / max(c) OVER (PARTITION BY video_id)', 'density')}, {big(f"coalesce(speaking - lag(speaking) {OVER}, 0) > 0", "rising")}, {big(f"coalesce(speaking - lag(speaking) {OVER}, 0) < 0", "falling")} FROM d""",
+)
+def enrich(spark, sf):
+    """Statistics, cut timing, similarity, visual change, cumulative values and density of one table."""
+    f = long_frames(spark, sf).select(
+        *KEYS.split(), "t_us", *[F.expr(f"round({_TWO[c]})").alias(c) for c in _TWO], "speaking", "motion", "speaker_id", "x", "y",
+        (F.col("t_us") / 1e3).alias("s"), F.array(F.col("x") + 1, "y", "motion").alias("v"),
+    )
+    done = W.enrich(f, list(_TWO), "s", "v", "speaking", ["motion", "speaker_id"], ("x", "y"), 24 * HOUR_US, "t_us")
+    return out(done, KEYS, "rising falling", " ".join(ENRICHED))

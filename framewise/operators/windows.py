@@ -190,7 +190,7 @@ def density(df: DataFrame, axis: str, radius: int, key=KEY) -> DataFrame:
     rated = blocks.join_per_key(near, peaks, key, axis).select(
         *keys, axis, "neighbours", (F.col("neighbours") / F.col("_peak")).alias("density")
     )
-    return df.join(rated, [*keys, axis])
+    return blocks.join_null_safe(df, rated, [*keys, axis])
 
 
 def _cosine(a: Column, na: Column, b: Column, nb: Column, eps: float) -> Column:
@@ -466,13 +466,7 @@ def local_variance(df: DataFrame, col: str, size: int = 5, key=KEY, order=ORDER)
 MEAN_WINDOWS, STD_WINDOWS, LAGS = (5, 10, 30, 60, 120), (5, 30, 120), (1, 2, 30)
 
 
-def temporal_features(df: DataFrame, cols: Sequence[str], flag: str | None = None, key=KEY, order=ORDER) -> DataFrame:
-    """Moving means and deviations, lag differences, change scores and edges in one pass.
-
-    All frames share one window per block, so the enrichment costs one shuffle and one sort.
-    """
-    reach = max(MEAN_WINDOWS) // 2
-
+def _temporal(cols: Sequence[str], flag: str | None, order: str):
     def build(d: DataFrame, w: WindowSpec) -> DataFrame:
         steps = {f"_step_{c}": zero_if_null(F.abs(F.col(c) - F.lag(c).over(w))) for c in cols}
         d, new, spare = with_sums(d.withColumns(steps), w, cols, MEAN_WINDOWS, STD_WINDOWS)
@@ -484,4 +478,58 @@ def temporal_features(df: DataFrame, cols: Sequence[str], flag: str | None = Non
             new += [(edge > 0).cast("int").alias("rising"), (edge < 0).cast("int").alias("falling")]
         return d.select("*", *new).drop(*steps, *spare)
 
-    return blocks.neighbourhood(df, key, order, max(reach, max(LAGS)) + 1, reach + 1, build, max(min(blocks.ROWS_PER_BLOCK, SUM_ROWS), 1))
+    return build
+
+
+#: Rows before and after that the frames of the enrichment reach.
+REACH_BEFORE, REACH_AFTER = max(max(MEAN_WINDOWS) // 2, max(LAGS)) + 1, max(MEAN_WINDOWS) // 2 + 1
+
+
+def _bounded(df: DataFrame, build, key, order) -> DataFrame:
+    return blocks.neighbourhood(df, key, order, REACH_BEFORE, REACH_AFTER, build, max(min(blocks.ROWS_PER_BLOCK, SUM_ROWS), 1))
+
+
+def temporal_features(df: DataFrame, cols: Sequence[str], flag: str | None = None, key=KEY, order=ORDER) -> DataFrame:
+    """Moving means and deviations, lag differences, change scores and edges in one pass.
+
+    All frames share one window per block, so the enrichment costs one shuffle and one sort.
+    """
+    return _bounded(df, _temporal(cols, flag, order), key, order)
+
+
+def enrich(
+    df: DataFrame, cols: Sequence[str], time: str, vec: str, flag: str, changes: Sequence[str], place: tuple[str, str], radius: int,
+    axis: str, key=KEY, order=ORDER,
+) -> DataFrame:
+    """The whole enrichment of a frame table.
+
+    Statistics of ``cols``, cut timing along ``time``, similarity of ``vec`` to its neighbours, differences of ``changes``, the
+    movement of ``place`` and the cumulative share of ``flag``: one shuffle for all bounded frames, one for all running
+    values; and the density of rows within ``radius`` units of the integer ``axis``.
+    """
+    t, v, n = F.col(time), F.col("_v"), F.col("_n")
+    x, y = (F.col(c) for c in place)
+    statistics = _temporal(cols, flag, order)
+
+    def build(d: DataFrame, w: WindowSpec) -> DataFrame:
+        d = d.withColumn("_v", V.as_double(F.col(vec))).withColumn("_n", V.norm(F.col("_v")))
+        last_x, last_y = (F.lag(c).over(w) for c in (x, y))
+        return statistics(d, w).select(
+            "*", zero_if_null(t - F.lag(t).over(w)).alias("time_since_prev"), zero_if_null(F.lead(t).over(w) - t).alias("time_to_next"),
+            *[_cosine(v, n, step(v).over(w), step(n).over(w), 0.0).alias(name) for name, step in (("sim_prev", F.lag), ("sim_next", F.lead))],
+            *[zero_if_null(F.abs(F.col(c) - F.lag(c).over(w)).cast("double")).alias(f"{c}_abs_diff") for c in changes],
+            zero_if_null(F.hypot(x - last_x, y - last_y)).alias("movement"),
+        ).drop("_v", "_n")
+
+    near = blocks.with_block(_bounded(df, build, key, order), order)
+    done = blocks.two_phase(
+        near, key, order, running={"_sum": ("sum", F.col(flag)), "_rows": ("count", F.lit(1))},
+        stats={"_all": ("count", F.lit(1)), "_t0": ("min", t), "_t1": ("max", t)},
+    ).withColumns(
+        {
+            "cut_duration": (F.col("time_since_prev") + F.col("time_to_next")) / 2,
+            "position_in_video": (t - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + 1e-6),
+            "position": F.col(order) / F.col("_all"), f"{flag}_cum_mean": F.col("_sum") / F.col("_rows"),
+        }
+    )
+    return density(done.drop("_sum", "_rows", "_all", "_t0", "_t1", blocks.BLOCK), axis, radius, key)
