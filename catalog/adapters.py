@@ -29,8 +29,11 @@ def event_base(spark: SparkSession, sf: str, key: Column | None = None) -> DataF
     )
 
 
-def frames(spark: SparkSession, sf: str, key: Column | None = None) -> DataFrame:
-    """Events as frames: dense ``frame_idx`` per video plus feature columns (FIXTURES B1)."""
+def frames(spark: SparkSession, sf: str, key: Column | None = None, once: bool = False) -> DataFrame:
+    """Events as frames: dense ``frame_idx`` per video plus feature columns (FIXTURES B1).
+
+    ``once`` is for uses of nearly all columns: one scan of the table instead of two narrower ones.
+    """
     base = event_base(spark, sf, key).withColumn("_minute", blocks.int_div("us", MINUTE_US))
     ranked = blocks.two_phase(
         base,
@@ -40,6 +43,7 @@ def frames(spark: SparkSession, sf: str, key: Column | None = None) -> DataFrame
         stats={"us0": ("min", F.col("us"))},
         inclusive=False,
         block="_minute",
+        once=once,
     )
     k = F.col("k")
     return ranked.select(
@@ -95,7 +99,7 @@ LONG = frames_sql("user_id % 10")
 
 def clips(spark: SparkSession, sf: str) -> DataFrame:
     """Purchases and signups as timeline clips on five tracks (FIXTURES B2)."""
-    f = frames(spark, sf).where(F.col("event_type").isin("purchase", "signup"))
+    f = frames(spark, sf, once=True).where(F.col("event_type").isin("purchase", "signup"))
     k = F.col("k").cast("bigint")
     start = F.col("frame_idx")
     end = start + 1 + F.pmod(k, F.lit(12))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.adapters import FRAMES, LONG, frames, long_frames, table
+from catalog.adapters import FRAMES, LONG, event_base, frames, long_frames, table
 from catalog.align import AROUND, AXES, FLAG, WIDTH_S, axes, views_and_clicks
 from catalog.cleaning import DIRTY, dirty
 from catalog.intervals import TRACKS, tracks
@@ -332,13 +332,12 @@ VALIDATED = f"""{AROUND}, src AS (SELECT video_id, t_us - lag(t_us) OVER (PARTIT
 
 def validated(spark, sf):
     targets, sources = views_and_clicks(spark, sf)
-    f = frames(spark, sf)
     base = A.align_report(targets, {"any": sources}, 6 * HOUR_US, 60 * HOUR_US, WIDTH_S * 1e6, "t_us")
 
     kinds = [("audio", 7), ("visual", 5)]
     each = F.array_compact(F.array(*[F.when(F.pmod("video_id", F.lit(m)) != 0, F.lit(n)) for n, m in kinds]))
     stats = base.select("video_id", F.explode(each).alias("modality"), "interpolated_pct", (F.col("max_gap") / (12.0 * HOUR_US)).alias("max_gap"))
-    videos = f.select("video_id").distinct()
+    videos = event_base(spark, sf).select("video_id").distinct()
     audio, visual = (videos.where(F.pmod("video_id", F.lit(m)) != 0) for _, m in kinds)
     return Q.validate_videos(videos, audio, visual, stats)
 

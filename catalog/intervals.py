@@ -475,7 +475,7 @@ def totals(f):
       {q6('coalesce(covered, 0)/total', 'covered_ratio')} FROM g JOIN totals USING (video_id) LEFT JOIN cov USING (video_id) WHERE a < coalesce(b, total)""",
 )
 def complement(spark, sf):
-    t = totals(frames(spark, sf))
+    t = totals(frames(spark, sf, once=True))
     inside = blocks.join_per_key(clips(spark, sf), t, "video_id", "ord").withColumn("end_frame", F.least("end_frame", "total"))
     return out(I.complement(inside.drop("total"), t, "total"), "video_id", "gap_start gap_end covered", "covered_ratio")
 
@@ -489,7 +489,7 @@ def complement(spark, sf):
     SELECT video_id, {big('bucket')}, {q6('ratio')}, CASE WHEN ratio > 0.8 THEN 'full' WHEN ratio > 0.5 THEN 'half' WHEN ratio > 0.2 THEN 'part' ELSE 'none' END AS label FROM r""",
 )
 def coverage_buckets(spark, sf):
-    t = totals(frames(spark, sf))
+    t = totals(frames(spark, sf, once=True))
     inside = blocks.join_per_key(clips(spark, sf), t, "video_id", "ord").withColumn("end_frame", F.least("end_frame", "total"))
     return out(I.coverage(inside, t, "total"), "video_id label", "bucket", "ratio")
 

@@ -90,7 +90,7 @@ HOUR_US = 3_600_000_000
       {q6('c / max(c) OVER (PARTITION BY video_id)', 'density')} FROM n""",
 )
 def density_window(spark, sf):
-    return out(W.density(frames(spark, sf), "t_us", 24 * HOUR_US), KEYS, "neighbours", "density")
+    return out(W.density(frames(spark, sf, once=True), "t_us", 24 * HOUR_US), KEYS, "neighbours", "density")
 
 
 VECS = """frames AS (SELECT label AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_idx,

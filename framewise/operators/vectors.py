@@ -93,8 +93,9 @@ def assign_centroid(df: DataFrame, vec: str, centres: DataFrame, drop: str | Non
     kind = centres.schema["cluster"].dataType
     found = StructType([StructField("cluster", kind), StructField("similarity", DoubleType())])
     if tiles == 1:
-        # Of a checked size.
-        rows = sorted((tuple(r) for r in unit.collect()), key=lambda r: (r[0] is None, r[0]))
+        # One value of a checked size.
+        rows = unit.agg(F.collect_list(F.struct("cluster", "c"))).first()[0]
+        rows = sorted((tuple(r) for r in rows), key=lambda r: (r[0] is None, r[0]))
         labels, held = [r[0] for r in rows], _unit(np.array([r[1] for r in rows], float).reshape(len(rows), width or 0))
 
         def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from framewise.session import materialise
 
 BLOCK = "_blk"
 _LANE = "_lane"
-_PLACE, _ROW = "_place", "_row"
+_PLACE, _ROW = "_key_blk", "_row"
 
 # Rows per block on a dense position axis. Bounds the rows one window task sorts per key.
 ROWS_PER_BLOCK = 16384
@@ -148,6 +148,7 @@ def two_phase(
     stats: Mapping[str, Spec] | None = None,
     inclusive: bool = True,
     block: str = BLOCK,
+    once: bool = True,
 ) -> DataFrame:
     """Add running, reverse-running and whole-key aggregates.
 
@@ -155,6 +156,9 @@ def two_phase(
     ``output -> (kind, expression)`` with kind ``sum``, ``count``, ``max``, ``min`` or ``last``
     (last non-null in scan direction; not for ``stats``). An exclusive scan leaves out the row
     itself. ``key`` may be empty for one global axis.
+
+    ``df`` is read once, with all its columns. For a plain table, of which later steps use few columns, ``once=False``
+    reads it twice, each time only what is used.
     """
     keys, orders = as_list(key), as_list(order)
     running, backward, stats = dict(running or {}), dict(backward or {}), dict(stats or {})
@@ -174,16 +178,18 @@ def two_phase(
         + [total(k, v, True).alias(f"_b_{o}") for o, (k, v) in backward.items()]
         + [total(k, v, False).alias(f"_s_{o}") for o, (k, v) in stats.items()]
     )
-    # Both uses of the rows read one shuffle. That takes equal plans below it: rows travel as one value that no
-    # use of them narrows, and the key is never null, so that joining on it filters nothing.
-    packed = df.select(
-        F.struct(*keys, F.col(block).alias(BLOCK)).alias(_PLACE),
-        F.array(F.struct(*df.columns, *[v.alias(n) for n, v in values.items()])).alias(_ROW),
-    ).repartition(_PLACE)
-    rows = packed.select(_PLACE, F.element_at(_ROW, 1).alias(_ROW)).select(_PLACE, f"{_ROW}.*")
-    totals = rows.groupBy(_PLACE).agg(*aggregates)
-    per_key = Window.partitionBy(*[F.col(_PLACE)[k] for k in keys]) if keys else Window.partitionBy(F.lit(0))
-    axis = F.col(_PLACE)[BLOCK]
+    place = F.struct(*keys, F.col(block).alias(BLOCK)).alias(_PLACE)
+    carried = [*df.columns, *[v.alias(n) for n, v in values.items()]]
+    if once:
+        # Both uses of the rows read one shuffle. That takes equal plans below it: rows travel as one value that no
+        # use of them narrows, and the key is never null, so that joining on it filters nothing.
+        packed = df.select(place, F.array(F.struct(*carried)).alias(_ROW)).repartition(_PLACE)
+        rows = packed.select(_PLACE, F.element_at(_ROW, 1).alias(_ROW)).select(_PLACE, f"{_ROW}.*")
+    else:
+        rows = df.select(place, *carried)
+    totals = rows.groupBy(_PLACE).agg(*aggregates).select("*", f"{_PLACE}.*")
+    per_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    axis = F.col(BLOCK)
     earlier = per_key.orderBy(axis).rowsBetween(Window.unboundedPreceding, -1)
     later = per_key.orderBy(axis.desc()).rowsBetween(Window.unboundedPreceding, -1)
 

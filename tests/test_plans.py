@@ -22,7 +22,7 @@ def executed(df):
 
 
 @pytest.mark.parametrize(("name", "most"), [
-    ("cumulative", 2), ("complement", 4), ("density_window", 2), ("overlap_pairs", 2), ("align_report", 4), ("validate_videos", 6), ("validation_summary", 6),
+    ("cumulative", 2), ("complement", 4), ("density_window", 2), ("overlap_pairs", 2), ("align_report", 4), ("validate_videos", 7), ("validation_summary", 7),
 ])
 def test_sources_are_read_few_times(spark, name, most):
     plan = executed(QUERIES[name](spark, SF))
