@@ -96,7 +96,7 @@ def op9_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality_fm.train(docs, labels.where(~held_out), usable=~held_out)
     rows = quality_fm.score(docs, model, carry=["doc_id"])
     rows = rows.select(F.col("row.doc_id").cast("long").alias("doc_id"), F.col("quality_score").alias("score"))
-    return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return rows.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query("op7_passage_dedup")

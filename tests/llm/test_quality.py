@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from framewise.llm import quality_fm
 from framewise.llm.queries import QUERIES
 from tests.conftest import SF
-from tests.llm.helpers import AWKWARD, DOCS, docs
+from tests.llm.helpers import AWKWARD, DOCS, docs, prose
 
 
 def test_the_identity_equals_the_sum_over_pairs():
@@ -64,3 +64,14 @@ def test_held_out_accuracy(spark):
 def test_query_scores_every_row(spark):
     rows = QUERIES["op9_quality_fm"](spark, SF)
     assert rows.columns == ["doc_id", "held_out", "score", "predicted"] and rows.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_query_on_awkward_tables(spark, tmp_path):
+    """Null ids are never held out, and every row has a score."""
+    rows = [*AWKWARD, *((100 + i, prose(i, 40), "a") for i in range(30))]
+    docs(spark, rows, extra=True).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(100 + i, i % 2, 0) for i in range(30)] + [(None, 1, 0), (1, None, None)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = QUERIES["op9_quality_fm"](spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and all(r.held_out is not None and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert [r.held_out for r in got if r.doc_id is None] == [False]
