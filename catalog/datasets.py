@@ -31,10 +31,12 @@ def pivot_tracks(spark, sf):
 
 @query(
     "join_outer_tracks",
-    f"""WITH {FRAMES}, {TRACKS}, a AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 0 AND frame_idx % 3 = 0),
+    f"""WITH {FRAMES}, {TRACKS.replace('tracks AS', 'tracks AS MATERIALIZED', 1)}, a AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 0 AND frame_idx % 3 = 0),
     b AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 1 AND frame_idx % 2 = 0), c AS (SELECT video_id, frame_idx, scale FROM tracks WHERE track = 2 AND frame_idx % 5 = 0),
-    m AS (SELECT video_id, frame_idx, a.scale AS s0, b.scale AS s1 FROM a FULL JOIN b USING (video_id, frame_idx))
-    SELECT video_id, frame_idx, {q6('coalesce(s0, 0)', 'track_0_scale')}, {q6('coalesce(s1, 0)', 'track_1_scale')}, {q6('coalesce(c.scale, 0)', 'track_2_scale')} FROM m FULL JOIN c USING (video_id, frame_idx)""",
+    k AS (SELECT video_id, frame_idx FROM a UNION SELECT video_id, frame_idx FROM b UNION SELECT video_id, frame_idx FROM c)
+    SELECT k.video_id, k.frame_idx, {q6('coalesce(a.scale, 0)', 'track_0_scale')}, {q6('coalesce(b.scale, 0)', 'track_1_scale')}, {q6('coalesce(c.scale, 0)', 'track_2_scale')}
+    FROM k LEFT JOIN a ON a.video_id = k.video_id AND a.frame_idx = k.frame_idx LEFT JOIN b ON b.video_id = k.video_id AND b.frame_idx = k.frame_idx
+    LEFT JOIN c ON c.video_id = k.video_id AND c.frame_idx = k.frame_idx""",
 )
 def join_outer_tracks(spark, sf):
     """Per-track tables with different rows, merged on time: one pivot instead of a chain of outer joins."""
