@@ -10,8 +10,9 @@ length.
    last filler of a gap is cut, and what is left of it goes back to its own tier.
 4. What is still open at the end of a buffer is merged into windows again; a short window is cut into exact
    powers of two, so that its padding is nothing.
-5. Balance: the windows of a buffer are dealt to step groups by descending tier, so that groups of one
-   optimiser step hold as many tokens of each tier.
+5. Balance: windows are dealt to step groups of 64 by descending tier, so that groups of one optimiser step hold as many
+   tokens of each tier. Windows of a buffer that fill no group, taken evenly over the tiers, go on to the next buffer of
+   the task; only the last group of a task is smaller.
 
 Defined results
     null text is the empty text; a document of no tokens is the end token alone; texts that hold the
@@ -42,7 +43,7 @@ END = 1
 STEP_WINDOWS = 64
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
-    "tier int, step_group int, ids binary"
+    "tier int, step_group long, ids binary"
 )
 #: The split of a text before merges, possessive where that cannot change the result.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
@@ -159,37 +160,47 @@ def _powers(pieces: list[tuple[int, int, int]], total: int) -> list[tuple[int, l
     return out
 
 
+def step_groups(tiers: list[int], size: int) -> list[int]:
+    """The number of its group for every window, -1 for those left over: full groups that hold, of every tier, as many
+    windows as each other, give or take one."""
+    order = sorted(range(len(tiers)), key=lambda i: -tiers[i])
+    groups, rest = divmod(len(tiers), size)
+    # Evenly spaced over the tiers, so that what goes on has their mix too.
+    left = {(2 * k + 1) * len(tiers) // (2 * rest) for k in range(rest)}
+    out = [-1] * len(tiers)
+    for n, i in enumerate(i for at, i in enumerate(order) if at not in left):
+        out[i] = n % groups
+    return out
+
+
 def _pack_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int, buffer_tokens: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     encode, task = tokens(vocabulary), TaskContext.get().partitionId()
-    serial = 0
+    serial, group = 0, 0
     held: list[tuple[int | None, np.ndarray]] = []
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        nonlocal serial
-        windows = plan([len(ids) for _, ids in held], window)
-        order = sorted(range(len(windows)), key=lambda i: -windows[i][0])
-        groups = max(1, -(-len(windows) // STEP_WINDOWS))
-        group_of = {i: n % groups for n, i in enumerate(order)}
-        rows: list[list] = [[] for _ in range(10)]
-        for i, (tier, pieces) in enumerate(windows):
-            offset = 0
+    #: Windows that no group has yet: tier and rows without their group.
+    waiting: list[tuple[int, list[tuple]]] = []
+    kinds = [pa.int64()] * 7 + [pa.int32(), pa.int64(), pa.binary()]
+    names = [field.split()[0] for field in SCHEMA.split(", ")]
+
+    def flush(last: bool = False) -> Iterator[pa.RecordBatch]:
+        nonlocal serial, group
+        for tier, pieces in plan([len(ids) for _, ids in held], window):
+            offset, own = 0, []
             for doc, start, length in pieces:
                 doc_id, ids = held[doc]
                 part = ids[start : start + length].tobytes()
-                values = (
-                    doc_id, start, length, zlib.crc32(part), len(ids), task << 36 | serial, offset, tier,
-                    group_of[i], part if with_ids else None,
-                )
-                for column, value in zip(rows, values, strict=True):
-                    column.append(value)
+                own.append((doc_id, start, length, zlib.crc32(part), len(ids), task << 36 | serial, offset, tier, part if with_ids else None))
                 offset += length
+            waiting.append((tier, own))
             serial += 1
         held.clear()
-        kinds = [pa.int64()] * 7 + [pa.int32()] * 2 + [pa.binary()]
-        names = [field.split()[0] for field in SCHEMA.split(", ")]
-        table = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=names)
-        for at in range(0, table.num_rows, 4096):
-            yield table.slice(at, 4096)
+        dealt = step_groups([tier for tier, _ in waiting], STEP_WINDOWS)
+        full = max(dealt, default=-1) + 1
+        rows = [(*row[:8], task << 36 | group + (full if g < 0 else g), row[8]) for g, (_, own) in zip(dealt, waiting, strict=True) if g >= 0 or last for row in own]
+        waiting[:] = [] if last else [w for g, w in zip(dealt, waiting, strict=True) if g < 0]
+        group += full
+        for at in range(0, len(rows), 4096):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 4096], strict=True), kinds, strict=True)], names=names)
 
     count = 0
     end = np.array([END], np.uint32)
@@ -201,8 +212,8 @@ def _pack_batches(batches: Iterator[pa.RecordBatch], vocabulary: str, window: in
             if count >= buffer_tokens:
                 yield from flush()
                 count = 0
-    if held:
-        yield from flush()
+    if held or waiting:
+        yield from flush(last=True)
 
 
 def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, buffer_tokens: int = BUFFER_TOKENS, with_ids: bool = True) -> DataFrame:

@@ -1,3 +1,5 @@
+import collections
+import random
 import zlib
 
 import numpy as np
@@ -71,3 +73,25 @@ def test_query_is_a_round_trip(spark):
     assert sorted(got) == want
     same = QUERIES["op2_packing"](spark, SF)
     assert "ids" not in same.columns and same.count() == len(rows)
+
+
+def test_step_groups_are_even_in_size_and_tiers():
+    r = random.Random(5)
+    for n in (0, 1, 63, 64, 65, 500, 1000):
+        tiers = [r.choice([2048, 2048, 2048, 512, 64, 1]) for _ in range(n)]
+        found = packing.step_groups(tiers, 64)
+        assert found.count(-1) == n % 64 and all(found.count(g) == 64 for g in range(n // 64))
+        for tier in set(tiers):
+            each = [sum(t == tier and g == k for t, g in zip(tiers, found, strict=True)) for k in range(n // 64)]
+            assert not each or max(each) - min(each) <= 1
+
+
+def test_step_groups_go_on_over_buffers_and_differ_between_tasks(spark):
+    rows = [(i, prose(i, 30 + i % 300), "s") for i in range(600)]
+    got = packing.pack(docs(spark, rows).repartition(3), vocabulary(), window=256, buffer_tokens=5000, with_ids=False)
+    windows = {(r.sequence_id, r.step_group) for r in got.collect()}
+    sizes = collections.Counter(g for _, g in windows)
+    assert len(windows) == len({s for s, _ in windows}) and max(sizes.values()) == 64
+    small = [g for g, n in sizes.items() if n < 64]
+    # One smaller group a task at most.
+    assert len(small) == len({g >> 36 for g in small}) <= 3 and len(sizes) > 6
