@@ -44,3 +44,18 @@ def test_pairs_by_opening(spark):
 def test_empty(spark):
     empty = preference.conversations(spark.createDataFrame([], TURNS))
     assert preference.format_pairs(empty, preference.pairs_by_opening(empty)).count() == 0
+
+
+def test_long_texts_and_clashing_columns(spark):
+    """A text of a megabyte, and further columns named as those inside."""
+    from pyspark.sql import functions as F
+
+    long = "word " * 200_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (2, 0, "user", long), (2, 1, "assistant", "short")]
+    table = spark.createDataFrame(rows, TURNS)
+    for name in ("pos", "start", "turns", "opening", "chosen_id", "rejected_id", "prompt"):
+        table = table.withColumn(name, F.lit("x"))
+    threads = preference.conversations(table)
+    (r,) = preference.format_pairs(threads, preference.pairs_by_opening(threads)).collect()
+    assert (r.chosen_id, r.rejected_id, r.prefix_turns) == (1, 2, 1) and r.prompt == f"<|user|>\n{long}<|end|>\n"
+    assert [r.chosen[s.start : s.end] for s in r.chosen_spans] == [f"{long}<|end|>\n"] and r.rejected.endswith("short<|end|>\n")
