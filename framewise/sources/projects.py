@@ -1,8 +1,11 @@
 """Edit projects: XML to clip rows, and selected clips back to XML lines.
 
-A project is one row of text. A project is cut into its sequences, nested ones included, by an XML parser in
-Arrow batches; ``from_xml`` turns each into nested columns, and everything after that is array functions
+A project is one row of text. A project is cut into its sequences, nested ones included, by an XML parser, one
+text after the other; ``from_xml`` turns each into nested columns, and everything after that is array functions
 and ``posexplode``. A text that is no XML gives no clips and a message from ``project_errors``.
+
+A task holds one Arrow batch of texts (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB), one of them as text and
+parsed, and a megabyte of what was found in them.
 """
 
 from __future__ import annotations
@@ -10,12 +13,13 @@ from __future__ import annotations
 import copy
 import sys
 import xml.etree.ElementTree as ET
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from framewise.functions import naming, times
 from framewise.operators.windows import KEY
@@ -93,30 +97,43 @@ def _read(xml: str | None) -> tuple[ET.Element | None, str | None]:
         return None, str(error)
 
 
-def _cutter(flatten: Callable[[ET.Element], str]) -> Callable[[Column], Column]:
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        roots = (_read(t)[0] for t in texts)
-        return pd.Series([[flatten(s) for s in root.iter("sequence")] if root is not None else [] for root in roots])
+# Bytes of results that leave a task together.
+LOT = 1 << 20
+
+
+def _found(projects: DataFrame, key: str, read: Callable[[ET.Element | None, str | None], Iterable[str | None]], name: str) -> DataFrame:
+    """``key, number, name``: the strings that ``read`` takes from the root, or the parser's message, of each text."""
 
-    return cut
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, numbers, values, size = [], [], [], 0
+            for row in range(batch.num_rows):
+                for number, value in enumerate(read(*_read(batch.column(1)[row].as_py()))):
+                    rows.append(row), numbers.append(number), values.append(value)
+                    size += len(value or "")
+                if rows and (size >= LOT or row == batch.num_rows - 1):
+                    lot = [batch.column(0).take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(values, pa.string())]
+                    yield pa.RecordBatch.from_arrays(lot, names=[key, "number", name])
+                    rows, numbers, values, size = [], [], [], 0
+
+    schema = StructType([projects.schema[key], StructField("number", IntegerType()), StructField(name, StringType())])
+    return projects.select(key, "xml").mapInArrow(find, schema)
 
 
 def project_errors(projects: DataFrame, key: str = "xml_id") -> DataFrame:
     """``key, error``: why a project cannot be read; null if it can."""
+    return _found(projects, key, lambda _, error: [error], "error").drop("number")
 
-    @F.pandas_udf("string")
-    def errors(texts: pd.Series) -> pd.Series:
-        return pd.Series([_read(t)[1] for t in texts], dtype=object)
 
-    return projects.select(key, errors("xml").alias("error"))
+def _sequences(df: DataFrame, key: str, schema: str, flatten: Callable[[ET.Element], str]) -> DataFrame:
+    """Sequences at any depth of the project, in document order."""
 
+    def cut(root: ET.Element | None, _: str | None) -> Iterable[str]:
+        return () if root is None else (flatten(s) for s in root.iter("sequence"))
 
-def _sequences(df: DataFrame, schema: str, flatten: Callable[[ET.Element], str]) -> DataFrame:
-    """Sequences at any depth of the project, in document order."""
     # Parsed inside the generator, so that each fragment is read once however many fields are used.
-    cut = df.withColumn("_cut", _cutter(flatten)("xml"))
-    return cut.select("*", F.posexplode(F.transform("_cut", lambda f: F.from_xml(f, schema))).alias("sequence", "_s")).drop("_cut")
+    read = F.transform(F.array("_cut"), lambda f: F.from_xml(f, schema))
+    return _found(df, key, cut, "_cut").select(key, F.col("number").alias("sequence"), F.explode(read).alias("_s"))
 
 
 def _or_empty(array: Column, like: str) -> Column:
@@ -132,7 +149,7 @@ def xmeml_clipitems(projects: DataFrame, key: str = "xml_id", max_tracks: int |
 
     ``max_tracks`` leaves out the tracks after that many; by default none is left out.
     """
-    seqs = _sequences(projects, XMEML_SEQUENCE, _flat_xmeml)
+    seqs = _sequences(projects, key, XMEML_SEQUENCE, _flat_xmeml)
     read = F.trim(F.col("_s.rate.timebase")).try_cast("int")
     timebase = F.when(read > 0, read).otherwise(30)
     tracks = seqs.select(
@@ -237,7 +254,7 @@ def parse_fcpxml(projects: DataFrame, key: str = "xml_id", max_tracks: int | Non
 
     ``max_tracks`` leaves out the clips of a spine after that many; by default none is left out.
     """
-    spines = _sequences(projects, FCPX_SEQUENCE, _flat_fcpxml).select(key, "sequence", F.posexplode("_s.spine").alias("spine", "sp"))
+    spines = _sequences(projects, key, FCPX_SEQUENCE, _flat_fcpxml).select(key, "sequence", F.posexplode("_s.spine").alias("spine", "sp"))
     rows = spines.select(key, "sequence", "spine", F.posexplode("sp.clip").alias("track_index", "c"))
     rows = rows if max_tracks is None else rows.where(F.col("track_index") < max_tracks)
     c = F.col("c")
@@ -331,13 +348,10 @@ FILE_HOST = "file://localhost/"
 def source_mapping(projects: DataFrame, key: str = "xml_id", extensions: Sequence[str] = SOURCE_EXTENSIONS) -> DataFrame:
     """Distinct source videos of each project with the paths of their tracks and features."""
 
-    @F.pandas_udf("array<string>")
-    def paths(texts: pd.Series) -> pd.Series:
-        roots = (_read(t)[0] for t in texts)
-        return pd.Series([[(p.text or "").strip() for p in root.iter("pathurl")] if root is not None else [] for root in roots])
+    def paths(root: ET.Element | None, _: str | None) -> Iterable[str]:
+        return () if root is None else dict.fromkeys((p.text or "").strip() for p in root.iter("pathurl"))
 
-    urls = paths("xml")
-    listed = projects.select(key, F.explode(F.array_distinct(urls)).alias("url")).where(F.col("url").startswith(FILE_HOST))
+    listed = _found(projects, key, paths, "url").where(F.col("url").startswith(FILE_HOST))
     bare = F.replace(F.replace("url", F.lit(FILE_HOST), F.lit("")), F.lit("+"), F.lit("%2B"))
     path = F.replace(F.try_url_decode(bare), F.lit("/"), F.lit("\\"))
     ending = F.lower(F.col("source_video_path")).rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$")

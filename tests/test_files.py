@@ -147,3 +147,34 @@ def test_stream_batches_reach_table_operators(spark, tmp_path):
 
     incremental.process_new_batches(spark, src, spark.createDataFrame([], schema).schema, handle, ckpt)
     assert sorted(seen) == [(0, 2), (4, 6), (8, 10)]
+
+
+
+def test_a_task_holds_few_texts_at_once(spark, monkeypatch):
+    """The memory of a worker while it parses, given as the id of a clip."""
+
+    def megabytes(sequence) -> str:
+        with open("/proc/self/statm") as held:
+            used = int(held.read().split()[1]) // 256
+        return f"<sequence><name>{sequence.findtext('name')}</name><media><video><track><clipitem id='{used}'/></track></video></media></sequence>"
+
+    monkeypatch.setattr(projects, "_flat_xmeml", megabytes)
+
+    def most(texts: int) -> int:
+        filler = F.concat(F.repeat(F.lit("-. "), 33_000), F.col("id").cast("string"))
+        docs = spark.range(0, texts, 1, 1).select(F.col("id").alias("xml_id"), F.concat(F.lit("<xmeml><sequence><name>"), filler, F.lit("</name></sequence></xmeml>")).alias("xml"))
+        return projects.parse_xmeml(docs).agg(F.count(F.lit(1)), F.max(F.col("clip_id").cast("int"))).first()
+
+    (few, small), (many, large) = most(20), most(2500)
+    assert (few, many) == (20, 2500) and large - small < 150
+
+
+def test_results_of_many_lots_keep_their_keys(spark, monkeypatch):
+    monkeypatch.setattr(projects, "LOT", 300)
+    two = "".join(f"<sequence><media><video><track><clipitem id='{{0}}-{i}'/></track></video></media></sequence>" for i in range(2))
+    rows = [(None if i == 7 else i, None if i % 5 == 0 else "bad" if i % 5 == 1 else f"<xmeml>{two.format(i)}</xmeml>") for i in range(40)]
+    df = spark.createDataFrame(rows, "xml_id int, xml string").coalesce(1)
+    got = sorted((r.clip_id, r.xml_id, r.sequence) for r in projects.parse_xmeml(df).collect())
+    assert got == sorted((f"{i}-{n}", None if i == 7 else i, n) for i in range(40) if i % 5 > 1 for n in range(2))
+    errors = projects.project_errors(df).collect()
+    assert len(errors) == 40 and sum(r.error is None for r in errors) == 24
