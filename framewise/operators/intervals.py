@@ -333,25 +333,31 @@ def split_long(
     """Split segments longer than ``max_length`` after sentence marks, in proportion to characters."""
     # Sentence marks.
     marks = "。、！？.,!?"
-    pieces = F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit(f"([^{marks}]*[{marks}]|[^{marks}]+)"), F.lit(1)),
-                    lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", "")),
-        lambda s: F.length(s) > 0,
-    )
+    # Spaces around a piece are eaten by the match; possessive, so that no run of them is tried twice.
+    piece = rf"(?U)\s*+([^{marks}]*+[{marks}]|[^{marks}]*[^{marks}\s]|)\s*+"
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(piece), F.lit(1)), lambda s: F.length(s) > 0)
     length = F.col(end) - F.col(start)
-    whole = F.array(F.col(text))
-    parts = F.when((length > max_length) & (F.size(pieces) > 1), pieces).otherwise(whole)
-    opened = segments.select("*", F.size(parts).alias("_parts"), F.posexplode(parts).alias("part", "_piece"))
+
+    def entry(piece: Column, split: bool) -> Column:
+        return F.struct(piece.alias("piece"), F.lit(split).alias("split"))
+
+    # A text is cut once, inside the generator: what stands beside a generator is computed again for every piece.
+    parts = F.flatten(F.transform(
+        F.array(F.when(length > max_length, pieces)),
+        lambda found: F.when(F.size(found) > 1, F.transform(found, lambda s: entry(s, True))).otherwise(F.array(entry(F.col(text), False))),
+    ))
+    measured = segments.withColumn("_chars", F.length(text))
+    opened = measured.select(*dict.fromkeys([*ident, start, end]), "_chars", F.posexplode(parts).alias("part", "_e"))
     w = Window.partitionBy(*ident).orderBy("part")
-    after = F.sum(F.length("_piece")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    rate = length / F.length(text)
+    after = F.sum(F.length("_e.piece")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    rate = F.try_divide(length, F.col("_chars"))
     cut = opened.withColumn("_upto", F.least(F.col(start) + after * rate, F.col(end).cast("double"))).withColumn(
         "_from", F.coalesce(F.lag("_upto").over(w), F.col(start).cast("double"))
     )
     return cut.select(
-        *ident, "part", F.col("_piece").alias("piece"),
+        *ident, "part", F.col("_e.piece").alias("piece"),
         F.col("_from").alias("piece_start"),
-        F.when(F.col("_parts") > 1, F.col("_upto")).otherwise(F.col(end).cast("double")).alias("piece_end"),
+        F.when(F.col("_e.split"), F.col("_upto")).otherwise(F.col(end).cast("double")).alias("piece_end"),
     )
 
 

@@ -191,3 +191,25 @@ def test_a_long_video_is_generated_in_blocks(spark, monkeypatch):
         1: (50_001, 0, 50_000), None: (4, 0, 3)}
     parts = made.withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
     assert len(parts) > 4 and max(x["count"] for x in parts) < 25_000
+
+
+def test_long_segments_are_cut_once(spark):
+    texts = [
+        "  one. two!　three 、 four  ", "no marks at all ", "   ", "", None, "...", "a.\n\n b ?c", " . x", "é。\t\tü", "tail.   ", "one . .  two", "a" * 50 + " " * 500 + "b. c",
+    ]
+    segs = spark.createDataFrame([(i, 0, 100 if i % 7 else 40, t) for i, t in enumerate(texts * 2)], "id int, s int, e int, text string")
+    done = intervals.split_long(segs, "text", "s", "e", 50, ("id",))
+    # What is cut beside a generator is cut again for every piece.
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = {}
+    for r in done.orderBy("id", "part").collect():
+        got.setdefault(r.id, []).append((r.piece, r.piece_start, r.piece_end))
+    assert len(got) == len(texts) * 2
+    for i, text in enumerate(texts * 2):
+        pieces = [p.strip() for p in re.findall("[^。、！？.,!?]*[。、！？.,!?]|[^。、！？.,!?]+", text or "") if p.strip()]
+        if i % 7 == 0 or len(pieces) < 2:
+            assert [p for p, _, _ in got[i]] == [text] and got[i][0][2] == (100 if i % 7 else 40)
+            continue
+        ends = np.minimum(np.cumsum([len(p) for p in pieces]) * (100 / len(text)), 100)
+        assert [p for p, _, _ in got[i]] == pieces
+        assert [b for _, _, b in got[i]] == pytest.approx(list(ends)) and [a for _, a, _ in got[i]] == pytest.approx([0, *ends[:-1]])
