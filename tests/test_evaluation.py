@@ -54,3 +54,13 @@ def test_vectors_are_searched_for_missing_values(spark):
     df = spark.createDataFrame(rows, "video_id int, frame_idx bigint, time double, v array<double>")
     got = {(r.video_id, r.issue) for r in quality.find_issues(df, "clip", ["time", "v"]).collect()}
     assert got == {(v, "clip values missing") for v in (2, 3, 4, None)}
+
+
+def test_rows_are_dealt_to_folds_once(spark):
+    rows = [(v, i, float((v * 7 + i) % 5), int((v + i) % 3 == 0)) for v in range(6) for i in range(10)]
+    df = spark.createDataFrame(rows, "video_id int, frame_idx bigint, x double, truth int")
+    scored = evaluation.out_of_fold(df, ["x"], "truth", folds=2)
+    # Scores are computed from written rows; nothing is counted, ranked or joined again for each fold.
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and plan.count("FileScan parquet") == 2
+    assert scored.count() == len(rows)
