@@ -11,7 +11,10 @@ A document is cut into two kinds of paragraphs.
   windows are one node and need no bands. An equal window is only a seed: it is extended word by word for as long as
   another document goes on equally. Neighbouring windows of a run of 50 words are at most ``REACH`` words apart, and so
   are its first and last ones from its ends; a shorter run that has one ends within ``SIDE`` words of it. ``SIDE``
-  words to each side thus reach the ends of every run.
+  words to each side thus reach the ends of every run. A window travels as one row with the hashes of these words: the
+  places of a window meet in one task, where sorting the sides puts next to each other those that go on equally. A
+  window of more than ``HOT`` places is dealt out by ranges of its sorted sides instead, and what runs over the ends of a
+  range is put together from all ranges.
 
 Within a cluster the paragraph with the smallest (doc_id, place) stays; the others are removed, also those at later
 places of the same document, unless they are windows that overlap the one that stays. Of the words around a window
@@ -45,7 +48,13 @@ SIDE = REACH + GRAM - 1
 SKETCH = Sketch(hashes=24, rows=3, slack=None)
 #: Windows whose sides are hashed together.
 SLICE = 1 << 14
-AROUND = "doc_id long, key long, at long, lefts int, classes array<long>"
+#: Bytes of the hash of a word beside a window.
+CELL = 6
+#: The most places of a window that meet in one task, and the sides that make a lot of others.
+HOT, LOT = 1 << 12, 1 << 16
+SIDES = "doc_id long, key long, at long, removed boolean, node long, left binary, right binary"
+ENDS = "doc_id long, key long, at long, removed boolean, node long, left int, right int, left_gone int, right_gone int"
+LOTS = "part int, kind int, node long, side int, step int, prefix binary, doc_id long, key long, at long, removed boolean, last_doc long, last_key long, reach int, gone int, head int, tail int"
 UNITS = "doc_id long, key long, at long, words int, n long, node long, bands array<long>"
 
 
@@ -148,9 +157,30 @@ def _line_sets(texts: DataFrame) -> DataFrame:
     return texts.select("text", "wanted").mapInArrow(run, SETS)
 
 
-def _around(texts: DataFrame) -> DataFrame:
-    """(doc_id, key, text, wanted: places of windows and the first word that belongs to their left) -> per window the
-    classes it is in: the window, the window with 1, 2, ... ``lefts`` words before it, then with words after it."""
+def _cells(words: np.ndarray, inside: np.ndarray) -> pa.Array:
+    """Per row the hashes inside, ``CELL`` bytes each; none is zero."""
+    top = np.maximum(words >> np.uint64(64 - 8 * CELL), np.uint64(1))
+    data = np.ascontiguousarray(top[inside].astype(">u8")).view(np.uint8).reshape(-1, 8)[:, 8 - CELL :]
+    ends = np.zeros(len(words) + 1, np.int32)
+    ends[1:] = np.cumsum(inside.sum(axis=1) * CELL)
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _words_in(cells: pa.Array) -> np.ndarray:
+    """(rows, ``SIDE``) hashes of ``_cells``, zero where there is no word."""
+    _, places, data = cells.buffers()
+    ends = np.frombuffer(places, np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    out = np.zeros((len(cells), SIDE), np.uint64)
+    if ends[-1] > ends[0]:
+        wide = np.zeros(((ends[-1] - ends[0]) // CELL, 8), np.uint8)
+        wide[:, 8 - CELL :] = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, CELL)
+        out[np.arange(SIDE) < (np.diff(ends) // CELL)[:, None]] = wide.view(">u8").ravel()
+    return out
+
+
+def _sides(texts: DataFrame) -> DataFrame:
+    """(doc_id, key, text, wanted: places of windows, the first word that belongs to their left, and what is carried
+    along) -> one row per window with the words to its left, nearest first, and to its right."""
     steps = np.arange(1, SIDE + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,28 +191,159 @@ def _around(texts: DataFrame) -> DataFrame:
                 hashes, counts = _words_of(raw[low:high], offsets[first : last + 1] - low)[::2]
                 wanted = batch.column(3).slice(first, last - first)
                 text = np.repeat(np.arange(last - first), wanted.value_lengths().to_numpy())
-                at, floor = (c.to_numpy() for c in wanted.flatten().flatten())
+                at, floor, removed = wanted.flatten().flatten()[:3]
                 for a in range(0, len(text), SLICE):
-                    own = text[a : a + SLICE]
-                    starts = counts[own] + at[a : a + SLICE]
+                    own, here, least = text[a : a + SLICE], at[a : a + SLICE], floor[a : a + SLICE].to_numpy()
+                    starts = counts[own] + here.to_numpy()
                     left, right = starts[:, None] - steps, starts[:, None] + LENGTH - 1 + steps
-                    bodies = _bodies(hashes, starts)
-                    parts, there = [bodies[:, None]], [np.ones((len(own), 1), bool)]
-                    for salt, spot, inside in ((1, left, left >= (counts[own] + floor[a : a + SLICE])[:, None]), (2, right, right < counts[own + 1][:, None])):
-                        value = np.where(inside, hashes[np.where(inside, spot, 0)] * textarrays.FACTORS[:SIDE], np.uint64(0)).cumsum(axis=1, dtype=np.uint64)
-                        seed = textarrays.mix64(bodies[:, None] + (2 * steps + salt).astype(np.uint64) * textarrays.BASE)
-                        parts.append(textarrays.mix64(value + seed))
-                        there.append(inside)
-                    found, ends = np.concatenate(there, axis=1), np.zeros(len(own) + 1, np.int32)
-                    ends[1:] = np.cumsum(found.sum(axis=1))
+                    sides = []
+                    for spot, inside in ((left, left >= (counts[own] + least)[:, None]), (right, right < counts[own + 1][:, None])):
+                        sides.append(_cells(hashes[np.where(inside, spot, 0)], inside))
                     owner = pa.array(own + first)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(owner), batch.column(1).take(owner), pa.array(at[a : a + SLICE]), pa.array(there[1].sum(axis=1).astype(np.int32)),
-                         pa.ListArray.from_arrays(pa.array(ends), _signed(np.concatenate(parts, axis=1)[found]))],
-                        names=["doc_id", "key", "at", "lefts", "classes"],
+                        [batch.column(0).take(owner), batch.column(1).take(owner), here, removed[a : a + SLICE], _signed(_bodies(hashes, starts)), *sides],
+                        names=["doc_id", "key", "at", "removed", "node", "left", "right"],
                     )
 
-    return texts.select("doc_id", "key", "text", "wanted").mapInArrow(run, AROUND)
+    return texts.select("doc_id", "key", "text", "wanted").mapInArrow(run, SIDES)
+
+
+def _changes(*columns: pa.Array) -> np.ndarray:
+    """Whether a row differs from the one before it; the first does."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = False
+    for c in columns:
+        for values in (c.fill_null(0).to_numpy(), c.is_null().to_numpy(zero_copy_only=False)):
+            out[1:] |= values[1:] != values[:-1]
+    return out
+
+
+def _common(group: np.ndarray, rank: np.ndarray, doc: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The order of the sorted sides of each group, the words each has in common with the one before it (-1: another
+    group), and per row the most words it has in common with another document, and that such a class of places has of
+    which the first, by ``rank``, is not the row's.
+
+    The more words a class has, the fewer places are in it, so both are the number of lengths at which it is so.
+    """
+    n = len(group)
+    sort = np.empty((n, 4 + SIDE * 8), np.uint8)
+    sort[:, :4] = group.astype(">u4").view(np.uint8).reshape(n, 4)
+    sort[:, 4:] = words.astype(">u8").view(np.uint8).reshape(n, SIDE * 8)
+    order = np.argsort(sort.view(f"S{sort.shape[1]}").ravel(), kind="stable")
+    group, rank, doc, words = group[order], rank[order], doc[order], words[order]
+    equal = ((words[1:] == words[:-1]) & (words[1:] != 0)).cumprod(axis=1).sum(axis=1)
+    common = np.concatenate([[-1], np.where(group[1:] == group[:-1], equal, -1)]).astype(np.int64)
+    reach, gone = np.zeros(n, np.int32), np.zeros(n, np.int32)
+    for step in range(1, SIDE + 1):
+        starts = np.flatnonzero(common < step)
+        many = np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)
+        if not many.any():
+            break
+        sizes = np.diff(np.append(starts, n))
+        there = np.repeat(many, sizes)
+        reach[order] += there
+        gone[order] += there & (np.repeat(np.minimum.reduceat(rank, starts), sizes) < rank)
+    return order, common, reach, gone
+
+
+def _ends(rows: DataFrame) -> DataFrame:
+    """Rows of ``_sides`` of nodes of few places -> per window the words that another document has equally on its
+    left and right, and how many of them an earlier place has."""
+
+    def resolved(table: pa.Table) -> pa.RecordBatch:
+        rows = table.combine_chunks().to_batches()[0]
+        doc, whole = _changes(rows["node"], rows["doc_id"], rows["key"]), _changes(rows["node"], rows["doc_id"], rows["key"], rows["at"])
+        # Rows equal in doc_id and text are one document.
+        rows, doc = rows.filter(pa.array(whole)), np.cumsum(doc)[whole]
+        group, rank = np.cumsum(_changes(rows["node"])), np.arange(rows.num_rows)
+        found = [_common(group, rank, doc, _words_in(rows[c]))[2:] for c in ("left", "right")]
+        return pa.RecordBatch.from_arrays(
+            [rows[c] for c in ("doc_id", "key", "at", "removed", "node")] + [pa.array(found[i][j]) for j in range(2) for i in range(2)],
+            names=["doc_id", "key", "at", "removed", "node", "left", "right", "left_gone", "right_gone"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last node of a batch may go on in the next one.
+        rest = []
+        for batch in batches:
+            table = pa.Table.from_batches([*rest, batch])
+            if not len(table):
+                continue
+            last = int(np.flatnonzero(_changes(table["node"].combine_chunks()))[-1])
+            if last:
+                yield resolved(table.slice(0, last))
+            rest = table.slice(last).to_batches()
+        if rest:
+            yield resolved(pa.Table.from_batches(rest))
+
+    return rows.repartition("node").sortWithinPartitions("node", "doc_id", "key", "at").mapInArrow(run, ENDS)
+
+
+def _ends_of_hot(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """As ``_ends``, for nodes of any number of places.
+
+    A lot is a range of sorted sides. A class of places that begin equally is wholly in one lot, or it has the first
+    or the last side of each lot where it is; so every lot gives the first and last place of the classes of these two, and
+    what they are in all lots goes back to the rows that have so many words in common with them.
+    """
+    rows = scratch.keep(rows.dropDuplicates(["doc_id", "key", "at"]), "hot")
+    side = F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("left").alias("words")), F.struct(F.lit(1).alias("side"), F.col("right").alias("words"))))
+    by = ["node", "side", "words", "doc_id", "key", "at"]
+    sides = rows.select("node", side.alias("s"), "doc_id", "key", "at", "removed").select("node", "s.side", "s.words", "doc_id", "key", "at", "removed")
+    dealt = sides.repartitionByRange(2 * rows.count() // LOT + 1, *by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = [b for b in batches if b.num_rows]
+        if not filled:
+            return
+        lot = pa.Table.from_batches(filled).combine_chunks().to_batches()[0]
+        none = lot["doc_id"].is_null().to_numpy(zero_copy_only=False)
+        by_ident = np.lexsort((lot["at"].to_numpy(), lot["key"].to_numpy(), lot["doc_id"].fill_null(0).to_numpy(), ~none))
+        rank, doc = np.empty(len(none), np.int64), np.empty(len(none), np.int64)
+        rank[by_ident] = np.arange(len(none))
+        doc[by_ident] = np.cumsum(_changes(*(lot[c].take(pa.array(by_ident)) for c in ("doc_id", "key"))))
+        words = _words_in(lot["words"])
+        order, common, reach, gone = _common(np.cumsum(_changes(lot["node"], lot["side"])), rank, doc, words)
+
+        def given(kind: int, spot: np.ndarray, last: np.ndarray, **more: pa.Array) -> pa.RecordBatch:
+            own, other = lot.take(pa.array(spot)), lot.take(pa.array(last))
+            columns = {c: own[c] for c in ("part", "node", "side", "doc_id", "key", "at", "removed")}
+            columns |= {"kind": pa.array(np.full(len(spot), kind, np.int32)), "last_doc": other["doc_id"], "last_key": other["key"]} | more
+            names = [field.split()[0] for field in LOTS.split(", ")]
+            return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(len(spot), pa.binary() if c == "prefix" else pa.int32())) for c in names], names=names)
+
+        along = {}
+        for kind, edge in ((1, order[0]), (2, order[-1])):
+            known = int(np.count_nonzero(words[edge]))
+            if kind == 1:
+                path = np.minimum.accumulate(np.concatenate([[known], common[1:]]))
+            else:
+                path = np.minimum.accumulate(np.concatenate([[known], common[:0:-1]]))[::-1]
+            along[kind] = np.empty(len(none), np.int32)
+            along[kind][order] = path
+            if known:
+                inside = [rank[along[kind] >= step] for step in range(1, known + 1)]
+                prefix = [lot["words"][int(edge)].as_py()[: CELL * step] for step in range(1, known + 1)]
+                least, most = (by_ident[np.array([pick(r) for r in inside])] for pick in (np.min, np.max))
+                # The node and side of a class are those of the edge.
+                yield given(kind, least, most, step=pa.array(np.arange(1, known + 1, dtype=np.int32)), prefix=pa.array(prefix, pa.binary()))
+        spot = np.arange(len(none))
+        yield given(0, spot, spot, reach=pa.array(reach), gone=pa.array(gone), head=pa.array(along[1]), tail=pa.array(along[2]))
+
+    found = scratch.keep(dealt.mapInArrow(run, LOTS), "lots")
+    ident, last = F.struct("doc_id", "key", "at"), F.struct(F.col("last_doc").alias("doc_id"), F.col("last_key").alias("key"))
+    edges = found.where("kind > 0")
+    classes = edges.groupBy("node", "side", "prefix").agg(F.min(ident).alias("first"), F.max(last).alias("last")).where(_document("first") != F.col("last")).drop("last")
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("step", "first")))
+    known = edges.select("part", "kind", "step", "node", "side", "prefix").join(classes, ["node", "side", "prefix"]).groupBy("part").agg(of(1).alias("heads"), of(2).alias("tails"))
+    longest = lambda classes, along, more: F.array_max(F.transform(F.filter(classes, lambda c: (c["step"] <= F.col(along)) & more(c)), lambda c: c["step"]))
+    most = lambda own, more: F.greatest(own, longest("heads", "head", more), longest("tails", "tail", more))
+    rows = found.where("kind = 0").join(known, "part", "left").withColumn("ident", ident)
+    rows = rows.withColumn("reach", most("reach", lambda c: F.lit(True))).withColumn("gone", most("gone", lambda c: c["first"] < F.col("ident")))
+    on = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
+    return rows.groupBy("doc_id", "key", "at", "removed", "node").agg(
+        on(0, "reach").alias("left"), on(1, "reach").alias("right"), on(0, "gone").alias("left_gone"), on(1, "gone").alias("right_gone"),
+    )
 
 
 def _document(ident: str) -> Column:
@@ -190,31 +351,28 @@ def _document(ident: str) -> Column:
 
 
 def _runs(texts: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """doc_id, key, start, end, cluster_id, removed: windows that other documents have too, with the equal words around.
-
-    The more words a class has, the fewer places are in it, so the longest class with another document, and the
-    longest with an earlier place, are the ends of the run.
-    """
-    places = windows.groupBy("node").agg(F.min("ident").alias("first"), F.max("ident").alias("last")).where(_document("first") != _document("last"))
-    members = windows.join(places.select("node", "first"), "node")
+    """doc_id, key, start, end, cluster_id, removed: windows that other documents have too, with the equal words around."""
+    places = windows.groupBy("node").agg(F.min("ident").alias("first"), F.max("ident").alias("last"), F.count(F.lit(1)).alias("many")).where(_document("first") != _document("last"))
+    members = windows.join(places.select("node", "first", "many"), "node")
     # In the document of the first place, the sides of later ones end where its window does.
     after = (_document("ident") == _document("first")) & (F.col("ident.at") > F.col("first.at"))
     floor = F.when(after, F.col("first.at") + LENGTH).otherwise(F.lit(0).cast("long"))
-    per = members.groupBy(F.col("ident.doc_id").alias("d"), F.col("ident.key").alias("k")).agg(F.collect_set(F.struct(F.col("ident.at").alias("at"), floor.alias("floor"))).alias("wanted"))
-    rows = texts.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "wanted")
-    around = scratch.keep(_around(rows), "around")
-
-    ident = F.struct("doc_id", "key", "at").alias("ident")
-    inside = around.select(ident, "lefts", F.posexplode("classes").alias("pos", "class"))
-    firsts = inside.groupBy("class").agg(F.min("ident").alias("first"), F.max("ident").alias("last")).where(_document("first") != _document("last")).select("class", "first")
-    left, right = F.when(F.col("pos") <= F.col("lefts"), F.col("pos")).otherwise(0), F.greatest(F.col("pos") - F.col("lefts"), F.lit(0))
-    later = F.col("ident") != F.col("first")
     # A place that overlaps the window that stays is a part of it.
     apart = (_document("ident") != _document("first")) | (F.col("ident.at") >= F.col("first.at") + LENGTH)
-    found = inside.join(firsts, "class").groupBy("ident").agg(
-        F.max(F.when(F.col("pos") == 0, F.col("class"))).alias("node"), F.max((F.col("pos") == 0) & later & apart).alias("removed"),
-        F.max(left).alias("left"), F.max(right).alias("right"), F.max(F.when(later, left).otherwise(0)).alias("left_gone"), F.max(F.when(later, right).otherwise(0)).alias("right_gone"),
-    )
+    removed = (F.col("ident") != F.col("first")) & apart
+    place = F.struct(F.col("ident.at").alias("at"), floor.alias("floor"), removed.alias("removed"), (F.col("many") > HOT).alias("hot"))
+    per = members.groupBy(F.col("ident.doc_id").alias("d"), F.col("ident.key").alias("k")).agg(F.collect_set(place).alias("wanted"))
+    per = scratch.keep(per, "wanted")
+
+    def sides(hot: bool) -> DataFrame:
+        some = per.withColumn("wanted", F.filter("wanted", lambda w: w["hot"] == hot)).where(F.size("wanted") > 0)
+        rows = texts.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k"))).select("doc_id", "key", "text", "wanted")
+        return _sides(rows)
+
+    found = _ends(sides(False))
+    if per.where(F.exists("wanted", lambda w: w["hot"])).limit(1).count():
+        found = found.unionByName(_ends_of_hot(sides(True), scratch))
+    found = found.withColumn("ident", F.struct("doc_id", "key", "at"))
     at = F.col("ident.at")
     span = lambda a, b, removed: F.struct(a.alias("start"), b.alias("end"), F.lit(removed).alias("removed"))
     whole = span(at - F.col("left"), at + LENGTH + F.col("right"), False)

@@ -1,5 +1,7 @@
 import collections
+import pathlib
 
+import numpy as np
 import pytest
 
 from framewise.llm import passage_dedup
@@ -104,3 +106,51 @@ def test_every_word_of_a_passage_is_covered(spark, scratch, length):
     assert all(words_in(got, i, True) == plain for i in (1, 2, 3))
     assert words_in(got, 4, True) == set(range(28, 28 + length)) and longer >= words_in(got, 4, False) >= set(range(16, 28))
     assert words_in(got, 5, True) == longer
+
+
+def disk_files(spark, scratch):
+    """Sizes of the shuffle files of the session and of the tables that are kept."""
+    manager = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    found = [f for d in manager.localDirs() for f in pathlib.Path(d.toString()).rglob("shuffle_*.data")]
+    found += [f for paths in scratch.paths.values() for p in paths for f in pathlib.Path(p).rglob("*.parquet")]
+    return {f: f.stat().st_size for f in found}
+
+
+def test_a_window_takes_one_row_of_disk(spark, scratch):
+    passages = [prose(3000 + i, 300) for i in range(20)]
+    rows = [(i, f"{prose(4000 + i, 10)} {passages[i % 20]} {prose(6000 + i, 10)}", "a") for i in range(1000)]
+    table = docs(spark, rows)
+    before = disk_files(spark, scratch)
+    assert {r.doc_id for r in passage_dedup.repeats(table, scratch).collect()} == set(range(1000))
+    taken = sum(size for f, size in disk_files(spark, scratch).items() if f not in before)
+    assert taken < 5 * sum(len(text) for _, text, _ in rows)
+
+
+def test_windows_of_many_places_are_extended_alike(spark, scratch, monkeypatch):
+    passage = prose(88, 90).split()
+    rows = [(r.doc_id, r.text, r.source) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(100_000 + i, f"{prose(8000 + i, 15)} {' '.join(passage[i % 7 : 60 + i % 11])} {prose(9000 + i % 3, 20)}", "a") for i in range(150)]
+    rows += [(200_000 + i, f"{prose(7000 + i, 15)} {' '.join(passage)} {prose(7500 + i, 3)} {' '.join(passage[: 50 + i])}", "a") for i in range(20)]
+    rows += [(None, " ".join(passage), "a"), (None, "x " * 200, "a"), (300_000, "x " * 200, "a"), (300_000, "x " * 200, "a")]
+    table = docs(spark, rows)
+    spans = lambda: sorted((tuple(r) for r in passage_dedup.repeats(table, scratch).drop("key").collect()), key=str)
+    few = spans()
+    # Small lots, so that most classes run over the ends of lots.
+    monkeypatch.setattr(passage_dedup, "HOT", 2)
+    monkeypatch.setattr(passage_dedup, "LOT", 128)
+    assert spans() == few and len(few) > 300
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ends_of_runs_against_every_pair(seed):
+    rng = np.random.default_rng(seed)
+    n = 120
+    group, doc = np.sort(rng.integers(0, 5, n)), np.sort(rng.integers(0, 40, n))
+    words = rng.integers(1, 3, (n, passage_dedup.SIDE)).astype(np.uint64)
+    words[rng.integers(0, n, n // 2)] = words[rng.integers(0, n, n // 2)]
+    words[np.arange(passage_dedup.SIDE) >= rng.integers(0, passage_dedup.SIDE + 1, n)[:, None]] = 0
+    alike = lambda i, j: int(((words[i] == words[j]) & (words[i] != 0)).cumprod().sum()) if group[i] == group[j] else 0
+    reach, gone = passage_dedup._common(group, np.arange(n), doc, words)[2:]
+    for i in range(n):
+        others = max((alike(i, j) for j in range(n) if doc[j] != doc[i]), default=0)
+        assert reach[i] == others and gone[i] == min(others, max((alike(i, j) for j in range(i)), default=0))
