@@ -52,6 +52,8 @@ SLICE = 1 << 14
 CELL = 6
 #: The most places of a window that meet in one task, and the sides that make a lot of others.
 HOT, LOT = 1 << 12, 1 << 16
+#: The most frequent windows that are joined apart, and the items tracked to find them.
+FREQUENT, TRACKED = 1000, 1 << 14
 SIDES = "doc_id long, key long, at long, removed boolean, node long, left binary, right binary"
 ENDS = "doc_id long, key long, at long, removed boolean, node long, left int, right int, left_gone int, right_gone int"
 LOTS = "part int, kind int, node long, side int, step int, prefix binary, doc_id long, key long, at long, removed boolean, last_doc long, last_key long, reach int, gone int, head int, tail int"
@@ -352,8 +354,15 @@ def _document(ident: str) -> Column:
 
 def _runs(texts: DataFrame, windows: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, key, start, end, cluster_id, removed: windows that other documents have too, with the equal words around."""
-    places = windows.groupBy("node").agg(F.min("ident").alias("first"), F.max("ident").alias("last"), F.count(F.lit(1)).alias("many")).where(_document("first") != _document("last"))
-    members = windows.join(places.select("node", "first", "many"), "node")
+    def shared(some: DataFrame, few: bool) -> DataFrame:
+        places = some.groupBy("node").agg(F.min("ident").alias("first"), F.max("ident").alias("last"), F.count(F.lit(1)).alias("many"))
+        places = places.where(_document("first") != _document("last")).select("node", "first", "many")
+        return some.join(F.broadcast(places) if few else places, "node")
+
+    # The first places of the most frequent windows, at most FREQUENT, go to every task, so that no task gets all places.
+    top = windows.agg(F.expr(f"approx_top_k(node, {FREQUENT}, {TRACKED})").alias("top")).first()["top"] or []
+    frequent = [row["item"] for row in top if row["count"] > HOT]
+    members = shared(windows.where(~F.col("node").isin(frequent)), False).unionByName(shared(windows.where(F.col("node").isin(frequent)), True)) if frequent else shared(windows, False)
     # In the document of the first place, the sides of later ones end where its window does.
     after = (_document("ident") == _document("first")) & (F.col("ident.at") > F.col("first.at"))
     floor = F.when(after, F.col("first.at") + LENGTH).otherwise(F.lit(0).cast("long"))
